@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, huffman, packing, toxicity
+from . import decontaminate, exact_dedup, huffman, minhash, packing, secrets, suffix_tree, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (exact_dedup.op1_exact_dedup, packing.op3_mixture_packing, huffman.op4_huffman_files, toxicity.op5_toxicity_chain)}
+    every = (
+        exact_dedup.op1_exact_dedup, secrets.op2_secret_battery, packing.op3_mixture_packing, huffman.op4_huffman_files, toxicity.op5_toxicity_chain,
+        decontaminate.op6_simhash_decontamination, warc.op7_warc_segments, minhash.op8_minhash_near_dedup, suffix_tree.op10_suffix_tree_scores,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op7_warc_segments": warc.SQL}
