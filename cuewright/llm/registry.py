@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, huffman, minhash, packing, secrets, suffix_tree, toxicity, warc
+import corpus_pipeline
+
+from . import decontaminate, exact_dedup, huffman, minhash, packing, pii, secrets, suffix_tree, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         exact_dedup.op1_exact_dedup, secrets.op2_secret_battery, packing.op3_mixture_packing, huffman.op4_huffman_files, toxicity.op5_toxicity_chain,
-        decontaminate.op6_simhash_decontamination, warc.op7_warc_segments, minhash.op8_minhash_near_dedup, suffix_tree.op10_suffix_tree_scores,
+        decontaminate.op6_simhash_decontamination, warc.op7_warc_segments, minhash.op8_minhash_near_dedup, pii.op9_crf_pii, suffix_tree.op10_suffix_tree_scores,
     )
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
