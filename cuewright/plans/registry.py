@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from . import catalogue, signal
+
+_MODULES = (signal, catalogue)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
