@@ -97,7 +97,7 @@ def fit_chain(doc: np.ndarray, word: np.ndarray, labels: np.ndarray, folds: np.n
 
 
 def best_cut(margin: np.ndarray, y: np.ndarray) -> float:
-    """The logit above which a document is put in the category: best F0.5 (precision counts more) on held-out margins."""
+    """The logit above which a document is put in the category: best F0.5 (precision counts more) on held-out margins, but at least at twice the category's rate."""
     if not y.any():
         return 35.0
     order = np.argsort(-margin, kind="stable")
@@ -106,7 +106,8 @@ def best_cut(margin: np.ndarray, y: np.ndarray) -> float:
     ends = np.append(margin[order][1:] < margin[order][:-1], True)
     at = int(np.argmax(np.where(ends, score, -1)))
     low = margin[order][at + 1] if at + 1 < len(y) else margin[order][at] - 1
-    return float((margin[order][at] + low) / 2)
+    floor = min(0.5, 2 * float(y.mean()))
+    return max(float(np.log(floor / (1 - floor))), float((margin[order][at] + low) / 2))
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_labelled: int = MAX_LABELLED) -> dict:
@@ -126,9 +127,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_l
     ys = [f"y{i}" for i in range(len(categories))]
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", *ys, "text")
     bags = rows.mapInArrow(tokens, "doc_id long, " + ", ".join(f"{y} double" for y in ys) + ", words array<string>")
-    # near copies count once, else one mislabelled group of copies would teach its own words: the key is a MinHash of the long words
-    long_words = F.filter("words", lambda w: F.length(w) >= 9)
-    key = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("words"))
+    # near copies count once, else one mislabelled group of copies would teach its own words: the key is three MinHashes of the words
+    key = F.xxhash64(*(F.coalesce(F.array_min(F.transform("words", lambda w, seed=seed: F.xxhash64(w, F.lit(seed)))), F.lit(0).cast("long")) for seed in range(3)))
     first = bags.groupBy(key.alias("text_hash")).agg(F.min_by(F.struct("words", *ys), F.struct("doc_id", F.xxhash64("words"))).alias("r"))
     bags = stage(first.select("text_hash", "r.words", *(f"r.{y}" for y in ys)), "toxicity-bags")
     # words by the log-likelihood ratio (G) of their counts with a category, over the whole training set; LEAST_G is beyond chance for 10^6 words
