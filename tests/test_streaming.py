@@ -45,3 +45,30 @@ def test_clips(spark, tmp_path):
     want = S.cut_runs(S.hit_runs(slots, 5), 12)
     key = lambda d: sorted((r.run_id, r.start_n, r.end_n) for r in d.collect())
     assert key(got) == key(want)
+
+
+def test_answers_join_and_pending(spark, tmp_path):
+    ts = "timestamp'2024-01-01 00:00:00'"
+    clips = spark.sql(f"select 'r' run_id, id clip_idx, {ts} + make_dt_interval(0, 0, cast(id as int)) event_ts from range(6) union all select 'z', 0, timestamp'2024-01-02 00:00:00' union all select 'z', 1, timestamp'2024-01-03 00:00:00'")
+    answers = spark.sql(f"select 'r' run_id, id * 2 clip_idx, {ts} + make_dt_interval(0, 0, cast(id * 2 + 1 as int)) event_ts, concat('t', id * 2) title from range(3) union all select 'z', 9, timestamp'2024-01-02 00:00:00', 'x' union all select 'z', 9, timestamp'2024-01-03 00:00:00', 'x'")
+    for name, df in (("c", clips), ("a", answers)):
+        for early in (True, False):  # the second file moves the watermark on
+            df.filter(F.col("event_ts") < "2024-01-02" if early else F.col("event_ts") >= "2024-01-02").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    load = lambda name, df: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    joined = K.stream_join_answers(load("c", clips), load("a", answers))
+    q = joined.writeStream.format("memory").queryName("joined").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.clip_idx: (r.title, r.pending) for r in spark.table("joined").filter("run_id = 'r'").collect()}
+    assert got == {i: (f"t{i}", False) if i % 2 == 0 else (None, True) for i in range(6)}
+
+
+def test_progress_in_update_mode(spark, tmp_path):
+    df = spark.createDataFrame([("r", False, "t", 0), ("r", True, None, 1), ("q", False, None, 1)], "run_id string, skipped boolean, title string, batch int")
+    folder = str(tmp_path / "p")
+    for i in range(2):
+        df.filter(F.col("batch") == i).drop("batch").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(df.drop("batch").schema).parquet(folder)
+    q = K.stream_progress(stream).writeStream.format("memory").queryName("progress").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(tuple(r) for r in spark.table("progress").collect()) == [("q", 1, 1, 0), ("r", 1, 2, 1)]
