@@ -4,14 +4,14 @@ Documents with equal shingle sets form one class; one member of each class goes
 of COORDINATES values, each made of GROUP minimum hashes, and is posted under (coordinate, value) for its first coordinates only: a pair
 that agrees in at least LEAST of all coordinates must agree in one of the first COORDINATES - LEAST + 1
 (prefix). A short posting list gives its pairs; pairs are counted over the whole signature and those under
-LEAST are dropped (skip). At a similarity of 0.8 a pair falls below LEAST with a chance under one in a
-million (binomial with 48 trials of 0.8^3). What is left is confirmed on the full shingle sets.
-
-A long posting list does not give all its pairs. If its members nearly all agree with its first one it holds
-a near-copy group: every member is paired with the first, then, a few times, with a member that is still
-outside the list's largest component, and what is outside even then is paired with all members of other
-components (never all with all). Any other long list is refined: a pair in it must agree in further
-coordinates as well, so it is dealt again under the next coordinate-value pairs, a few levels deep.
+LEAST are dropped (skip). At a similarity of 0.8 a pair falls below LEAST with a chance under 2 in
+100,000 (binomial with 48 trials of 0.8^3), at 0.85 under one in ten million. What is left is confirmed on the full shingle sets.
+
+A long posting list does not give all its pairs. Every member is paired with the first one, then, twice, with
+a member that is still outside the group's largest component; that connects groups of near copies. What is
+outside even then (members of groups with a common passage, or copies that differ too much) is paired by an
+exact prefix join on rare shingles with those members of other components that can have the similarity
+(never all with all).
 Components are found by label spreading with tables in the shared folder.
 
 Defined cases: a null text counts as empty; a text without words has no shingles and is linked with nothing;
@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, small_or_join, stage, union_all, unstage
+from .common import arrow_limits, small_or_join, stage, unstage
 
-COORDINATES, GROUP, LEAST, SHORT, LEVELS, ROUNDS = 48, 3, 8, 24, 4, 3
+COORDINATES, GROUP, LEAST, SHORT, ROUNDS, COUNTERS = 48, 3, 11, 24, 2, 1 << 20
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _RNG = np.random.default_rng(8)
 _MUL = _RNG.integers(1, 1 << 63, COORDINATES * GROUP, dtype=np.uint64) | np.uint64(1)
@@ -92,38 +92,17 @@ def agree(sign_a, sign_b):
 
 
 def posting_lists(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(short, long) postings (list_key, id): lists of up to SHORT members; and lists that stay long.
+    """(short, long): postings (list_key, id) of lists of up to SHORT members; and members of longer lists, as groups.
 
-    A long list whose members nearly all agree with its first one is a near-copy group and stays as it is; any
-    other is refined: a pair in it needs LEAST - level matches among the coordinates after `last`, hence one
-    among the first few of those, and is dealt again under each of these. Only keys and ids are shuffled here;
-    signatures are fetched for long lists alone."""
+    Only keys and ids are shuffled. Long lists with one first member are one group, named by it: a near-copy
+    group shares its head under most coordinates."""
     prefix = COORDINATES - LEAST + 1
-    deal = F.explode(F.transform(F.sequence(F.lit(0), F.lit(prefix - 1)), lambda j: F.struct(F.xxhash64(j, F.col("sign")[j]).alias("list_key"), j.alias("last"))))
-    now = classes.select("id", deal.alias("p")).select("id", "p.list_key", "p.last")
-    signs = classes.select("id", "sign")
-    short, long = [], []
-    for level in range(1, LEVELS + 1):
-        counts = stage(now.groupBy("list_key").count().filter("count > 1"), f"minhash-counts{level}")
-        # both sides of these joins come from exchanges, so a hot key is split by adaptive execution
-        shared = stage(now.join(counts, "list_key"), f"minhash-shared{level}")
-        short.append(shared.filter(F.col("count") <= SHORT).select("list_key", "id"))
-        rest = shared.filter(F.col("count") > SHORT).drop("count")
-        if rest.isEmpty():
-            break
-        if level == LEVELS:
-            long.append(rest.select("list_key", "id"))
-            break
-        rest = stage(rest.join(signs, "id"), f"minhash-rest{level}")
-        heads = stage(rest.groupBy("list_key").agg(F.min_by("sign", "id").alias("head")), f"minhash-firsts{level}")
-        flags = stage(rest.join(heads, "list_key").select("list_key", (agree("sign", "head") >= LEAST).cast("double").alias("alike")), f"minhash-alike{level}")
-        whole = stage(flags.groupBy("list_key").agg(F.avg("alike").alias("share")).filter("share >= 0.8").select("list_key"), f"minhash-groups{level}")
-        long.append(stage(rest.join(whole, "list_key", "left_semi").select("list_key", "id"), f"minhash-long{level}"))
-        rest = rest.join(whole, "list_key", "left_anti")
-        further = F.filter(F.sequence(F.lit(1), F.lit(prefix + level - 1)), lambda j: j > F.col("last"))
-        again = F.explode(F.transform(further, lambda j: F.struct(F.xxhash64(F.col("list_key"), j, F.col("sign")[j]).alias("list_key"), j.alias("last"))))
-        now = rest.select("id", again.alias("p")).select("id", "p.list_key", "p.last")
-    return union_all(short), union_all(long or [short[0].limit(0)])
+    deal = F.explode(F.transform(F.sequence(F.lit(0), F.lit(prefix - 1)), lambda j: F.xxhash64(j, F.col("sign")[j])))
+    now = classes.select("id", deal.alias("list_key"))
+    counts = stage(now.groupBy("list_key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).filter("n > 1"), "minhash-counts")
+    # both sides come from exchanges, so a hot key is split by adaptive execution
+    shared = stage(now.join(counts, "list_key"), "minhash-shared")
+    return shared.filter(F.col("n") <= SHORT).select("list_key", "id"), stage(shared.filter(F.col("n") > SHORT).select(F.col("head").alias("list_key"), "id").distinct(), "minhash-long")
 
 
 def agreeing(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
@@ -152,6 +131,59 @@ def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return two.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def rare_pairs(members: DataFrame, outside: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) of different components, one of them outside, which can have the similarity: an exact prefix join.
+
+    All sets are put in one order, rare shingles first; sets as similar as per_cent share one of the first
+    n - ceil(per_cent * n / 100) + 1 shingles of each. Near copies that are apart differ in just those, so
+    hardly any of their pairs come up. The order is that of a table of COUNTERS counts by hash: a bounded
+    broadcast, and counts that fall together only make the order worse, never wrong."""
+    spark = sets.sparkSession
+    own = stage(sets.join(members.select("id"), "id", "left_semi"), "minhash-own", "uncompressed")
+
+    def tally(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                slot, n = np.unique((np.frombuffer(raw, np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
+                total[slot] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["slot", "n"])
+
+    counted = own.select("shingles").mapInArrow(tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(COUNTERS, np.int64)
+    table[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    def prefixes(batches):
+        counts = shared.value
+        for batch in batches:
+            ids, keys, places, sizes = [], [], [], []
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(raw, np.uint64)
+                n = counts[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                first = np.lexsort((h, n))[: len(h) + per_cent * -len(h) // 100 + 1]
+                place = np.flatnonzero(n[first] > 1)  # a count of one: no other set has it
+                keys.append(h[first[place]].view(np.int64))
+                places.append(place)
+                ids.append(np.full(len(place), doc, np.int64))
+                sizes.append(np.full(len(place), len(h), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, ids, places, sizes)], names=["h", "id", "place", "size"])
+
+    posted = own.select("id", "shingles").mapInArrow(prefixes, "h long, id long, place long, size long")
+    posted = stage(posted.join(members, "id").join(outside.withColumn("out", F.lit(True)), "id", "left").select("h", "id", "place", "size", "component", F.coalesce("out", F.lit(False)).alias("out")), "minhash-rare")
+    # lists that lie in one component have nothing to tell
+    mixed = stage(posted.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("h"), "minhash-mixed")
+    posted = stage(posted.join(mixed, "h", "left_semi"), "minhash-rare-mixed")
+    x = posted.filter("out").select("h", *(F.col(c).alias(f"{c}_a") for c in ("id", "component", "place", "size")))
+    y = posted.select("h", "out", *(F.col(c).alias(f"{c}_b") for c in ("id", "component", "place", "size")))
+    # at the first shingle that two sets share, what is left of the shorter rest bounds their intersection (positional filter)
+    rest = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    able = (100 + per_cent) * rest >= per_cent * (F.col("size_a") + F.col("size_b"))
+    met = x.join(y, "h").filter((F.col("component_a") != F.col("component_b")) & (~F.col("out") | (F.col("id_a") < F.col("id_b"))) & able).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id that has an edge.
 
@@ -182,8 +214,7 @@ def near_dedup(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame
     classes = stage(classes, "minhash-classes")
     short, long = posting_lists(classes)
     near = short.withColumnRenamed("id", "a").join(short.withColumnRenamed("id", "b"), "list_key").filter("a < b")
-    heads = stage(long.groupBy("list_key").agg(F.min("id").alias("a")), "minhash-heads")
-    stars = heads.join(long.withColumnRenamed("id", "b"), "list_key").filter("a < b")
+    stars = long.filter("list_key < id").select(F.col("list_key").alias("a"), F.col("id").alias("b"))
     candidates = stage(agreeing(near.select("a", "b").unionByName(stars.select("a", "b")), classes, per_cent), "minhash-candidates")
     # the sets of documents that are in any candidate pair or in a long list, from their whole texts
     wanted = stage(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).union(long.select("id")).distinct(), "minhash-wanted")
@@ -196,26 +227,23 @@ def near_dedup(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame
     sets = stage(texts.mapInArrow(make_sets, "id long, shingles binary").dropDuplicates(["id"]), "minhash-sets", "uncompressed")
     edges = stage(confirmed(candidates, sets, per_cent), "minhash-edges")
     found = components(edges)
-    turn = 0
-    while True:
-        # members outside their long list's largest component: the first of them (at last: all of them) meet the other components
+    for turn in range(ROUNDS + 1):
+        # members outside their group's largest component
         told = stage(long.join(found, "id", "left").select("list_key", "id", F.coalesce("component", "id").alias("component")), "minhash-told")
         largest = stage(told.groupBy("list_key", "component").count().groupBy("list_key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1"), "minhash-largest")
         outside = stage(told.join(small_or_join(largest), "list_key").filter(F.col("component") != F.col("largest")).select("list_key", F.col("id").alias("a"), F.col("component").alias("c_a")), "minhash-outside")
         if outside.isEmpty():
             break
-        if turn < ROUNDS:
-            some = outside.groupBy("list_key").agg(F.min_by(F.struct("a", "c_a"), F.xxhash64("a", F.lit(turn))).alias("h")).select("list_key", "h.a", "h.c_a")
-            outside = stage(some, "minhash-some")
-        met = outside.join(told.select("list_key", F.col("id").alias("b"), F.col("component").alias("c_b")), "list_key").filter("c_a != c_b")
-        more = stage(agreeing(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes, per_cent), "minhash-more")
-        new = stage(confirmed(more, sets, per_cent), "minhash-edges")
-        if turn == ROUNDS or (gained := not new.isEmpty()):
+        if turn < ROUNDS:  # one of them meets the members of other components
+            some = stage(outside.groupBy("list_key").agg(F.min_by(F.struct("a", "c_a"), F.xxhash64("a", F.lit(turn))).alias("h")).select("list_key", "h.a", "h.c_a"), "minhash-some")
+            met = some.join(told.select("list_key", F.col("id").alias("b"), F.col("component").alias("c_b")), "list_key").filter("c_a != c_b")
+            more = agreeing(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes, per_cent)
+        else:  # all of them, by rare shingles
+            more = rare_pairs(told.select("id", "component").distinct(), outside.select(F.col("a").alias("id")).distinct(), sets, per_cent)
+        new = stage(confirmed(stage(more, "minhash-more"), sets, per_cent), "minhash-edges")
+        if not new.isEmpty():
             edges = edges.unionByName(new)
             found = components(edges)
-        if turn == ROUNDS:
-            break
-        turn = turn + 1 if gained else ROUNDS
     named = stage(classes.select("set_hash", "id").join(found, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id")), "minhash-named")
     lone = F.col("n_shingles") == 0
     joined = described.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
