@@ -1,7 +1,7 @@
 """Operator 7, WARC archives with segmented records, and their reassembly.
 
 Writing: every page becomes a WARC/1.1 response record whose block is an HTTP response in chunked transfer
-coding, or, if an earlier page has the same payload, a revisit record. A block longer than `segment` bytes is
+coding, or, if an earlier page has the same payload, a revisit record. A block longer than `segment` characters is
 split into a first record and continuation records (WARC-Segment-Number, -Origin-ID, and the total length on
 the last one). Archives are plain .warc text written by Spark: the writer's line separator is the two empty
 lines that end a record.
@@ -77,9 +77,9 @@ def records_of(page_id, url, html: str, refers_to, target, segment: int, row: st
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
         return [record([("WARC-Type", "revisit"), ("WARC-Profile", profile), ("WARC-Refers-To-Target-URI", "".join(target.split()) if target else f"urn:page:{refers_to}"), ("X-Refers-To-Page", refers_to), *common], "")]
     block = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(html)
-    if len(raw) <= segment:
-        return [record([("WARC-Type", "response"), *common], block)]
     parts = [block[at : at + segment] for at in range(0, len(block), segment)]
+    if len(parts) == 1:
+        return [record([("WARC-Type", "response"), *common], block)]
     out = [record([("WARC-Type", "response"), *common, ("WARC-Segment-Number", 1)], parts[0])]
     for number, part in enumerate(parts[1:], 2):
         fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id} row {row} segment {number}')}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", uri), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", number)]
