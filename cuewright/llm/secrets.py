@@ -1,8 +1,10 @@
 """Operator 2, secret scan with a randomness test battery. DataFrame functions only.
 
 Base kinds are found by pattern: assign, access and hex. The method adds kind `random`: runs of 24 or more
-characters of [A-Za-z0-9+/_=-] which behave like random draws from their encoding's alphabet. For each run
-the encoding is inferred (digits, hex, base32, base36, base62, base64) and three tests of "drawn at random" give p-values: chi-squared
+characters of [A-Za-z0-9+/_-] and their padding which behave like random draws from their encoding's alphabet.
+An equals sign is padding at a run's end only; inside name=value it parts two runs. For each run the encoding
+is inferred (digits, hex, base32, base36, base62, base64, and mixed for what fits no narrower one, so that no
+run is left untested) and three tests of "drawn at random" give p-values: chi-squared
 uniformity over the alphabet (exact mean and variance of the multinomial, Wilson-Hilferty), runs above and
 below the alphabet's middle, and serial correlation at lag 1; Fisher's method joins them. False discoveries
 (runs wrongly called structured) are held at level FDR by Benjamini-Hochberg within each length class, so a
@@ -29,7 +31,7 @@ FDR = 0.01
 _ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 _ACCESS = "AKIA[A-Z0-9]{16,}"
 _HEX = "[0-9a-f]{24,}"
-_RUN = "[A-Za-z0-9+/_=-]{24,}"
+_RUN = "[A-Za-z0-9+/_-]{24,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
 _DIGITS = "0123456789"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from the narrowest: name, pattern of the whole run, alphabet, least length that can be told from words.
@@ -41,6 +43,7 @@ ENCODINGS = (
     ("base62", "^[A-Za-z0-9]+$", _DIGITS + _UPPER + _UPPER.lower(), 24),
     ("base64", "^[A-Za-z0-9+/]+={0,2}$", _UPPER + _UPPER.lower() + _DIGITS + "+/", 24),
     ("base64url", "^[A-Za-z0-9_-]+={0,2}$", _UPPER + _UPPER.lower() + _DIGITS + "-_", 24),
+    ("mixed", "^[A-Za-z0-9+/_-]+=*$", _UPPER + _UPPER.lower() + _DIGITS + "+/-_", 24),
 )
 
 
@@ -71,7 +74,7 @@ def battery(runs: DataFrame) -> DataFrame:
     for name, pattern, letters, shortest in reversed(ENCODINGS):
         fits = F.col("value").rlike(pattern)
         encoding, alphabet, least = (F.when(fits, new).otherwise(old) for new, old in ((F.lit(name), encoding), (F.lit(letters), alphabet), (F.lit(shortest), least)))
-    told = runs.select("*", encoding.alias("encoding"), alphabet.alias("alphabet"), least.alias("least"), core.alias("core")).filter("encoding is not null")
+    told = runs.select("*", encoding.alias("encoding"), alphabet.alias("alphabet"), least.alias("least"), core.alias("core"))
     text = F.when(F.col("encoding") == "hex", F.lower("core")).otherwise(F.col("core"))
     told = told.withColumn("x", F.transform(F.split(text, ""), lambda c: F.instr(F.col("alphabet"), c) - 1))
     told = told.withColumn("x", F.filter("x", lambda v: v >= 0)).withColumn("n", F.size("x").cast("double")).withColumn("k", F.length("alphabet").cast("double")).filter("n >= 2")

@@ -298,6 +298,18 @@ def test_secrets(spark, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_in_assignments_and_mixed_alphabets(spark):
+    """An equals sign inside name=value parts two runs; a run that fits no narrower alphabet is tested all the same."""
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    key, padded, mixed = drawn(letters, 40), drawn(letters + "+/", 42) + "==", "a+b/c-d_" + drawn(letters + "+/-_", 40)
+    cases = [("AWS_KEY=", key, ""), ("sig=", padded, ""), ("client_key=", key, " end"), ("", mixed, ""), ("x=", mixed, "&y=1"), ("a_rather_long_name_of_a_variable=", key, "=tail")]
+    df = spark.createDataFrame([(i, before + value + after) for i, (before, value, after) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(df).collect()}
+    assert got == {i: f"random:{len(before)}:{len(before) + len(value)}" for i, (before, value, _) in enumerate(cases)}
+
+
 def test_pii(spark, empty):
     texts = [None, "", "mail a@b.c_d@e.f and x@y", "1.2.3.4.5.6.7.8 00001.2.3.256 9.9.9.0009 999999999999.1.1.1", "+1 (212) 555-0187+44 20 7946 0321 +12", "4111 1111 1111 1111 5 and 4111-1111-1111-1111", "@@a@b.co é", "7" * 3000, prose(20_000)]
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
