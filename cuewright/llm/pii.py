@@ -3,9 +3,8 @@
 The base kinds (email, ip, card, phone) are found by pattern. The model adds what the patterns miss, such as
 numbers and addresses in other notations: a linear-chain CRF with the tags of TAGS over word-shape features,
 trained by maximum likelihood (forward-backward gradients) on LABELLED, a small table of tagged phrases, and
-decoded by Viterbi in numpy batches. A text's words are decoded in stretches around the words that can start
-an entity at all (a word with a digit or an at sign; every training entity has one), CONTEXT words to each
-side; stretches of one length are decoded together.
+decoded by Viterbi in numpy batches. Every text is decoded as one sequence of all its words: the texts of a
+batch go forward side by side, longest first, and each keeps its state to its own end, so that nothing is cut.
 
 Positions are code points, end exclusive. A model span that touches a base span is left out. Defined cases: a
 null text counts as empty; a text without hits has zeros, the hash of the empty string and no spans; rows
@@ -26,12 +25,41 @@ from pyspark.sql import functions as F
 from .common import arrow_limits
 
 TAGS = ("O", "email", "ip", "card", "phone", "id")
-CONTEXT, RIDGE, STEPS = 3, 0.05, 250
+RIDGE, STEPS, TOGETHER = 0.05, 250, 1_000_000
 #: The training table: phrases with entities in brackets as [tag words]. The rest is tag O.
 LABELLED = """
 please write to [email anna.k@mail.example.org] today
 contact [email bob-smith@example.com] or call
-reach us : [email info at example dot com 24] thanks
+reach us : [email info at example dot com] thanks
+write to [email bob.smith at example dot org] or call
+her address is [email anna at mail dot example dot net] and
+mail [email j.doe (at) example (dot) com] then wait
+contact [email sales (at) mail (dot) example (dot) org] today
+ask [email carl dot meyer at mail dot example dot org] please
+then anna wrote [email marie.17@post3.example.net] and others came
+wonder [email paul.83@mail4.example.com.] Another day
+nothing [email lee99@example.org,] perhaps something
+then others saw [ip 203.0.113.57] and another came
+wonder [ip 198.51.100.201.] Another day
+nothing [ip 83.29.125.7,] perhaps something
+is is is is is is is is is is
+at at at at at at at at at at
+we met anna at noon and bob at the house
+look at the dot com boom of that year
+he came at once to dot the line
+they were at home or at sea
+the internationalisation of multidimensional considerations and relationships
+unquestionably extraordinarily knowledgeable schoolteachers recommended straightforwardness
+Überwachung der Geschwindigkeitsbegrenzung für Straßenbahnen und Größenverhältnisse
+Constantinople Neighbourhood Mediterranean Understanding Southeastern
+la información está también más allá où élève être après déjà
+so*** und&&& die### les$$$ a%%% very!! much&&& here*** today$$$
+interesting.*** considering,&&& der.$$$ nothing.### whatever.*** again.%%%
+WARNING!! STOP!! HELP!! EVERYTHING!! AGAIN!! NOW!!
+Again Again Again Again Again Again Again Again Again Again
+Atten. At At At At At At At At At At
+something. Another. The. Onther, Later; Nobody: (perhaps) "quoted" it's well-known
+one,two and/or e.g. i.e. Mr. A. B. Smith's re-elected part-time
 mail [email j.doe7@example.co.uk,] then wait
 her address is [email m_weiss99@post.example.net.] and
 the host [ip 10.0.0.12] is down
@@ -72,10 +100,12 @@ there are no numbers in this one
 """
 
 
+_SHAPE = str.maketrans({c: x for cs, x in (("09", "d"), ("AZ", "X"), ("ÀÞ", "X"), ("az", "x"), ("ßÿ", "x")) for c in range(ord(cs[0]), ord(cs[1]) + 1)})
+
+
 def shape(word: str) -> str:
     """Letters as x or X, digits as d, marks as they are; runs longer than four are cut to four."""
-    out = re.sub(r"[a-zß-ÿ]", "x", re.sub(r"[A-ZÀ-Þ]", "X", re.sub(r"[0-9]", "d", word)))
-    return re.sub(r"(.)\1{4,}", r"\1\1\1\1", out)
+    return re.sub(r"(.)\1{4,}", r"\1\1\1\1", word.translate(_SHAPE))
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -157,22 +187,42 @@ def train() -> dict:
 
 
 def viterbi(scores: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """Best tags of a batch of stretches of one length: scores (batch, length, tags)."""
-    batch, n, _ = scores.shape
-    best, back = scores[:, 0], np.zeros((n, batch, step.shape[0]), np.int64)
-    for i in range(1, n):
-        ways = best[:, :, None] + step[None]
-        back[i] = ways.argmax(axis=1)
-        best = ways.max(axis=1) + scores[:, i]
-    tags = np.zeros((batch, n), np.int64)
-    tags[:, -1] = best.argmax(axis=1)
-    for i in range(n - 1, 0, -1):
-        tags[:, i - 1] = back[i][np.arange(batch), tags[:, i]]
+    """Best tags of a batch of sequences of one length: scores (batch, length, tags)."""
+    batch, n, k = scores.shape
+    return viterbi_rows(scores.reshape(-1, k), np.full(batch, n), step).reshape(batch, n)
+
+
+def viterbi_rows(scores: np.ndarray, sizes: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Best tags of sequences of any lengths over 0 that lie one after the other in scores (words, tags)."""
+    k = step.shape[0]
+    order = np.argsort(-sizes, kind="stable")
+    starts, left = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    live = np.searchsorted(-left, -np.arange(left[0]), side="left")  # sequences longer than i: a leading part of the order
+    back, tags, every = np.zeros((len(scores), k), np.int8), np.zeros(len(scores), np.int8), np.arange(len(sizes))
+    best = scores[starts]
+    for i in range(1, left[0]):
+        m = live[i]
+        if m < 64:  # few calls for few sequences, few bytes for many
+            ways = best[:m, :, None] + step
+            top, at = ways.max(axis=1), ways.argmax(axis=1)
+        else:
+            top, at = best[:m, :1] + step[0], np.zeros((m, k), np.int8)
+            for j in range(1, k):
+                way = best[:m, j : j + 1] + step[j]
+                at[way > top] = j
+                np.maximum(top, way, out=top)
+        back[starts[:m] + i] = at
+        best[:m] = top + scores[starts[:m] + i]
+    last = best.argmax(axis=1)
+    for i in range(left[0] - 1, -1, -1):
+        m = live[i]
+        tags[starts[:m] + i] = last[:m]
+        if i:
+            last[:m] = back[starts[:m] + i, last[:m]]
     return tags
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_START = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -213,68 +263,87 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class Decoder:
-    """The trained field, with the scores of known shapes remembered."""
+    """The trained field, with the scores of known words remembered."""
 
     def __init__(self):
         self.model = train()
-        self.known: dict[str, np.ndarray] = {}
+        self.plain = {name[3:] for name in self.model["names"] if name.startswith("0w:")}
+        self.forget()
 
-    def scores(self, word: str) -> np.ndarray:
-        """(3, tags): what a word says about itself, the word after it and the word before it."""
+    def forget(self) -> None:
+        self.known: dict = {}
+        self.rows: list[np.ndarray] = []
+
+    def place(self, word: str) -> int:
+        """The row of what a word says about itself, the word after it and the word before it."""
         got = self.known.get(word)
         if got is None:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            names, emit = self.model["names"], self.model["emit"]
-            got = np.stack([emit[[names[side + f] for f in features(word) if side + f in names]].sum(axis=0) for side in "0-+"])
+            # words that agree in every letter's shape differ by those alone that the training table has
+            alike = word if word.lower().strip(".,:;") in self.plain else (word.translate(_SHAPE),)
+            got = self.known.get(alike)
+            if got is None:
+                names, emit = self.model["names"], self.model["emit"]
+                got = len(self.rows)
+                self.rows.append(np.stack([emit[[names[side + f] for f in features(word) if side + f in names]].sum(axis=0) for side in "0-+"]))
+                self.known[alike] = got
             self.known[word] = got
         return got
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """Model spans of each text."""
-        by_length: dict[int, list] = {}
-        for r, text in enumerate(texts):
-            if not _START.search(text):
-                continue
-            words = list(_WORD.finditer(text))
-            marks = [i for i, w in enumerate(words) if _START.search(w[0])]
-            last = -1
-            for j, i in enumerate(marks):
-                if i <= last:
-                    continue
-                a = max(i - CONTEXT, last + 1)
-                b = i + CONTEXT + 1
-                for nxt in marks[j + 1 :]:
-                    if nxt - CONTEXT > b or b - a > 400:
-                        break
-                    b = nxt + CONTEXT + 1
-                b = min(b, len(words))
-                last = b - 1
-                by_length.setdefault(b - a, []).append((r, words[a:b]))
         out: list[list] = [[] for _ in texts]
-        for n, group in by_length.items():
-            for at in range(0, len(group), 2048):
-                part = group[at : at + 2048]
-                each = np.stack([np.stack([self.scores(w[0]) for w in words]) for _, words in part])
-                total = each[:, :, 0].copy()
-                total[:, 1:] += each[:, :-1, 1]
-                total[:, :-1] += each[:, 1:, 2]
-                for (r, words), tags in zip(part, viterbi(total, self.model["step"]), strict=True):
-                    start = None
-                    for i in range(n + 1):
-                        tag = int(tags[i]) if i < n else 0
-                        if start is not None and tag != tags[start]:
-                            group_words = words[start:i]
-                            if any(_START.search(w[0]) for w in group_words):
-                                end = group_words[-1].end()
-                                while end > group_words[0].start() + 1 and group_words[-1][0][end - 1 - group_words[-1].start()] in ".,;:)" and end > group_words[-1].start() + 1:
-                                    end -= 1
-                                out[r].append((TAGS[tags[start]], group_words[0].start(), end))
-                            start = None
-                        if tag and start is None:
-                            start = i
+        held, places, sizes = [], [], []
+        for r, text in enumerate(texts):
+            words = _WORD.findall(text)
+            if words:
+                known = list(map(self.known.get, words))
+                if None in known:
+                    known = list(map(self.place, words))
+                places.append(np.array(known, np.int64))
+                held.append(r)
+                sizes.append(len(words))
+            if held and (sum(sizes) >= TOGETHER or r == len(texts) - 1):
+                self.decode(texts, held, places, np.array(sizes), out)
+                held, places, sizes = [], [], []
+                if len(self.known) > 200_000:
+                    self.forget()
+        if held:
+            self.decode(texts, held, places, np.array(sizes), out)
         return out
 
+    def decode(self, texts, held, places, sizes, out) -> None:
+        table, at = np.stack(self.rows), np.concatenate(places)
+        total = table[at, 0]
+        inner = np.ones(len(at), bool)
+        inner[np.cumsum(sizes) - sizes] = False  # words with a word of their own text before them
+        total[1:][inner[1:]] += table[at[:-1][inner[1:]], 1]
+        total[:-1][inner[1:]] += table[at[1:][inner[1:]], 2]
+        tags = viterbi_rows(total, sizes, self.model["step"])
+        ends = np.cumsum(sizes)
+        for q in np.unique(np.searchsorted(ends, np.flatnonzero(tags), side="right")).tolist():
+            r, own = held[q], tags[ends[q] - sizes[q] : ends[q]]
+            marked = np.flatnonzero(own)
+            group: list = []
+            wanted, n = set(marked.tolist()), int(marked[-1])
+            for i, w in enumerate(_WORD.finditer(texts[r])):
+                if group and (i not in wanted or own[i] != own[i - 1]):
+                    out[r].append(self.span(TAGS[own[i - 1]], group))
+                    group = []
+                if i in wanted:
+                    group.append(w)
+                if i >= n:
+                    break
+            if group:
+                out[r].append(self.span(TAGS[own[n]], group))
+
+    @staticmethod
+    def span(kind: str, group: list) -> tuple[str, int, int]:
+        """The words' stretch without the marks that end it."""
+        end, last = group[-1].end(), group[-1]
+        while end > last.start() + 1 and last[0][end - 1 - last.start()] in ".,;:)":
+            end -= 1
+        return kind, group[0].start(), end
+
 
 @cache
 def decoder() -> Decoder:

@@ -335,6 +335,33 @@ def test_crf_adds_what_patterns_miss():
     assert pii.viterbi(scores, step).tolist() == [[0, 0, 0]]
 
 
+def test_crf_reads_every_word():
+    """Entities without a digit or an at sign are found, in short texts and deep in long ones; plain prose has none."""
+    said = ["anna at example dot com", "bob dot smith at mail dot example dot org"]
+    texts = [f"you can reach {said[0]} for more", f"{prose(5000, random.Random(3))} ask {said[1]} please", prose(3000, random.Random(5)), "", "we were at the house at noon"]
+    got = pii.decoder().spans(texts)
+    assert [[(k, t[s:e]) for k, s, e in found] for t, found in zip(texts, got, strict=True)] == [[("email", said[0])], [("email", said[1])], [], [], []]
+
+
+def test_viterbi_of_many_lengths_is_each_alone():
+    rng = np.random.default_rng(4)
+    step, sizes = rng.normal(size=(6, 6)), np.concatenate([rng.integers(1, 9, 150), [900, 1]])
+    scores = rng.normal(size=(int(sizes.sum()), 6))
+    got, at = pii.viterbi_rows(scores, sizes, step), 0
+    for n in sizes:
+        own = scores[at : at + n]
+        best, back = own[0], []
+        for row in own[1:]:
+            ways = best[:, None] + step
+            back.append(ways.argmax(axis=0))
+            best = ways.max(axis=0) + row
+        tags = [int(best.argmax())]
+        for b in reversed(back):
+            tags.append(int(b[tags[-1]]))
+        assert got[at : at + n].tolist() == tags[::-1]
+        at += n
+
+
 @pytest.mark.parametrize("hot", [1_000_000, 20])
 def test_suffix_tree_scores(docs, empty, hot):
     """With 20 hot words nearly all counts come by the shuffle join."""
