@@ -6,9 +6,11 @@ window of its size (two fingerprints that differ in RADIUS bits agree in at leas
 Each candidate is verified exactly: the weighted Jaccard similarity of the two bags of shingles (weights are
 multiplicities) must reach `threshold`.
 
-A window without any shingle of the benchmark has similarity 0 with every item, and one of similarity 0.8 has
-most of its shingles in the item's order on one diagonal; so only windows that start where a shared shingle
-puts the item's first word, and that hold at least a quarter of the item's shingles there, are fingerprinted.
+A window of similarity t has at least t of the item's n shingles in it (the intersection is no larger than the
+window's bag, so it is at least t * n), and one of n shingles at least 2 t / (1 + t) of them. So the places where
+a document has a shingle of the item are gathered, and every window that holds as many of them is fingerprinted,
+in whatever order they are: inserted, deleted and moved words leave no such window out. The places of one
+document and item are one group, bounded by the document's length.
 Documents without a shared shingle leave the plan behind that first join; the texts of the others are read
 again. The benchmark's shingle hashes and the keys of those documents are broadcast while they are at most
 IN_MEMORY narrow rows, and joined by shuffle beyond that.
@@ -61,24 +63,38 @@ def blocks(fingerprint: Column) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard of two bags of hashes."""
     count = lambda bag, h: F.size(F.filter(bag, lambda x: x == h))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, h: s + F.least(count(a, h), count(b, h)))
+    once = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))  # then no multiplicities need counting
+    both = F.when(once, F.size(F.array_intersect(a, b))).otherwise(F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, h: s + F.least(count(a, h), count(b, h))))
     return both / (F.size(a) + F.size(b) - both)
 
 
+def starts(at: Column, n: Column, least: Column) -> Column:
+    """Every start of a window of n places that holds `least` of the ascending places `at`, each once.
+
+    The places from the i-th on are enough if the window reaches the one `least` - 1 further and starts no later
+    than the i-th; starts up to the place before the i-th belong to an earlier i."""
+    after = F.transform(F.sequence(F.lit(0), F.size(at) - least), lambda i: F.struct(F.greatest(F.get(at, i + least - 1) - n + 1, F.coalesce(F.get(at, i - 1) + 1, F.get(at, i + least - 1) - n + 1)).alias("first"), F.get(at, i).alias("last")))
+    each = F.flatten(F.transform(F.filter(after, lambda r: r["first"] <= r["last"]), lambda r: F.sequence(r["first"], r["last"])))
+    return F.when((F.size(at) >= least) & (least > 0), each)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_windows: one row per document and benchmark item found in it."""
     items = stage(with_shingles(benchmark.select("item_id", "text")).filter(F.col("length") >= WIDTH), "leak-items")
-    places = stage(items.select("length", F.posexplode("hs").alias("at", "h")).select("h", "length", "at").distinct(), "leak-places")
+    places = stage(items.select("length", F.xxhash64("hs").alias("item"), F.explode("hs").alias("h")).distinct(), "leak-places")
     known = stage(places.select("h").distinct(), "leak-known")
     # the key stands for a row's id and text; rows that agree in both are one row here
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    every = with_shingles(text.select("key", "text")).select("key", F.posexplode_outer("hs").alias("pos", "h"))  # outer: no inferred filter that would compute hs twice
-    anchors = stage(every.join(small_or_join(known, IN_MEMORY), "h").select("key", "pos", "h"), "leak-anchors")
+    every = with_shingles(text.select("key", "text")).select("key", F.size("hs").alias("total"), F.posexplode_outer("hs").alias("pos", "h"))  # outer: no inferred filter that would compute hs twice
+    anchors = stage(every.join(small_or_join(known, IN_MEMORY), "h").select("key", "total", "pos", "h").distinct(), "leak-anchors")
     hit = stage(anchors.select("key").distinct(), "leak-hit")
     rows = stage(with_shingles(text.join(small_or_join(hit, IN_MEMORY), "key", "left_semi").dropDuplicates(["key"])).drop("length"), "leak-rows")
-    # windows (start, length) that a shared shingle points at; each with at least a quarter of its item's shingles on that diagonal
-    pointed = anchors.join(small_or_join(places), "h").select("key", (F.col("pos") - F.col("at")).alias("start"), "length")
-    windows = pointed.groupBy("key", "start", "length").count().filter(F.col("count") * 4 >= F.col("length") - (WIDTH - 1)).select("key", "start", "length")
+    # windows (start, length) that hold enough of an item's shingles; those over the text's edge can do with fewer
+    held = anchors.join(small_or_join(places), "h").groupBy("key", "total", "item", "length").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    n = F.col("length") - (WIDTH - 1)
+    inside = (F.col("start") >= 0) & (F.col("start") + n <= F.col("total"))
+    parts = [held.select("key", "total", "length", F.explode(starts(F.col("at"), n, F.ceil(n * share - 1e-9).cast("int"))).alias("start")).filter(where) for share, where in ((2 * threshold / (1 + threshold), inside), (threshold, ~inside))]
+    windows = parts[0].unionByName(parts[1]).select("key", "start", "length").distinct()
     windows = stage(windows, "leak-windows")
     first = F.greatest(F.col("start"), F.lit(0)) + 1
     size = F.greatest(F.least(F.col("start") + F.col("length") - (WIDTH - 1), F.size("hs")) - first + 1, F.lit(0))

@@ -210,6 +210,40 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.decontaminate(empty, bench).count() == 0 and decontaminate.decontaminate(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items_with_shifted_words(spark):
+    """Insertions and deletions spread over a long item leave no diagonal with a quarter of its shingles."""
+    rng = random.Random(21)
+    items, rows = [], []
+    for i, (n, edits) in enumerate(((150, 3), (200, 4), (300, 5), (500, 6))):
+        words = prose(n, rng).split()
+        items.append((i, " ".join(words)))
+        for insert in (True, False):
+            now = list(words)
+            for k in range(edits, 0, -1):
+                place = k * n // (edits + 1)
+                now[place : place + (not insert)] = [prose(1, rng) + "q"] if insert else []
+            rows.append((2 * i + (not insert), f"{prose(40, rng)} {' '.join(now)} {prose(40, rng)}"))
+    rows += [(20, prose(600, rng)), (21, items[2][1])]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for d, t in rows:
+        for i, x in items:
+            w, v = t.split(), x.split()
+            b = bag(v)
+            if any(sum((a & b).values()) >= 0.8 * sum((a | b).values()) for a in (bag(w[max(s, 0) : s + len(v)]) for s in range(-4, len(w)))):
+                want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(df, bench).collect()}
+    assert got == want and len(want) >= 8
+
+
+def test_window_starts_are_all_that_hold_enough(spark):
+    rng = random.Random(5)
+    for n, least in ((1, 1), (6, 3), (10, 8), (12, 1)):
+        at = sorted(rng.sample(range(40), 25))
+        row = spark.range(1).select(decontaminate.starts(decontaminate.F.array(*map(decontaminate.F.lit, at)), decontaminate.F.lit(n), decontaminate.F.lit(least)).alias("s")).first()
+        assert row.s == [s for s in range(-n, 41) if sum(s <= p < s + n for p in at) >= least]
+
+
 def test_warc(spark):
     rows = [(1, "http://a/", "x" * 150), (2, None, "x" * 150), (3, "http://b/", None), (4, "u", ""), (5, "u", "é\r\n\r\n0\r\n\r\nWARC/1.1\r\n" * 900), (6, "u", "short"), (7, "u", "short"), (8, "u", "y" * 9000), (9, "u", "x" * 150)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, payload_bytes int").repartition(3)
