@@ -8,7 +8,9 @@ a block at once, one table look-up per id. Blocks are in ascending doc_id order
 a fixed order); a document's start is the sum of the sizes before it, from block totals.
 
 If the input's parts already hold ascending, disjoint ranges of doc_id, the blocks are made where the ids
-are; else the coded documents, not the wider ids, are dealt into doc_id ranges and sorted.
+are; else the rows are dealt into ranges of (doc_id, place in the input) and sorted, so that null ids, or many
+rows of one id, are spread like any others. What reaches the driver besides the id counts is one narrow row
+per part of the input.
 
 Defined cases: a null or empty text is its end id alone; null and repeated doc_ids are rows of their own; an
 empty table gives an empty file set; one document may be larger than a block's usual size and is then a block
@@ -22,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,7 +166,7 @@ def id_counts(tokens: DataFrame, size: int, wide) -> np.ndarray:
 
 
 def encode_blocks(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, np.ndarray]:
-    """Writes the file set; (part, seq, n_docs, n_ids, blob) of its blocks as read back, and the code lengths."""
+    """Writes the file set; (part, seq, low, n_docs, n_ids, blob) of its blocks as read back, and the code lengths."""
     size = encoder(vocabulary).size
     wide = np.uint16 if size <= 1 << 16 else np.uint32
     tokens = stage(token_table(docs, vocabulary).drop("queue", "before"), "huffman-tokens")
@@ -172,33 +175,27 @@ def encode_blocks(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, np.ndarr
     # one row per part of the input: does it hold an ascending range of its own?
     parts = tokens.groupBy("part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bool_and("in_order").alias("ok")).orderBy("low").collect()
     ordered = all(p["ok"] for p in parts) and all(a["high"] < b["low"] for a, b in zip(parts, parts[1:], strict=False))
-    if ordered:
-        place = {p["part"]: i for i, p in enumerate(parts)}
-        rows = tokens.select("part", "seq", "doc_id", "n", "ids")
-    else:
-        count = max(1, len(parts))
-        cuts = sorted({int(x) for x in (tokens.select("doc_id").dropna().approxQuantile("doc_id", [i / count for i in range(1, count)], 0.5 / count) if count > 1 else [])})
-        range_no = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0)) if len(cuts) <= 64 else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("doc_id") > c)))
-        place = {i: i for i in range(len(cuts) + 1)}
-        key = F.struct(F.col("doc_id").isNull(), "doc_id", "part", "seq")
-        rows = tokens.select(range_no.cast("int").alias("range_no"), key.alias("key"), "doc_id", "n", "ids").repartition(count, "range_no").sortWithinPartitions("range_no", "key")
-        rows = rows.select(F.col("range_no").alias("part"), F.lit(0).cast("long").alias("seq"), "doc_id", "n", "ids")
+    rows = tokens.select("part", "seq", "doc_id", "n", "ids")
+    if not ordered:
+        keys = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("part"), F.col("seq")]
+        rows = rows.repartitionByRange(max(1, len(parts)), *keys).sortWithinPartitions(*keys)
 
     def build(batches):
         codec = Codec(shared.value)
-        now, names, sizes, chunks, held, seq, row = None, [], [], [], 0, 0, 0
+        now, names, sizes, chunks, held, row, task = None, [], [], [], 0, 0, TaskContext.get().partitionId()
 
         def done():
             ids = np.frombuffer(b"".join(chunks), wide)
-            return pa.RecordBatch.from_arrays([pa.array([place[now]], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([block(names, sizes, ids, codec)], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([names[0]], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([block(names, sizes, ids, codec)], pa.binary())], names=["part", "seq", "low", "n_docs", "n_ids", "blob"])
 
         for batch in batches:
             for part, own, doc, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if names and (part != now or held + n > BLOCK_IDS):
+                place = (part, own) if ordered else (task, row)
+                if names and (place[0] != now[0] or held + n > BLOCK_IDS):
                     yield done()
                     names, sizes, chunks, held = [], [], [], 0
                 if not names:
-                    now, seq = part, own if ordered else row
+                    now = place
                 names.append(doc)
                 sizes.append(n)
                 chunks.append(raw)
@@ -207,14 +204,15 @@ def encode_blocks(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, np.ndarr
         if names:
             yield done()
 
-    return stage(rows.mapInArrow(build, "part int, seq long, n_docs long, n_ids long, blob binary"), "huffman-blocks", "uncompressed"), lengths
+    return stage(rows.mapInArrow(build, "part int, seq long, low long, n_docs long, n_ids long, blob binary"), "huffman-blocks", "uncompressed"), lengths
 
 
 def decode_blocks(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the file set."""
     spark = blocks.sparkSession
     shared = spark.sparkContext.broadcast(lengths)
-    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one row per part of the input
+    # one row per part of the file set; parts with equal or no ids come in the order of their numbers
+    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min("low").alias("low")).orderBy(F.asc_nulls_last("low"), "part").collect()
     first, run = [], 0
     for r in totals:
         first.append((r["part"], run))

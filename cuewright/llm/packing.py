@@ -6,12 +6,18 @@ round-robin's state after b rounds has a closed form, floor(T * b / rounds) ids
 so any task can start at any round with the right deficits: nothing runs in sequence over the corpus. A
 document's place in its queue is a prefix sum (within a part while it is encoded, then over parts), its
 pieces are where the rounds cut that stretch, and a piece's place in the output follows from the closed form
-of all queues. Queues beyond the `queues - 1` largest share one queue, so the plan that tasks hold is bounded;
-no document is dropped.
+of all queues.
+
+Sources with at least one id a window (there can be no more than `window` of them, so the plan that tasks
+hold is bounded) and those with a target have a queue each. Of smaller sources a window's share is less than
+one id. They share one more queue, in which each is served a document at a time, when its deficit has come to
+the middle of it: in order of (ids before it in its source + half its own) / (ids of its source). So the small
+sources, too, run side by side from the first window to the last, however many they are.
 
 With the targets equal to the corpus' own proportions all queues end together and there is one stretch of
-rounds. With other `targets` the stretch ends when the first queue runs dry; the others go on in their
-relative proportions, and so on until all are empty: every id is packed exactly once in either case.
+rounds. With other `targets` the stretch ends when the first queue with a target runs dry; the others go on in
+their relative proportions, sources without a target come when no other is left, in the proportions of their
+sizes: every id is packed exactly once in either case.
 
 Defined cases: a null or empty text is its end id alone; a null source is a queue of its own; null or
 repeated doc_ids are packed as rows of their own; an empty table gives an empty result; only the last
@@ -30,7 +36,11 @@ from pyspark.sql import functions as F
 from .common import small_or_join, stage
 from .tokens import encoder, token_table
 
-WINDOW, QUEUES = 4096, 64
+WINDOW = 4096
+#: Rows of (part, queue) up to which the queues' places are broadcast; beyond, they are joined by shuffle.
+PLACES = 1_000_000
+#: Stretches of the small sources' common queue that are summed apart.
+LANES = 65_536
 
 
 def stretches(totals: list[int], targets: list[float] | None, window: int) -> list[dict]:
@@ -38,11 +48,11 @@ def stretches(totals: list[int], targets: list[float] | None, window: int) -> li
     left, before, start, out = list(totals), [0] * len(totals), 0, []
     weights = list(targets) if targets else [float(t) for t in totals]
     while any(left):
-        alive = [i for i, n in enumerate(left) if n and weights[i] > 0] or [i for i, n in enumerate(left) if n]
-        first = min(alive, key=lambda i: left[i] / (weights[i] or 1.0)) if targets else None
-        take = [0] * len(left)
+        alive = [i for i, n in enumerate(left) if n and weights[i] > 0] if targets else []
+        first = min(alive, key=lambda i: left[i] / weights[i]) if alive else None
+        take = [0] * len(left) if alive else list(left)
         for i in alive:
-            take[i] = left[i] if first is None or i == first else min(left[i], int(left[first] * ((weights[i] or 1.0) / (weights[first] or 1.0))))
+            take[i] = left[i] if i == first else min(left[i], int(left[first] * (weights[i] / weights[first])))
         total = sum(take)
         out.append({"before": before, "ids": take, "rounds": max(1, -(-total // window)), "start": start})
         before = [b + n for b, n in zip(before, take, strict=True)]
@@ -72,28 +82,42 @@ def pieces_of(slot: int, a: int, b: int, plan: list[dict], window: int) -> list[
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, source: str = "source", window: int = WINDOW, queues: int = QUEUES, targets: dict[str, float] | None = None) -> DataFrame:
+def queue_places(tokens: DataFrame) -> DataFrame:
+    """part, queue, base: a queue's ids before each part, by prefix sums over lanes of parts and then within them."""
+    sizes = stage(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"), F.shiftright("part", 8).alias("lane")), "packing-sizes")
+    before = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lanes = stage(sizes.groupBy("queue", "lane").agg(F.sum("n").alias("n")), "packing-lanes")
+    lanes = lanes.select("queue", "lane", before(["queue"], "lane").alias("first"), F.sum("n").over(Window.partitionBy("queue")).alias("total"))
+    placed = sizes.withColumn("run", before(["queue", "lane"], "part")).join(lanes, ["queue", "lane"])
+    return stage(placed.select("part", "queue", (F.col("run") + F.col("first")).alias("base"), "total"), "packing-places")
+
+
+def small_places(small: DataFrame) -> DataFrame:
+    """part, seq, place: documents of small sources in their common queue. small: part, seq, queue, n, time (0 to 1)."""
+    spark = small.sparkSession
+    dealt = stage(small.withColumn("lane", F.least(F.floor(F.col("time") * LANES), F.lit(LANES - 1)).cast("int")), "packing-small")
+    run, first = 0, []
+    for r in dealt.groupBy("lane").agg(F.sum("n").alias("n")).orderBy("lane").collect():  # at most LANES rows
+        first.append((r["lane"], run))
+        run += r["n"]
+    order = Window.partitionBy("lane").orderBy("time", "queue", "part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.select("part", "seq", "lane", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("run"))
+    return stage(within.join(F.broadcast(spark.createDataFrame(first, "lane int, first long")), "lane").select("part", "seq", (F.col("run") + F.col("first")).alias("place")), "packing-small-places")
+
+
+def pack(docs: DataFrame, vocabulary: str, source: str = "source", window: int = WINDOW, targets: dict[str, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
-    tokens = stage(token_table(docs, vocabulary, source), "packing-tokens")
-    sizes = stage(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "packing-sizes")
-    totals = sizes.groupBy("queue").agg(F.sum("n").alias("n"))
-    named = [r["queue"] for r in totals.orderBy(F.desc("n"), "queue").limit(queues - 1).collect()]
-    # slot: the queue's number, the last for all queues beyond the largest; lane: parts of a slot that are summed apart
-    place = F.coalesce(F.array_position(F.array(*map(F.lit, named)) if named else F.array().cast("array<string>"), F.col("queue")), F.lit(0))
-    slotted = sizes.select("part", "queue", "n", F.when(place > 0, (place - 1).cast("int")).otherwise(F.lit(len(named))).alias("slot"))
-    slotted = slotted.withColumn("lane", F.when(F.col("slot") == len(named), F.pmod(F.xxhash64("queue"), F.lit(256))).otherwise(F.pmod(F.col("part"), F.lit(256))).cast("int"))
-    lanes = {(r["slot"], r["lane"]): r["n"] for r in slotted.groupBy("slot", "lane").agg(F.sum("n").alias("n")).collect()}  # at most queues * 256 rows
-    ids = [sum(n for (s, _), n in lanes.items() if s == slot) for slot in range(len(named) + 1)]
-    run, first = {}, []
-    for (slot, lane), n in sorted(lanes.items()):
-        first.append((slot, lane, run.get(slot, 0)))
-        run[slot] = run.get(slot, 0) + n
     spark = docs.sparkSession
-    order = Window.partitionBy("slot", "lane").orderBy("queue", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = slotted.withColumn("run", F.coalesce(F.sum("n").over(order), F.lit(0))).join(F.broadcast(spark.createDataFrame(first, "slot int, lane int, first long")), ["slot", "lane"])
-    bases = stage(bases.select("part", "queue", "slot", (F.col("run") + F.col("first")).alias("base")), "packing-bases")
-    weights = [float(targets.get(q[1:], 0.0)) if q[:1] == "s" else 0.0 for q in named] + [0.0] if targets else None
-    plan = spark.sparkContext.broadcast(stretches(ids, weights, window))  # at most `queues` stretches of `queues` numbers
+    tokens = stage(token_table(docs, vocabulary, source), "packing-tokens")
+    places = queue_places(tokens)
+    totals = stage(places.select("queue", "total").distinct(), "packing-totals")  # a row per source
+    total = totals.agg(F.sum("total")).first()[0] or 0
+    aimed = {f"s{name}": float(weight) for name, weight in (targets or {}).items()}
+    large = (F.col("total") >= max(1, -(-total // window))) | (F.col("queue").isin(list(aimed)) if aimed else F.lit(False))
+    named = totals.filter(large).orderBy(F.desc("total"), "queue").collect()  # at most `window` sources and the targets
+    rest = total - sum(r["total"] for r in named)
+    slots = F.broadcast(spark.createDataFrame([(r["queue"], i) for i, r in enumerate(named)], "queue string, slot int"))
+    plan = spark.sparkContext.broadcast(stretches([*(r["total"] for r in named), rest], [*(aimed.get(r["queue"], 0.0) for r in named), 0.0] if targets else None, window))
 
     def cut(batches):
         wide = np.uint16 if encoder(vocabulary).size <= 1 << 16 else np.uint32
@@ -107,8 +131,14 @@ def pack(docs: DataFrame, vocabulary: str, source: str = "source", window: int =
                         column.append(x)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:7]), pa.array(rows[7], pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    placed = tokens.select("doc_id", "n", "before", "part", "queue", "ids").join(small_or_join(bases), ["part", "queue"])
+    own = small_or_join(stage(places.join(slots, "queue").select("part", "queue", "slot", "base"), "packing-bases"), PLACES)
+    placed = tokens.select("doc_id", "n", "before", "part", "queue", "ids").join(own, ["part", "queue"])
     placed = placed.select("doc_id", "n", (F.col("base") + F.col("before")).alias("place"), "slot", "ids")
+    if rest:
+        few = tokens.join(slots, "queue", "left_anti")
+        shares = few.select("part", "seq", "queue", "n", "before").join(places, ["part", "queue"])
+        shared = small_places(shares.select("part", "seq", "queue", "n", ((F.col("base") + F.col("before") + F.col("n") / 2) / F.col("total")).alias("time")))
+        placed = placed.unionByName(few.select("doc_id", "n", "part", "seq", "ids").join(shared, ["part", "seq"]).select("doc_id", "n", "place", F.lit(len(named)).alias("slot"), "ids"))
     return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 

@@ -1,10 +1,13 @@
-"""Token ids of whole texts with the tokenizers library, a piece of text at a time with a bounded memory of pieces.
-
-Both vocabularies used here split a text into pieces before they look at merges, and a single space between
-two other characters always ends a piece, as does the step from a letter to ASCII punctuation. So a text can
-be cut there, each distinct piece encoded once by the library, and the ids strung together: the same ids as
-for the whole text (tests compare them on every document), at a fraction of the time. A text in which a
-space touches other white space, or that holds rare spaces or combining marks, is encoded whole.
+"""Token ids of whole texts with the tokenizers library, each distinct part of text encoded once.
+
+Both vocabularies used here split a text into parts before they look at merges, and a single space between
+two other characters always ends a part, as does a line feed between two such characters and the step from a
+letter to ASCII punctuation. So texts are cut there by Arrow, a whole batch at a time, and only the distinct
+parts become Python strings; what is not remembered from earlier batches goes to the library (a word of plain
+Latin letters to its model at once, as normalising and splitting would leave such a word as it is; the rest
+through the whole tokenizer), and the ids are strung together by numpy: the same ids as for the whole text
+(tests compare them on every document), at a fraction of the time. A text in which white space touches white
+space, or that holds rare spaces or combining marks, is cut only at single spaces between other characters.
 """
 
 from __future__ import annotations
@@ -16,74 +19,118 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_limits
 
-#: Distinct pieces remembered per Python worker, in each of two generations.
-REMEMBERED = 200_000
+#: Distinct parts remembered per Python worker, in each of two generations.
+REMEMBERED = 400_000
 END_ID = 2
-#: ASCII punctuation that ends a word's piece (not the apostrophe, which starts contractions).
-_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
-_WHOLE = re.compile("\0|  | [\\s\x1c-\x1f]|[\\s\x1c-\x1f] |^ | $|[̀-ͯ\u0085   -‏    　﻿]")
+#: ASCII punctuation that ends a word's part (not the apostrophe, which starts contractions).
+_MARKS = "!-&(-/:-@\\[-`{-~"
+_RARE = r"\x00\x01\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{300}-\x{36f}\x{1680}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+#: Texts that are not simply words parted by single spaces and line feeds (RE2).
+_ODD = rf"[ \n][ \n]|^[ \n]|[ \n]$|[{_RARE}]"
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Words that no normalising or splitting changes, except for their case.
+_WORD = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
+#: The characters that byte-level models have for bytes: printable ones stand for themselves, the others are numbered from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
+
+
+def spread(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ids that the codes name, strung together, and each one's end. sizes: of the stretches of ids."""
+    first, each = np.cumsum(sizes) - sizes, sizes[codes]
+    ends = np.cumsum(each)
+    return ids[np.repeat(first[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def ends_of(lists: pa.Array, ends: np.ndarray) -> np.ndarray:
+    """The end of each list, from its items' ends, with a zero before them."""
+    return np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
 
 
 class Encoder:
-    """encode(text) -> uint32 ids, for one vocabulary file."""
+    """The ids of texts, for one vocabulary file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
+        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.spaced, self.folds = one(" a") != one("a"), one("AB") == one("ab")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces (each follows a space) into the younger generation; a word and the marks behind it are learned apart."""
-        parts, wanted = [], {}
-        for piece in pieces:
-            core = piece.rstrip(_MARKS)
-            cut = len(core) if core and core != piece and core[-1].isalpha() else len(piece)
-            pair = (" " + piece[:cut], piece[cut:] and "\0" + piece[cut:])
-            parts.append(pair)
-            for p in pair:
-                if p and p not in self.young:
-                    if (seen := self.old.get(p)) is None:
-                        wanted[p] = None
+    def ids_of(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of the distinct parts."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, rest = self.young, []
+        for part in parts:
+            if part not in young:
+                seen = self.old.get(part)
+                if seen is None:
+                    if word := _WORD.fullmatch(part):
+                        plain = word[2].lower() if self.folds else word[2]
+                        if not plain.isascii():
+                            plain = plain.encode().decode("latin-1").translate(_BYTES)
+                        seen = array("I", [t.id for t in self.model.tokenize("Ġ" + plain if word[1] and self.spaced else plain)]).tobytes()
                     else:
-                        self.young[p] = seen
-        if wanted:
-            for p, e in zip(wanted, self.tokenizer.encode_batch_fast([p.lstrip("\0") for p in wanted], add_special_tokens=False), strict=True):
-                self.young[p] = array("I", e.ids).tobytes()
-        for piece, (a, b) in zip(pieces, parts, strict=True):
-            self.young[piece] = self.young[a] + self.young[b] if b else self.young[a]  # a starts with a space, b with a zero: no piece does
+                        rest.append(part)
+                young[part] = seen
+        if rest:
+            for part, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                young[part] = array("I", e.ids).tobytes()
+        return [young[p] for p in parts]
+
+    def parts_of(self, pieces: pa.Array) -> pa.Array:
+        """Lists of the parts of pieces of plain texts; a zero byte marks a text's first piece, a space goes before others."""
+        first = pc.starts_with(pieces, "\0")
+        pieces = pc.if_else(first, pc.utf8_slice_codeunits(pieces, 1), pc.binary_join_element_wise(" ", pieces, "") if self.spaced else pieces)
+        if self.folds:
+            pieces = pc.if_else(pc.string_is_ascii(pieces), pc.ascii_lower(pieces), pieces)
+        pieces = pc.replace_substring(pieces, "\n", "\x01\n\x01")
+        return pc.split_pattern(pc.replace_substring_regex(pieces, rf"(\pL)([{_MARKS}]+)(\x01|$)", r"\1" + "\x01" + r"\2\3"), "\x01")
+
+    def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
+        """uint32 ids of each text of a string column; a null is an empty text."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        lists = pc.split_pattern(pc.binary_join_element_wise("\0", pc.if_else(odd, "", texts), ""), " ")
+        pieces = lists.flatten().dictionary_encode()
+        inner = self.parts_of(pieces.dictionary)
+        parts = inner.flatten().dictionary_encode()
+        got = self.ids_of(parts.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) >> 2
+        ids, ends = spread(np.frombuffer(b"".join(got), np.uint32), sizes, parts.indices.to_numpy())
+        ids, ends = spread(ids, np.diff(ends_of(inner, ends)), pieces.indices.to_numpy())
+        cuts = ends_of(lists, ends).tolist()
+        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            first, *rest = _SAFE.split(texts[i].as_py())
+            units = [first, *(" " + p for p in rest)]
+            own = list(dict.fromkeys(units))
+            known = dict(zip(own, self.ids_of(own), strict=True))
+            out[i] = np.frombuffer(b"".join([known[u] for u in units]), np.uint32)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of one text."""
-        if not text or _WHOLE.search(text):
-            return np.frombuffer(self.whole(text), np.uint32)
-        first, *rest = text.split(" ")
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        known = self.young
-        got = list(map(known.get, rest))
-        if None in got:
-            self._learn([p for p in {p: None for p, g in zip(rest, got, strict=True) if g is None}])
-            got = map(known.__getitem__, rest)
-        return np.frombuffer(self.whole(first) + b"".join(got), np.uint32)
+        return self.encode_column(pa.array([text], pa.string()))[0]
 
 
 @cache
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and vocabulary."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
 
@@ -101,8 +148,8 @@ def token_table(docs: DataFrame, vocabulary: str, queue: str | None = None) -> D
         part, seq, last, seen = TaskContext.get().partitionId(), 0, None, {}
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
-            for doc, name, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = np.append(e.encode(text or ""), np.uint32(END_ID)).astype(kind)
+            for doc, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), e.encode_column(batch.column(2)), strict=True):
+                ids = np.append(text, np.uint32(END_ID)).astype(kind)
                 for column, x in zip(rows, (seq, seen.get(name, 0), doc is not None and (last is None and seq == 0 or last is not None and doc >= last), len(ids), ids.tobytes(), part), strict=True):
                     column.append(x)
                 seen[name], last, seq = seen.get(name, 0) + len(ids), doc, seq + 1

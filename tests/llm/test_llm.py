@@ -97,7 +97,7 @@ def test_cuts_follow_content():
 def test_ids_equal_the_library(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    texts = [r[1] or "" for r in corpus()] + ["*** ***, er*** x", "it's 'tis don 't é ́x", "İ Σ ΑΣ ß ﬁ a", "<|endoftext|> a", "tab\tin word\r\nnew", "ab.' c ! !!x", "x\x85y z", "a5. b"]
+    texts = [r[1] or "" for r in corpus()] + ["*** ***, er*** x", "it's 'tis don 't é ́x", "İ Σ ΑΣ ß ﬁ a", "<|endoftext|> a", "tab\tin word\r\nnew", "ab.' c ! !!x", "x\x85y z", "a5. b", "a  b c", "one\n\ntwo three\nfour", " lead trail ", "x\ny", "x.\nY!! z", "é\x01 b", "Ünï côdé ÀÉ", "don't. 'x' a'b.", "a.\n'tis", "...\n...", "5.\n6"]
     e = tokens.Encoder(path)
     for text in texts:
         assert e.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
@@ -106,8 +106,8 @@ def test_ids_equal_the_library(path):
 def test_packing(docs, empty):
     t = tokens.Encoder(WORD)
     want = {i: np.append(t.encode(x or ""), np.uint32(2)).astype("<u4") for i, x, *_ in corpus()}
-    for window, queues, targets in ((64, 64, None), (100, 2, None), (64, 64, {"hot": 1.0, "s0": 3.0})):
-        rows = packing.pack(docs, WORD, window=window, queues=queues, targets=targets).collect()
+    for window, targets in ((64, None), (4, None), (64, {"hot": 1.0, "s0": 3.0})):  # with windows of four ids all sources but the hot one are small
+        rows = packing.pack(docs, WORD, window=window, targets=targets).collect()
         by_doc, by_window = collections.defaultdict(list), collections.defaultdict(list)
         for r in rows:
             assert r.ids == want[r.doc_id][r.start : r.start + r.length].tobytes() and r.ids_crc32 == zlib.crc32(r.ids) and r.doc_tokens == len(want[r.doc_id])
@@ -124,6 +124,37 @@ def test_packing(docs, empty):
     assert packing.pack(empty, WORD).count() == 0
 
 
+def test_packing_runs_many_small_sources_side_by_side(spark):
+    """300 sources share windows of 32 ids: none has an id a window, and each is spread over the whole output."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng.randint(1, 12), rng), f"site{i % 300}") for i in range(3000)] + [(i, prose(10, rng), "big") for i in range(3000, 5000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6), WORD, window=32).collect()
+    last, where, share = max(r.sequence_id for r in got), collections.defaultdict(list), collections.Counter()
+    for r in got:
+        where[rows[r.doc_id][2]].append(r.sequence_id / last)
+        share[r.sequence_id] += r.length if r.doc_id >= 3000 else 0
+    assert all(min(places) < 0.25 and max(places) > 0.75 for places in where.values()) and len(where) == 301
+    assert all(abs(share[w] - share[w + 1]) <= 1 for w in range(last - 1))
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
+
+
+def test_packing_and_files_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b", "x"), (None, "c", None), (7, "same text", "x"), (7, "same text", "x"), (3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    t = tokens.Encoder(WORD)
+    want = sorted((d if d is not None else -1, len(t.encode(x or "")) + 1) for d, x, _ in rows)
+    got = packing.pack(df, WORD, window=4).collect()
+    assert sum(r.length for r in got) == sum(n for _, n in want) and sorted({(r.doc_id if r.doc_id is not None else -1, r.doc_tokens) for r in got}) == sorted(set(want))
+    t = tokens.Encoder(BYTE)
+    files = sorted(huffman.decode_blocks(*huffman.encode_blocks(df, BYTE)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in files] == [3, 7, 7, None, None]
+    at = 0
+    for r in files:
+        assert r.start == at
+        at += r.n_tokens
+    assert sorted(r.ids_crc32 for r in files) == sorted(zlib.crc32(np.append(t.encode(x or ""), np.uint32(2)).astype("<u4").tobytes()) for _, x, _ in rows)
+
+
 def test_packing_keeps_the_proportions(docs):
     source = {i: s for i, _, _, s, _, _ in corpus()}
     rows = packing.pack(docs, WORD, window=256).collect()
