@@ -15,14 +15,18 @@ of one letter case only, or of letters without digits, are none: keys of that ki
 The Benjamini-Hochberg thresholds come from a histogram of p-values (1/20 of a decade) per length class, a
 table of bounded size, so nothing is ranked or gathered; a threshold is a whole histogram step.
 
-Positions are code points, end exclusive. A random span that touches a base span is left out: it is found
-already. Defined cases: a null text counts as empty; a text without hits has zeros, the hash of the empty
-string and no spans; rows with equal or null doc_ids get a row each; an empty table gives an empty result.
+Positions are code points, end exclusive: each match is kept with the length of the gap before it, and a
+running sum over a text's matches gives the places, so the work is linear in the text however dense its
+matches are. A random span that touches a base span is left out: it is found already.
+
+Defined cases: a null text counts as empty; a text without hits has zeros, the hash of the empty string and no
+spans; very long texts and runs are searched and tested whole; rows with equal or null doc_ids get a row each;
+an empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -47,16 +51,20 @@ ENCODINGS = (
 )
 
 
-def found(text: Column, pattern: str, kind: str) -> Column:
-    """array<struct<start, end, rank-in-order, kind, value>> of the leftmost non-overlapping matches, in code points."""
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    # positions: the gaps' lengths and the earlier hits' lengths, summed up to each hit
-    step = lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.element_at(hits, i)) + F.length(F.element_at(gaps, i + 1))))
-    first = F.array(F.length(F.element_at(gaps, 1)).cast("int"))
-    starts = F.aggregate(F.sequence(F.lit(1), F.size(hits)), first, lambda acc, i: step(acc, i))
-    spans = F.transform(hits, lambda h, i: F.struct(F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(h)).alias("end"), F.lit(kind).alias("kind"), h.alias("value")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>"))
+KINDS = ("assign", "access", "hex", "random")
+
+
+def found(text: Column, pattern: str, rank: int) -> Column:
+    """array<struct<rank, gap, value>> of the leftmost non-overlapping matches, in order; gap: characters since the match before."""
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda g, h: F.struct(F.lit(rank).alias("rank"), F.length(g).alias("gap"), h.alias("value")))
+    return F.when(text.rlike(pattern), F.filter(pairs, lambda p: p["value"].isNotNull())).otherwise(F.array().cast("array<struct<rank:int,gap:int,value:string>>"))
+
+
+def placed(hits: DataFrame) -> DataFrame:
+    """row_no, rank, start, end, value of every match. hits: row_no, hits."""
+    each = hits.filter(F.size("hits") > 0).select("row_no", F.posexplode("hits").alias("pos", "h")).select("row_no", "pos", "h.rank", "h.gap", "h.value")
+    upto = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("row_no", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return each.select("row_no", "rank", (upto - F.length("value")).alias("start"), upto.alias("end"), "value")
 
 
 def upper_tail(z: Column) -> Column:
@@ -77,7 +85,7 @@ def battery(runs: DataFrame) -> DataFrame:
     told = runs.select("*", encoding.alias("encoding"), alphabet.alias("alphabet"), least.alias("least"), core.alias("core"))
     text = F.when(F.col("encoding") == "hex", F.lower("core")).otherwise(F.col("core"))
     told = told.withColumn("x", F.transform(F.split(text, ""), lambda c: F.instr(F.col("alphabet"), c) - 1))
-    told = told.withColumn("x", F.filter("x", lambda v: v >= 0)).withColumn("n", F.size("x").cast("double")).withColumn("k", F.length("alphabet").cast("double")).filter("n >= 2")
+    told = told.withColumn("x", F.filter("x", lambda v: v >= 0)).withColumn("n", F.size("x").cast("double")).withColumn("k", F.length("alphabet").cast("double"))  # every run has 24 symbols at least; a filter here would be pushed down into the lambda
     total = lambda of, f: F.aggregate(of, F.lit(0.0), lambda s, v: s + f(v))
     n, k = F.col("n"), F.col("k")
     # chi-squared from the squared counts, scaled to its exact variance, then Wilson-Hilferty
@@ -107,8 +115,6 @@ def battery(runs: DataFrame) -> DataFrame:
 
 def thresholds(tested: DataFrame, level: float = FDR) -> DataFrame:
     """length_class, step: runs whose p-value lies in this histogram step or below are called structured."""
-    from pyspark.sql import Window
-
     # at most 64 length classes of at most 1,900 steps
     steps = tested.groupBy("length_class", "step").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("length_class")
@@ -120,24 +126,29 @@ def thresholds(tested: DataFrame, level: float = FDR) -> DataFrame:
 def scan_secrets(docs: DataFrame, level: float = FDR) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random: one row per row of docs (needs doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    assign = F.filter(found(text, _ASSIGN, "assign"), lambda h: F.length(F.regexp_extract(h["value"], _ASSIGN, 2)) >= 6)
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row_no"), assign.alias("assign"), found(text, _ACCESS, "access").alias("access"), found(text, _HEX, "hex").alias("hex"), found(text, _RUN, "random").alias("run"))
-    rows = stage(rows, "secret-spans")  # the spans only: a small part of the texts
-    bare = lambda c: F.transform(c, lambda h: F.struct(h["start"].alias("start"), F.lit({"assign": 0, "access": 1, "hex": 2, "random": 3}[c]).alias("rank"), h["end"].alias("end"), h["kind"].alias("kind")))
-    base = F.array_sort(F.concat(bare("assign"), bare("access"), bare("hex")))
-    rows = rows.select("doc_id", "row_no", base.alias("base"), F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), "run")
-    runs = rows.filter(F.size("run") > 0).select("row_no", "base", F.explode("run").alias("r")).select("row_no", "base", "r.start", "r.end", "r.value")
-    tested = battery(runs).withColumn("length_class", F.floor(2 * F.log2("n")).cast("int")).withColumn("step", F.floor(-20 * F.col("log_p")).cast("int"))
-    tested = stage(tested.select("row_no", "base", "start", "end", "value", "encoding", "least", "n", "length_class", "step"), "secret-tested")
+    every = F.concat(*(found(text, pattern, rank) for rank, pattern in enumerate((_ASSIGN, _ACCESS, _HEX, _RUN))))
+    rows = stage(docs.select("doc_id", F.monotonically_increasing_id().alias("row_no"), every.alias("hits")), "secret-hits")  # the matches only: a small part of the texts
+    spans = placed(rows.select("row_no", "hits")).filter((F.col("rank") > 0) | (F.length(F.regexp_extract("value", _ASSIGN, 2)) >= 6))
+    # the base spans that end last before a run and start first after it
+    base, text_of = F.col("rank") < 3, Window.partitionBy("row_no")
+    ended = F.max(F.when(base, F.col("end"))).over(text_of.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    begun = F.min(F.when(base, F.col("start"))).over(text_of.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
+    spans = stage(spans.select("*", (F.coalesce(ended <= F.col("start"), F.lit(True)) & F.coalesce(begun >= F.col("end"), F.lit(True))).alias("clear")), "secret-spans")
+    tested = battery(spans.filter(~base)).withColumn("length_class", F.floor(2 * F.log2("n")).cast("int")).withColumn("step", F.floor(-20 * F.col("log_p")).cast("int"))
+    tested = stage(tested.select("row_no", "start", "end", "value", "clear", "encoding", "least", "n", "length_class", "step"), "secret-tested")
     cuts = stage(thresholds(tested, level), "secret-cuts")  # at most 64 rows
     mixed = F.col("value").rlike("[0-9]") & (F.col("value").rlike("[A-Za-z]") | (F.col("encoding") == "digits"))
-    clear = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    random = tested.join(F.broadcast(cuts), "length_class", "left").filter((F.col("step") < F.coalesce("cut", F.lit(1 << 30))) & (F.col("n") >= F.col("least")) & mixed & clear)
-    random = stage(random.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(3).alias("rank"), "end", F.lit("random").alias("kind")))).alias("random")), "secret-random")
-    said = lambda spans: F.array_join(F.transform(spans, lambda h: F.concat_ws(":", h["kind"], h["start"].cast("string"), h["end"].cast("string"))), ",")
-    every = F.array_sort(F.concat("base", F.coalesce("random", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))))
-    joined = rows.drop("run").join(random, "row_no", "left")
-    return joined.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said(every).alias("spans"), F.coalesce(F.size("random"), F.lit(0)).cast("long").alias("n_random"))
+    random = tested.join(F.broadcast(cuts), "length_class", "left").filter((F.col("step") < F.coalesce("cut", F.lit(1 << 30))) & (F.col("n") >= F.col("least")) & mixed & F.col("clear"))
+    kept = spans.filter(base).select("row_no", "rank", "start", "end").unionByName(random.select("row_no", F.lit(3).alias("rank"), "start", "end"))
+    listed = kept.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("all"), *(F.count_if(F.col("rank") == r).alias(f"n_{k}") for r, k in enumerate(KINDS)))  # a text's own spans
+    names = F.array(*map(F.lit, KINDS))
+    said = lambda found: F.array_join(F.transform(found, lambda h: F.concat_ws(":", F.get(names, h["rank"]), h["start"].cast("string"), h["end"].cast("string"))), ",")
+    told = listed.select("row_no", *(f"n_{k}" for k in KINDS), said(F.filter("all", lambda h: h["rank"] < 3)).alias("base"), said(F.col("all")).alias("spans"))
+    told = stage(told, "secret-told")
+    joined = rows.select("doc_id", "row_no").join(told, "row_no", "left")
+    n = {k: F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS}
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return joined.select("doc_id", n["assign"], n["access"], n["hex"], F.sha2(blank("base").cast("binary"), 256).alias("base_sha256"), blank("spans").alias("spans"), n["random"])
 
 
 def op2_secret_battery(spark, sf_dir: str) -> DataFrame:
