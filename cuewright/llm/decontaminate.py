@@ -1,24 +1,28 @@
 """Operator 6, benchmark decontamination by SimHash windows. DataFrame functions only.
 
 A benchmark item of L words is looked for in windows of L words. Windows and items carry a 64-bit SimHash of
-their five-word shingles; a multi-index over RADIUS + 1 bit blocks finds every item within RADIUS bits of a
-window of its size (two fingerprints that differ in RADIUS bits agree in at least one of RADIUS + 1 blocks).
+their five-word shingles; a multi-index over RADIUS + 1 bit blocks finds every window within RADIUS bits of an
+item of its size (two fingerprints that differ in RADIUS bits agree in at least one of RADIUS + 1 blocks).
 Each candidate is verified exactly: the weighted Jaccard similarity of the two bags of shingles (weights are
-multiplicities) must reach `threshold`.
+multiplicities) must reach `threshold`. At a similarity of 0.8 about ten bits differ, so that RADIUS is more than
+three deviations away.
 
 A window of similarity t has at least t of the item's n shingles in it (the intersection is no larger than the
 window's bag, so it is at least t * n), and one of n shingles at least 2 t / (1 + t) of them. So the places where
-a document has a shingle of the item are gathered, and every window that holds as many of them is fingerprinted,
-in whatever order they are: inserted, deleted and moved words leave no such window out. The places of one
-document and item are one group, bounded by the document's length.
+a document has a shingle of the item are gathered, and every window that holds as many of them is fingerprinted
+and posted under that item, in whatever order they are: inserted, deleted and moved words leave no such window
+out, and windows meet only items with which they share that much. Only fingerprints and keys go through the
+index; bags are joined to the candidates that are within the radius.
+The places of one document and item are one group, bounded by the document's length.
 Documents without a shared shingle leave the plan behind that first join; the texts of the others are read
 again. The benchmark's shingle hashes and the keys of those documents are broadcast while they are at most
 IN_MEMORY narrow rows, and joined by shuffle beyond that.
 
 Words are runs of other than \\x20 and \\x09-\\x0D, A-Z in lower case. Defined cases: null texts count as
 empty; items of fewer than five words are too short to be evidence and match nothing; repeated items match
-alike; repeated or null doc_ids: rows with one doc_id give one result per (doc_id, item), a null doc_id is a
-document like others; empty tables give an empty result. Other columns are ignored.
+alike, and items that share shingles are each looked for; very long texts and items are taken whole; repeated or
+null doc_ids: rows with one doc_id give one result per (doc_id, item), a null doc_id is a document like others;
+empty tables give an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import small_or_join, stage
 
-WIDTH, RADIUS, THRESHOLD, IN_MEMORY = 5, 15, 0.8, 1_000_000
+WIDTH, RADIUS, THRESHOLD, IN_MEMORY = 5, 19, 0.8, 1_000_000
 _BREAK = "[\\x20\\x09-\\x0D]+"
 
 
@@ -80,8 +84,8 @@ def starts(at: Column, n: Column, least: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_windows: one row per document and benchmark item found in it."""
-    items = stage(with_shingles(benchmark.select("item_id", "text")).filter(F.col("length") >= WIDTH), "leak-items")
-    places = stage(items.select("length", F.xxhash64("hs").alias("item"), F.explode("hs").alias("h")).distinct(), "leak-places")
+    items = stage(with_shingles(benchmark.select("item_id", "text")).filter(F.col("length") >= WIDTH).withColumn("item", F.xxhash64("hs")), "leak-items")
+    places = stage(items.select("length", "item", F.explode("hs").alias("h")).distinct(), "leak-places")
     known = stage(places.select("h").distinct(), "leak-known")
     # the key stands for a row's id and text; rows that agree in both are one row here
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
@@ -93,26 +97,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     held = anchors.join(small_or_join(places), "h").groupBy("key", "total", "item", "length").agg(F.array_sort(F.collect_list("pos")).alias("at"))
     n = F.col("length") - (WIDTH - 1)
     inside = (F.col("start") >= 0) & (F.col("start") + n <= F.col("total"))
-    parts = [held.select("key", "total", "length", F.explode(starts(F.col("at"), n, F.ceil(n * share - 1e-9).cast("int"))).alias("start")).filter(where) for share, where in ((2 * threshold / (1 + threshold), inside), (threshold, ~inside))]
-    windows = parts[0].unionByName(parts[1]).select("key", "start", "length").distinct()
-    windows = stage(windows, "leak-windows")
-    first = F.greatest(F.col("start"), F.lit(0)) + 1
-    size = F.greatest(F.least(F.col("start") + F.col("length") - (WIDTH - 1), F.size("hs")) - first + 1, F.lit(0))
-    cut = rows.select("doc_id", "key", "hs").join(windows, "key").select("doc_id", "start", "length", F.slice("hs", first, size).alias("bag")).filter(F.size("bag") > 0)
-    prints = stage(cut.select("*", simhash(F.col("bag")).alias("print")), "leak-prints")
-    own = items.select("item_id", "length", "hs", simhash(F.col("hs")).alias("item_print"))
-    own = stage(own, "leak-item-prints")
-    own = stage(own.select("item_id", "length", "hs", "item_print", F.explode(blocks(F.col("item_print"))).alias("b")).select("item_id", "length", "hs", "item_print", "b.no", "b.bits"), "leak-index")
+    parts = [held.select("key", "total", "item", "length", F.explode(starts(F.col("at"), n, F.ceil(n * share - 1e-9).cast("int"))).alias("start")).filter(where) for share, where in ((2 * threshold / (1 + threshold), inside), (threshold, ~inside))]
+    listed = parts[0].unionByName(parts[1]).groupBy("key").agg(F.collect_set(F.struct("item", "start", "length")).alias("windows"))  # of one document
+    # a document's shingles come to its windows once
+    first = lambda w: F.greatest(w["start"], F.lit(0)) + 1
+    size = lambda w: F.greatest(F.least(w["start"] + w["length"] - (WIDTH - 1), F.size("hs")) - first(w) + 1, F.lit(0))
+    cut = rows.join(stage(listed, "leak-windows"), "key").select("doc_id", "key", F.explode(F.transform("windows", lambda w: F.struct(w["item"].alias("item"), w["start"].alias("start"), F.slice("hs", first(w), size(w)).alias("bag")))).alias("w"))
+    prints = cut.select("doc_id", "key", "w.item", "w.start", "w.bag").filter(F.size("bag") > 0)
+    prints = stage(prints.select("*", simhash(F.col("bag")).alias("print")), "leak-prints")
+    own = items.dropDuplicates(["item"]).select("item", simhash(F.col("hs")).alias("item_print"))
+    own = stage(stage(own, "leak-item-prints").select("item", "item_print", F.explode(blocks(F.col("item_print"))).alias("b")).select("item", "item_print", "b.no", "b.bits"), "leak-index")
     # the multi-index: equal bits in one block, then the Hamming distance, each pair taken at its first equal block
-    posted = prints.select("doc_id", "start", "length", "bag", "print", F.explode(blocks(F.col("print"))).alias("b")).select("doc_id", "start", "length", "bag", "print", "b.no", "b.bits")
-    met = posted.join(own, ["length", "no", "bits"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    n = RADIUS + 1
+    posted = prints.select("key", "item", "start", "print", F.explode(blocks(F.col("print"))).alias("b")).select("key", "item", "start", "print", "b.no", "b.bits")
     differ = F.col("print").bitwiseXOR(F.col("item_print"))
+    met = posted.join(small_or_join(own), ["item", "no", "bits"]).filter(F.bit_count(differ) <= RADIUS)
+    n = RADIUS + 1
     earlier = F.lit(False)
     for i in range(n - 1):
         same = F.shiftrightunsigned(differ, 64 * i // n).bitwiseAND(F.lit((1 << (64 * (i + 1) // n - 64 * i // n)) - 1)) == 0
         earlier = earlier | ((F.col("no") > i) & same)
-    sure = met.filter(~earlier).select("doc_id", "item_id", "start", similarity(F.col("bag"), F.col("hs")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    met = stage(met.filter(~earlier).select("key", "item", "start"), "leak-met")
+    sure = prints.select("doc_id", "key", "item", "start", "bag").join(met, ["key", "item", "start"]).join(items.select("item", "item_id", "hs"), "item")
+    sure = sure.select("doc_id", "item_id", "start", similarity(F.col("bag"), F.col("hs")).alias("similarity")).filter(F.col("similarity") >= threshold)
     best = sure.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("s"))).alias("best"), F.count(F.lit(1)).alias("n_windows"))
     return best.select("doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"), (-F.col("best.s")).cast("long").alias("start_word"), "n_windows")
 

@@ -245,7 +245,7 @@ def test_decontamination_of_long_items_with_shifted_words(spark):
     """Insertions and deletions spread over a long item leave no diagonal with a quarter of its shingles."""
     rng = random.Random(21)
     items, rows = [], []
-    for i, (n, edits) in enumerate(((150, 3), (200, 4), (300, 5), (500, 6))):
+    for i, (n, edits) in enumerate(((60, 1), (100, 2), (150, 3), (200, 4), (300, 5), (400, 8), (500, 6), (600, 12), (1000, 18), (1000, 20))):
         words = prose(n, rng).split()
         items.append((i, " ".join(words)))
         for insert in (True, False):
@@ -254,17 +254,36 @@ def test_decontamination_of_long_items_with_shifted_words(spark):
                 place = k * n // (edits + 1)
                 now[place : place + (not insert)] = [prose(1, rng) + "q"] if insert else []
             rows.append((2 * i + (not insert), f"{prose(40, rng)} {' '.join(now)} {prose(40, rng)}"))
-    rows += [(20, prose(600, rng)), (21, items[2][1])]
-    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows += [(30, prose(600, rng)), (31, items[2][1]), (32, f"{prose(30_000, rng)} {items[5][1]} {prose(10_000, rng)}")]
+    items.append((10, f"{prose(40, rng)} {' '.join(items[0][1].split()[:30])}"))  # shares shingles with another item
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, length int, key string")
+    bench = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, length int")
     want = set()
     for d, t in rows:
         for i, x in items:
             w, v = t.split(), x.split()
             b = bag(v)
-            if any(sum((a & b).values()) >= 0.8 * sum((a | b).values()) for a in (bag(w[max(s, 0) : s + len(v)]) for s in range(-4, len(w)))):
+            held = [s for s in range(len(w) - 4) if tuple(w[s : s + 5]) in b]
+            near = {s for at in held for s in range(at - len(v), at + 1)} if len(held) >= 0.8 * len(b) else ()
+            if any(sum((a & b).values()) >= 0.8 * sum((a | b).values()) for a in (bag(w[max(s, 0) : s + len(v)]) for s in near)):
                 want.add((d, i))
     got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(df, bench).collect()}
-    assert got == want and len(want) >= 8
+    assert got == want and len(want) >= 18
+
+
+def test_simhash_recall(spark):
+    """Pairs just above the threshold, items of 20, 50, 200 and 1,000 words with words replaced: at least 0.9 must be within the radius."""
+    rng, items, rows = random.Random(31), [], []
+    for i in range(120):
+        n = (20, 50, 200, 1000)[i % 4]
+        words = prose(n, rng).split()
+        items.append((i, " ".join(words)))
+        for k in range(max(1, n // 60)):
+            words[(k + 1) * n // (max(1, n // 60) + 1)] = f"other{k}"
+        rows.append((i, f"{prose(9, rng)} {' '.join(words)} {prose(9, rng)}"))
+    near = [i for i, (d, t) in enumerate(rows) if max(sum((a & b).values()) / sum((a | b).values()) for b in [bag(items[i][1].split())] for a in [bag(t.split()[9:-9])]) >= 0.8]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(near) >= 60 and sum((i, i) in got for i in near) >= 0.99 * len(near)
 
 
 def test_window_starts_are_all_that_hold_enough(spark):
@@ -375,6 +394,69 @@ def test_secrets_in_assignments_and_mixed_alphabets(spark):
     assert got == {i: f"random:{len(before)}:{len(before) + len(value)}" for i, (before, value, _) in enumerate(cases)}
 
 
+def plain_battery(value):
+    """(encoding's least length, symbols, log10 of the joint p-value) of one run, with math's own tail of the normal distribution."""
+    for name, pattern, letters, least in secrets.ENCODINGS:
+        if re.search(pattern, value, re.A):
+            core = value.rstrip("=")
+            x = [letters.index(c) for c in (core.lower() if name == "hex" else core) if c in letters]
+            break
+    n, k, tail = len(x), len(letters), lambda z: math.erfc(z / math.sqrt(2)) / 2
+    floor = lambda p: max(min(p, 1.0), 1e-30)
+    squares = sum(c * c for c in collections.Counter(x).values())
+    chi = (squares * k / n - n - (k - 1)) / math.sqrt((n - 1) / n) + k - 1
+    z = (max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))
+    p_chi = floor(tail(z / math.sqrt(2 / (9 * (k - 1)))))
+    up = [2 * v >= k for v in x]
+    above, turns = sum(up), 1 + sum(a != b for a, b in zip(up, up[1:], strict=False))
+    expected = 2 * above * (n - above) / n + 1
+    z = abs(turns - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9)) if 0 < above < n else 8.0
+    p_runs = floor(2 * tail(z))
+    mean = sum(x) / n
+    variance, moved = sum((v - mean) ** 2 for v in x), sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False))
+    p_serial = floor(2 * tail(abs((moved / variance + 1 / n) * math.sqrt(n)) if variance else 8.0))
+    half = -math.log(p_chi * p_runs * p_serial)
+    return name, least, n, (math.log(1 + half + half * half / 2) - half) / math.log(10)
+
+
+def test_random_spans_against_a_plain_battery(spark):
+    """Tests and Benjamini-Hochberg (by length class, over steps of the p-value) in plain Python, over drawn and patterned runs."""
+    rng, texts = random.Random(14), []
+    for i in range(240):
+        size = rng.choice((26, 33, 40, 64))
+        value = "".join(rng.choice(rng.choice(secrets.ENCODINGS)[2]) for _ in range(size)) if i % 3 == 0 else "".join(rng.choice(secrets.ENCODINGS[i % 8][2]) for _ in range(size)) if i % 3 == 1 else (f"step{i}" * 20)[:size]
+        texts.append(f"{prose(3, rng)} {value} {prose(2, rng)}" + (" token=abcdefgh" if i % 11 == 0 else ""))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs, steps = [], collections.defaultdict(collections.Counter)
+    for i, t in enumerate(texts):
+        for m in re.finditer(secrets._RUN, t, re.A):
+            name, least, n, log_p = plain_battery(m[0])
+            runs.append((i, m, name, least, n, math.floor(2 * math.log2(n)), math.floor(-20 * log_p)))
+            steps[runs[-1][5]][runs[-1][6]] += 1
+    cuts = {}
+    for c, own in steps.items():
+        m = sum(own.values())
+        cuts[c] = min((s for s in own if 10 ** (-s / 20) <= sum(k for t, k in own.items() if t >= s) * secrets.FDR / m), default=1 << 30)
+    want = collections.defaultdict(list)
+    for i, m, name, least, n, c, step in runs:
+        if step < cuts[c] and n >= least and re.search("[0-9]", m[0]) and (name == "digits" or re.search("[A-Za-z]", m[0])) and not re.search("[0-9a-f]{24}", m[0]):  # such a run is a base span
+            want[i].append(f"random:{m.start()}:{m.end()}")
+    got = {r.doc_id: [s for s in r.spans.split(",") if s[:1] == "r"] for r in secrets.scan_secrets(df).collect()}
+    assert got == {i: want[i] for i in range(len(texts))} and 40 < sum(map(len, want.values())) < 200
+
+
+def test_secrets_of_dense_and_long_texts(spark):
+    """10,000 assignments in one text, a run of a million characters, repeated rows, null ids and a clashing column."""
+    dense = " ".join(f"token=value{i:06d} {'f' * 30}" for i in range(10_000))
+    rows = [(1, dense, 5), (2, "q7Z" * 400_000, 5), (None, "secret: abcdef", 5), (3, "passwd=abcdef", 5), (3, "passwd=abcdef", 5)]
+    got = {(r.doc_id, i): r for i, r in enumerate(sorted(secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, row_no int")).collect(), key=lambda r: (r.doc_id is None, r.doc_id)))}
+    first = got[1, 0]
+    assert (first.n_assign, first.n_hex, first.n_random) == (10_000, 10_000, 0)
+    base = [(m.start(), 0, m.end()) for m in re.finditer("token=value[0-9]+", dense)] + [(m.start(), 2, m.end()) for m in re.finditer("f{30}", dense)]
+    assert first.base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base)).encode()).hexdigest()
+    assert [got[k].n_assign for k in ((2, 1), (3, 2), (3, 3), (None, 4))] == [0, 1, 1, 1] and got[2, 1].spans == ""
+
+
 def test_pii(spark, empty):
     texts = [None, "", "mail a@b.c_d@e.f and x@y", "1.2.3.4.5.6.7.8 00001.2.3.256 9.9.9.0009 999999999999.1.1.1", "+1 (212) 555-0187+44 20 7946 0321 +12", "4111 1111 1111 1111 5 and 4111-1111-1111-1111", "@@a@b.co é", "7" * 3000, prose(20_000)]
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
