@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters that have no combining-mark form, and their ASCII letters, after marks are dropped.
-_FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-_FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+def _ascii_forms() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition leaves ASCII: those that leave one character, and ligatures of Latin letters."""
+    single, several = {}, {}
+    for c in map(chr, (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F))):
+        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            single[c] = plain
+        elif plain.isalpha():
+            several[c] = plain
+    return single, several
+
+
+_SINGLE, _SEVERAL = _ascii_forms()
 
 
 def missing(c: Column | str) -> Column:
@@ -52,10 +64,13 @@ def norm_artist(c: Column) -> Column:
 
 
 def norm_name(c: Column) -> Column:
-    """Accents folded to ASCII, lower case, punctuation as spaces; what has no ASCII form is dropped."""
-    folded = F.translate(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "\\p{M}", "")), _FOLD_FROM, _FOLD_TO)
-    ascii_only = F.regexp_replace(folded, "[^\\x00-\\x7F]", "")
-    return F.trim(F.regexp_replace(ascii_only, "[^a-z0-9_]+", " "))
+    """Accents and compatibility forms folded to ASCII, lower case, every other mark a space; what has no ASCII form is dropped."""
+    folded = F.translate(F.coalesce(c, F.lit("")), "".join(_SINGLE), "".join(_SINGLE.values()))
+    spelled = folded
+    for ligature, letters in _SEVERAL.items():
+        spelled = F.replace(spelled, F.lit(ligature), F.lit(letters))
+    ascii_only = F.regexp_replace(F.when(folded.rlike("[" + "".join(_SEVERAL) + "]"), spelled).otherwise(folded), "[^\\x00-\\x7F]+", "")
+    return F.trim(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9 ]", " "))
 
 
 def isrc_key(c: Column) -> Column:

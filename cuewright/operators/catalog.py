@@ -91,8 +91,15 @@ def enrich_once(cues: DataFrame, lookup: Callable[[DataFrame], DataFrame]) -> Da
 
 
 def assemble_authors(chain: DataFrame) -> DataFrame:
-    """First of the ISRC chain, the title search and the last resort (columns isrc_authors, work_authors, search_authors)."""
+    """First of the ISRC chain, the title search and the last resort (columns isrc_authors, work_authors, search_authors).
+
+    Adds composer_match, authors, the composer with life years, and sources; an original_year (column) without
+    authors still makes a row of its own source."""
     level = F.when(F.size("isrc_authors") > 0, "isrc").when(F.size("work_authors") > 0, "work").when(F.size("search_authors") > 0, "search")
     told = chain.withColumn("composer_match", level).withColumn("authors", F.when(level == "isrc", F.col("isrc_authors")).when(level == "work", F.col("work_authors")).when(level == "search", F.col("search_authors")))
     primary = F.coalesce(F.get(F.filter("authors", lambda a: F.array_contains(a["roles"], "composer")), F.lit(0)), F.get("authors", F.lit(0)))
-    return told.withColumn("composer", primary["name"]).withColumn("composer_birth_year", primary["birth_year"]).withColumn("composer_death_year", primary["death_year"])
+    dated = F.col("original_year").isNotNull() if "original_year" in chain.columns else F.lit(False)
+    paged = F.exists("authors", lambda a: a["wikidata_url"].isNotNull()) if "wikidata_url" in str(dict(chain.dtypes)["isrc_authors"]) else F.lit(False)
+    by_search = F.coalesce(level == "search", F.lit(False))
+    sources = F.array_compact(F.array(F.when(level.isNotNull() & ~by_search, F.lit("musicbrainz")), F.when(by_search | dated | F.coalesce(paged, F.lit(False)), F.lit("wikidata"))))
+    return told.withColumn("composer", primary["name"]).withColumn("composer_birth_year", primary["birth_year"]).withColumn("composer_death_year", primary["death_year"]).withColumn("sources", sources)

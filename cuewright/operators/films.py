@@ -27,13 +27,14 @@ def film_hint_clean(df: DataFrame) -> DataFrame:
 
 
 def film_candidates(hints: DataFrame, films: DataFrame, limit: int = 10) -> DataFrame:
-    """hint_id, place, media_type, id: films by number, by IMDb id (films before series), then up to `limit` title hits, film and series in turn.
+    """hint_id, place, media_type, id: films by number, the one with the IMDb id (a film before a series), then up to `limit` title hits, film and series in turn.
 
     hints: hint_id, tmdb_id, imdb_id, title, year. films: media_type, id, imdb_id, title, year, rank. A title with a
     year that matches nothing is asked again without it. The first naming of a (media type, id) counts."""
     kind = F.when(F.col("media_type") == "movie", 0).otherwise(1)
     by_id = hints.filter("tmdb_id is not null").select("hint_id", F.col("tmdb_id").alias("id")).join(films, "id").select("hint_id", F.lit(0).alias("source"), kind.alias("turn"), F.lit(0).cast("long").alias("nth"), "media_type", "id")
-    by_imdb = hints.filter("imdb_id is not null").select("hint_id", "imdb_id").join(films, "imdb_id").select("hint_id", F.lit(1).alias("source"), kind.alias("turn"), F.col("rank").cast("long").alias("nth"), "media_type", "id")
+    found = hints.filter("imdb_id is not null").select("hint_id", "imdb_id").join(films, "imdb_id")
+    by_imdb = found.groupBy("hint_id").agg(F.min(F.struct(kind.alias("turn"), "rank", "id", "media_type")).alias("f")).select("hint_id", F.lit(1).alias("source"), "f.turn", F.lit(0).cast("long").alias("nth"), "f.media_type", "f.id")
     titled = hints.filter("title is not null").select("hint_id", "title", F.col("year").alias("wanted"))
     hits = titled.join(films, "title")
     exact = hits.filter(F.col("wanted").isNull() | (F.col("year") == F.col("wanted")))

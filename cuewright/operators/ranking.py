@@ -43,8 +43,10 @@ def anachronistic(cues: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     return cues.withColumn("anachronistic", is_anachronistic(*cols, tolerance=tolerance))
 
 
-def hide_anachronistic(cues: DataFrame) -> DataFrame:
-    return cues.filter(~F.col("anachronistic"))
+def hide_anachronistic(cues: DataFrame, count: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """The cues without anachronistic ones; with `count` also run_id, hidden: how many each run hides."""
+    shown = cues.filter(~F.col("anachronistic"))
+    return (shown, cues.filter("anachronistic").groupBy("run_id").agg(F.count(F.lit(1)).alias("hidden"))) if count else shown
 
 
 def refresh(cues: DataFrame, as_of_year: int) -> DataFrame:

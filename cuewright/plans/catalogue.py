@@ -29,30 +29,32 @@ def text_of(number: str) -> Column:
 # --- votes and candidates ---------------------------------------------------------------------------------------
 
 def votes(spark, sf_dir) -> DataFrame:
-    """Up to three sources answer each order: the part's type under three spellings, an ISRC for some."""
-    ln = lines(spark, sf_dir).filter("rk <= 3").join(read(spark, sf_dir, "part"), x("l_partkey = p_partkey"))
-    return ln.select(F.col("l_orderkey").alias("run_id"), "rk", x("element_at(array('acrcloud', 'shazam', 'audd'), cast(rk as int))").alias("provider"), F.col("rk").cast("int").alias("prio"),
-                     x("case rk when 1 then p_type when 2 then concat(p_type, ' (Live)') else concat(p_type, ' - Remastered 2011') end").alias("title"), F.lit("Some One").alias("artist"),
+    """An order's lines by threes, the clips of a run: three sources answer each, the part's type under three spellings, an ISRC for some."""
+    ln = lines(spark, sf_dir).join(read(spark, sf_dir, "part"), x("l_partkey = p_partkey"))
+    ln = ln.withColumn("clip_idx", x("(rk - 1) div 3")).withColumn("rk", x("(rk - 1) % 3 + 1"))
+    return ln.select(F.col("l_orderkey").alias("run_id"), "clip_idx", "rk", x("element_at(array('acrcloud', 'shazam', 'audd'), cast(rk as int))").alias("provider"), F.col("rk").cast("int").alias("prio"),
+                     x("case rk when 1 then p_type when 2 then concat(p_type, ' (Live)') else concat(p_type, ' - Remastered 2011') end").alias("title"), x("concat('Some One ', p_size)").alias("artist"),
                      x("case when l_suppkey % 3 = 0 then concat('i', l_partkey % 20) end").alias("isrc"), x("l_returnflag <> 'R'").alias("matched"), F.col("p_brand").alias("album"), x("cast(null as int)").alias("release_year"), x("2 * l_quantity").alias("score"))
 
 
 def q_vote_consensus(spark, sf_dir):
-    won = A.vote_consensus(votes(spark, sf_dir), fields=("album",), keys=("run_id",))
-    return won.select("run_id", "title", "isrc", "album", "agreement", F.col("total").cast("long").alias("total"), F.array_join("providers", ",").alias("providers"))
+    won = A.vote_consensus(votes(spark, sf_dir).withColumn("artist", F.lit("Some One")), fields=("album",))
+    return won.select("run_id", "clip_idx", "title", "isrc", "album", "agreement", F.col("total").cast("long").alias("total"), F.array_join("providers", ",").alias("providers"))
 
 
 def q_norm_title(spark, sf_dir):
     ln = votes(spark, sf_dir)
-    return ln.select("run_id", "rk", T.norm_title(F.col("title")).alias("title_key"), T.norm_artist(F.concat(F.col("artist"), F.lit(" & Friends feat. "), F.col("album"))).alias("artist_key"))
+    return ln.select("run_id", "clip_idx", "rk", T.norm_title(F.col("title")).alias("title_key"), T.norm_artist(F.concat(F.col("artist"), F.lit(" & Friends feat. "), F.col("album"))).alias("artist_key"))
 
 
 def q_alternatives(spark, sf_dir):
     v = votes(spark, sf_dir)
     none = x("cast(array() as array<struct<title:string,artist:string,isrc:string,album:string,release_year:int,score:double>>)")
     vote = F.struct("rk", "provider", "title", "artist", "isrc", "album", "release_year", "score", "matched", none.alias("candidates"))
-    answers = v.groupBy((F.col("run_id") % 97).alias("run"), F.col("run_id").alias("clip_idx")).agg(F.array_sort(F.collect_list(vote)).alias("votes"))
+    # sixteen order keys to a run: as many more runs as there are orders
+    answers = v.groupBy(x("run_id div 16").alias("run"), x("run_id % 16 * 1000 + clip_idx").alias("clip_idx")).agg(F.array_sort(F.collect_list(vote)).alias("votes"))
     songs = C.named_songs(answers.select(F.col("run").alias("run_id"), F.lit("all").alias("segment_id"), "clip_idx", "votes"))
-    return C.alternatives(songs).select("run_id", "provider", "title", "isrc", "album", "windows", "score", F.col("rank").cast("long").alias("rank"))
+    return C.alternatives(songs).select("run_id", "provider", "title", "artist", "isrc", "album", "windows", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def candidates(spark, sf_dir) -> DataFrame:
@@ -104,8 +106,8 @@ def q_author_chain(spark, sf_dir):
     cues = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cue_id"), x("concat('c', o_custkey)").alias("isrc"))
     cust = read(spark, sf_dir, "customer")
     recordings = cust.select(x("concat('c', c_custkey)").alias("isrc"), x("explode(array(2, 1))").alias("rank"), "c_custkey").select("isrc", "rank", x("concat('r', c_custkey, '-', rank)").alias("recording_id"))
-    works = cust.filter("c_custkey % 3 <> 0").select(x("concat('r', c_custkey, '-1')").alias("recording_id"), F.lit("performance").alias("rel_type"), F.lit(1).alias("rank"), F.col("c_nationkey").alias("work_id"))
-    suppliers = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("work_id"), F.col("s_suppkey").alias("rank"), F.lit("composer").alias("role"), F.lit(None).cast("string").alias("artist_id"), F.col("s_name").alias("name"))
+    works = cust.filter("c_custkey % 3 <> 0").select(x("concat('r', c_custkey, '-1')").alias("recording_id"), F.lit("performance").alias("rel_type"), F.lit(1).alias("rank"), x("c_custkey div 60").alias("work_id"))
+    suppliers = read(spark, sf_dir, "supplier").select(x("s_suppkey div 4").alias("work_id"), F.col("s_suppkey").alias("rank"), F.lit("composer").alias("role"), F.lit(None).cast("string").alias("artist_id"), F.col("s_name").alias("name"))
     chain = K.author_chain(cues, recordings, works, K.work_authors(suppliers))
     return chain.select("cue_id", "recording_id", F.col("work_id").cast("long").alias("work_id"), F.coalesce(F.size("authors"), F.lit(-1)).cast("long").alias("n_authors"))
 
@@ -168,7 +170,7 @@ def q_film_hint(spark, sf_dir):
 # --- texts, links and JSON ----------------------------------------------------------------------------------------
 
 def q_track_key(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.track_key(F.substring("text", 1, 60), F.col("source")).alias("track_key"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.track_key(F.col("text"), F.col("source")).alias("track_key"))
 
 
 def q_norm_name(spark, sf_dir):
@@ -247,12 +249,17 @@ def q_choose_song(spark, sf_dir):
 
 
 def q_migrate_results(spark, sf_dir):
-    cue = F.struct(x("concat('seg_', o_orderkey)").alias("segment_id"), x("case when o_orderstatus <> 'P' then o_orderpriority end").alias("title"), x("o_orderstatus = 'P'").alias("rate_limited"), x("case when o_orderkey % 9 = 0 then 'vocals_removed' end").alias("conditioning"), F.lit("acrcloud").alias("provider"), x("case when o_orderkey % 2 = 0 then array(named_struct('title', o_orderpriority), named_struct('title', 'other')) end").alias("candidates"))
+    song = "named_struct('title', {}, 'score', o_orderkey % 7)".format
+    cue = F.struct(x("concat('seg_', o_orderkey)").alias("segment_id"), x("case when o_orderstatus <> 'P' then o_orderpriority end").alias("title"), x("case o_orderkey % 9 when 0 then 'vocals_removed' when 1 then 'none' end").alias("conditioning"), F.lit("acrcloud").alias("provider"),
+                   x(f"case when o_orderkey % 2 = 0 then array({song('o_orderpriority')}, {song(repr('other'))}, named_struct('title', 'other', 'score', 9)) end").alias("candidates"),
+                   x("case when o_orderkey % 3 = 0 then array(named_struct('provider', 'acrcloud', 'matched', true, 'title', 'voted'), named_struct('provider', 'audd', 'matched', o_orderkey % 5 = 0, 'title', 'heard')) end").alias("votes"),
+                   x("case when o_orderkey % 4 = 0 then array(named_struct('title', 'saved', 'windows', 3)) end").alias("alternatives"))
     doc = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(F.collect_list(cue).alias("cues"))
-    text = F.to_json(F.struct((1 + F.col("run_id") % 6).alias("version"), "cues"))
+    text = F.to_json(F.struct((1 + F.col("run_id") % 6).alias("version"), (F.col("run_id") % 4 < 2).alias("rate_limited"), "cues"))
     parsed = doc.select("run_id", F.from_json(text, S.RESULTS).alias("d")).select("run_id", "d.*")
-    per = S.cues_of(S.migrate_results(parsed)).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_cues"), F.count_if("pending").alias("n_pending"), F.sum(F.coalesce(F.size("alternatives"), F.lit(0))).alias("n_alternatives"))
-    return per.join(S.migrate_results(parsed).select("run_id", F.coalesce("settings.isolation", F.lit("none")).alias("isolation")), "run_id")
+    told = S.migrate_results(parsed).select("run_id", F.col("settings.isolation").alias("isolation"), F.explode("cues").alias("c"))
+    said = F.array_join(F.transform("c.alternatives", lambda a: F.concat_ws("/", a["provider"], a["title"], a["windows"].cast("string"))), ",")
+    return told.select("run_id", "isolation", F.col("c.segment_id").alias("segment_id"), F.col("c.pending").alias("pending"), said.alias("alternatives"))
 
 
 def q_run_summary(spark, sf_dir):
@@ -273,6 +280,51 @@ def q_annotation_series(spark, sf_dir):
     return S.annotation_series(timed(spark, sf_dir))
 
 
+def q_display_year(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", T.display_year(x("case when o_orderkey % 3 = 0 then 1900 + o_orderkey % 99 end"), x("case when o_orderkey % 4 <> 0 then year(o_orderdate) end")).alias("y"))
+    return o.select("o_orderkey", F.col("y.year").cast("long").alias("year"), F.col("y.is_hint").alias("is_hint"))
+
+
+def q_duration_text(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.duration_text((F.col("o_orderkey") % 400_000).cast("double") / 4).alias("said"))
+
+
+def q_film_hint_clean(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    raw = c.select("c_custkey", x("case c_custkey % 3 when 0 then ' ' else concat(' ', c_name, ' ') end").alias("title"), x("case when c_custkey % 4 = 0 then 'soon' else concat(' ', 1900 + c_nationkey) end").alias("year"), x("case when c_custkey % 5 = 0 then 'x1' else cast(c_custkey as string) end").alias("tmdb_id"), x("case when c_custkey % 2 = 0 then '' else concat('tt', c_custkey) end").alias("imdb_id"), x("element_at(array('TV ', 'movie', 'radio'), cast(c_custkey % 3 as int) + 1)").alias("media_type"))
+    return M.film_hint_clean(raw).withColumn("year", F.col("year").cast("long"))
+
+
+def q_pending_cues(spark, sf_dir):
+    cues = saved(spark, sf_dir).withColumn("audio_file", x("case when o_orderkey % 3 <> 0 then concat(segment_id, '.wav') end"))
+    return C.pending_cues(cues).select("run_id", "segment_id", "audio_file")
+
+
+def q_hide_anachronistic(spark, sf_dir):
+    shown, hidden = R.hide_anachronistic(timed(spark, sf_dir).select("run_id", "o_orderkey", x("o_orderkey % 7 = 0").alias("anachronistic")), count=True)
+    return shown.groupBy("run_id").agg(F.count(F.lit(1)).alias("shown")).join(hidden, "run_id", "full").select("run_id", F.coalesce("shown", F.lit(0)).alias("shown"), F.coalesce("hidden", F.lit(0)).alias("hidden"))
+
+
+def q_replace_composer(spark, sf_dir):
+    author = lambda name, role: f"named_struct('name', {name}, 'roles', array({role!r}), 'birth_year', 1800, 'death_year', 1860)"
+    cues = read(spark, sf_dir, "orders").select("o_orderkey", x(f"array({author('o_orderpriority', 'composer')}, {author('o_orderstatus', 'lyricist')})").alias("authors"), F.col("o_orderpriority").alias("composer"), F.lit(1800).alias("composer_birth_year"), F.lit(1860).alias("composer_death_year"), F.lit(False).alias("authors_partial"),
+                                                x("case o_orderkey % 4 when 0 then 'New Name' when 1 then '' when 2 then o_orderpriority end").alias("new_composer"))
+    said = F.array_join(F.transform("authors", lambda a: F.concat_ws(":", a["name"], F.coalesce(a["birth_year"].cast("string"), F.lit("-")))), ",")
+    return E.replace_composer(cues).select("o_orderkey", "composer", F.col("composer_death_year").cast("long").alias("composer_death_year"), "authors_partial", said.alias("authors"))
+
+
+def q_assemble_authors(spark, sf_dir):
+    author = lambda name, role: f"array(named_struct('name', concat({name!r}, o_custkey), 'roles', array({role!r}), 'birth_year', 1800, 'death_year', 1860))"
+    chain = read(spark, sf_dir, "orders").select("o_orderkey", *(x(f"case when o_orderkey % {m} = 0 then {author(n, r)} end").alias(c) for c, m, n, r in (("isrc_authors", 4, "i", "lyricist"), ("work_authors", 3, "w", "composer"), ("search_authors", 2, "s", "composer"))), x("case when o_orderkey % 5 = 0 then 1900 end").alias("original_year"))
+    return K.assemble_authors(chain).select("o_orderkey", "composer_match", "composer", F.array_join("sources", ",").alias("sources"))
+
+
+def q_union_answers(spark, sf_dir):
+    v = votes(spark, sf_dir).select("run_id", "clip_idx", "provider", "title", "album", "score")
+    every = A.union_answers(v.filter("provider = 'acrcloud'").drop("album"), v.filter("provider = 'shazam'").drop("score"), v.filter("provider = 'audd'"))
+    return every.select("run_id", "clip_idx", "provider", "title", "album", "score")
+
+
 def q_frame_segments(spark, sf_dir):
     videos = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.lit(24.0).alias("fps"))
     return S.frame_segments(timed(spark, sf_dir), videos)
@@ -280,9 +332,9 @@ def q_frame_segments(spark, sf_dir):
 
 QUERIES = {k[2:]: f for k, f in list(globals().items()) if k.startswith("q_")}
 
-_VOTES = f"""{_LN}, v AS (SELECT l_orderkey AS run_id, rk, CASE rk WHEN 1 THEN 'acrcloud' WHEN 2 THEN 'shazam' ELSE 'audd' END AS provider, p_type,
-  CASE rk WHEN 1 THEN p_type WHEN 2 THEN p_type || ' (Live)' ELSE p_type || ' - Remastered 2011' END AS title, CASE WHEN l_suppkey % 3 = 0 THEN 'i' || (l_partkey % 20) END AS isrc, l_returnflag <> 'R' AS matched, p_brand AS album, 2 * l_quantity AS score
-  FROM ln JOIN part ON l_partkey = p_partkey WHERE rk <= 3)"""
+_VOTES = f"""{_LN}, v AS (SELECT l_orderkey AS run_id, (rk - 1) // 3 AS clip_idx, (rk - 1) % 3 + 1 AS rk, CASE (rk - 1) % 3 WHEN 0 THEN 'acrcloud' WHEN 1 THEN 'shazam' ELSE 'audd' END AS provider, p_type, 'Some One ' || p_size AS artist,
+  CASE (rk - 1) % 3 + 1 WHEN 1 THEN p_type WHEN 2 THEN p_type || ' (Live)' ELSE p_type || ' - Remastered 2011' END AS title, CASE WHEN l_suppkey % 3 = 0 THEN 'i' || (l_partkey % 20) END AS isrc, l_returnflag <> 'R' AS matched, p_brand AS album, 2 * l_quantity AS score
+  FROM ln JOIN part ON l_partkey = p_partkey)"""
 _SAVED = "s AS (SELECT o_custkey AS run_id, 'seg_' || o_orderkey AS segment_id, o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS title, o_orderstatus AS artist, o_orderstatus = 'P' AS pending FROM orders)"
 _AUTH = f"""{_LN}, a AS (SELECT l_orderkey, 1750 + l_partkey % 200 AS birth, CASE WHEN l_suppkey % 4 <> 0 THEN 1750 + l_partkey % 200 + 40 + 5 * l_linenumber END AS death, rk = 1 AND l_linestatus = 'F' AS pf FROM ln),
   g AS (SELECT l_orderkey AS run_id, max(death) AS latest, count(death) = count(*) AS authors_complete, bool_or(pf) AS part, count(*) - count(death) AS unk, max(birth) FILTER (death IS NULL) AS young FROM a GROUP BY 1),
@@ -290,21 +342,21 @@ _AUTH = f"""{_LN}, a AS (SELECT l_orderkey, 1750 + l_partkey % 200 AS birth, CAS
         CASE WHEN part OR unk = 0 OR coalesce(2026 - latest <= 70, false) THEN NULL ELSE 2026 - young > 170 END AS pd_presumption FROM g)"""
 
 SQL = {
-    "vote_consensus": f"""WITH {_VOTES}, m AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rk) AS i FROM v WHERE matched),
-      w AS (SELECT run_id, {', '.join(f"max({c}) FILTER (i = {i}) AS {c}{i}" for c in ('p_type', 'title', 'isrc', 'album', 'provider') for i in (1, 2, 3))}, count(*) AS n FROM m GROUP BY 1),
+    "vote_consensus": f"""WITH {_VOTES}, m AS (SELECT *, row_number() OVER (PARTITION BY run_id, clip_idx ORDER BY rk) AS i FROM v WHERE matched),
+      w AS (SELECT run_id, clip_idx, {', '.join(f"max({c}) FILTER (i = {i}) AS {c}{i}" for c in ('p_type', 'title', 'isrc', 'album', 'provider') for i in (1, 2, 3))}, count(*) AS n FROM m GROUP BY ALL),
       s AS (SELECT *, coalesce(p_type1 = p_type2, false) OR coalesce(isrc1 = isrc2, false) AS s12, coalesce(p_type1 = p_type3, false) OR coalesce(isrc1 = isrc3, false) AS s13, coalesce(p_type2 = p_type3, false) OR coalesce(isrc2 = isrc3, false) AS s23 FROM w),
       k AS (SELECT *, CASE WHEN n < 2 THEN 0 WHEN s12 THEN 1 ELSE 2 END AS c2, CASE WHEN n < 3 THEN 0 WHEN s13 OR (s12 AND s23) THEN 1 WHEN NOT s12 AND s23 THEN 2 ELSE 3 END AS c3 FROM s),
       z AS (SELECT *, 1 + (c2 = 1)::INT + (c3 = 1)::INT AS n1, (c2 = 2)::INT + (c3 = 2)::INT AS n2, (c3 = 3)::INT AS n3 FROM k),
       f AS (SELECT *, CASE WHEN n1 >= n2 AND n1 >= n3 THEN 1 WHEN n2 >= n3 THEN 2 ELSE 3 END AS win FROM z),
-      o AS (SELECT run_id, CASE win WHEN 1 THEN title1 WHEN 2 THEN title2 ELSE title3 END AS title, CASE win WHEN 1 THEN album1 WHEN 2 THEN album2 ELSE album3 END AS album, greatest(n1, n2, n3)::BIGINT AS agreement,
+      o AS (SELECT run_id, clip_idx, CASE win WHEN 1 THEN title1 WHEN 2 THEN title2 ELSE title3 END AS title, CASE win WHEN 1 THEN album1 WHEN 2 THEN album2 ELSE album3 END AS album, greatest(n1, n2, n3)::BIGINT AS agreement,
         coalesce(CASE WHEN win = 1 THEN isrc1 END, CASE WHEN c2 = win THEN isrc2 END, CASE WHEN c3 = win THEN isrc3 END) AS isrc,
         concat_ws(',', CASE WHEN win = 1 THEN provider1 END, CASE WHEN c2 = win THEN provider2 END, CASE WHEN c3 = win THEN provider3 END) AS providers FROM f)
-      SELECT t.run_id, title, isrc, album, coalesce(agreement, 0) AS agreement, t.total, coalesce(providers, '') AS providers FROM (SELECT run_id, count(*) AS total FROM v GROUP BY 1) t LEFT JOIN o USING (run_id)""",
-    "norm_title": f"WITH {_VOTES} SELECT run_id, rk, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS title_key, 'some one' AS artist_key FROM v",
-    "alternatives": f"""WITH {_VOTES}, s AS (SELECT run_id % 97 AS run, run_id AS clip, row_number() OVER (PARTITION BY run_id ORDER BY rk) AS pos, * EXCLUDE (run_id) FROM v WHERE matched),
-      p AS (SELECT run, clip, provider, title, isrc, album, min(pos) AS pos, first(score ORDER BY pos) AS score FROM s GROUP BY ALL),
-      g AS (SELECT run, provider, title, isrc, album, count(*) AS windows, max(score) AS score, min({{'c': clip, 'p': pos}}) AS seen FROM p GROUP BY ALL)
-      SELECT run AS run_id, provider, title, isrc, album, windows, score, row_number() OVER (PARTITION BY run ORDER BY seen) AS rank FROM g""",
+      SELECT t.run_id, t.clip_idx, title, isrc, album, coalesce(agreement, 0) AS agreement, t.total, coalesce(providers, '') AS providers FROM (SELECT run_id, clip_idx, count(*) AS total FROM v GROUP BY ALL) t LEFT JOIN o USING (run_id, clip_idx)""",
+    "norm_title": f"WITH {_VOTES} SELECT run_id, clip_idx, rk, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS title_key, lower(artist) AS artist_key FROM v",
+    "alternatives": f"""WITH {_VOTES}, s AS (SELECT run_id // 16 AS run, run_id % 16 * 1000 + clip_idx AS clip, row_number() OVER (PARTITION BY run_id, clip_idx ORDER BY rk) AS pos, * EXCLUDE (run_id) FROM v WHERE matched),
+      p AS (SELECT run, clip, provider, title, artist, isrc, album, min(pos) AS pos, first(score ORDER BY pos) AS score FROM s GROUP BY ALL),
+      g AS (SELECT run, provider, title, artist, isrc, album, count(*) AS windows, max(score) AS score, min({{'c': clip, 'p': pos}}) AS seen FROM p GROUP BY ALL)
+      SELECT run AS run_id, provider, title, artist, isrc, album, windows, score, row_number() OVER (PARTITION BY run ORDER BY seen) AS rank FROM g""",
     "date_rerank": f"""WITH {_LN}, c AS (SELECT l_orderkey AS run_id, rk, 'song ' || l_partkey AS title, year(l_shipdate) AS y, 2 * l_quantity AS score, 1992 + l_orderkey % 4 AS fy FROM ln),
       b AS (SELECT run_id, first(title ORDER BY score DESC, rk) AS bt, first(y ORDER BY score DESC, rk) AS b_y FROM c WHERE rk >= 2 AND y <= fy + 3 AND score >= 40 GROUP BY 1),
       f AS (SELECT c.*, bt, b_y, coalesce(y > fy + 3 AND bt IS NOT NULL, false) AS pick FROM c LEFT JOIN b USING (run_id) WHERE rk = 1)
@@ -318,9 +370,9 @@ SQL = {
       d AS (SELECT work_id, l_suppkey, role, min(rk) AS rk FROM r WHERE role <> 'publisher' GROUP BY ALL), f AS (SELECT work_id, l_suppkey, string_agg(role, '+' ORDER BY rk) AS roles, min(rk) AS rk FROM d GROUP BY ALL),
       l AS (SELECT f.*, CASE s_nationkey % 3 WHEN 0 THEN (1700 + s_nationkey * 5)::VARCHAR WHEN 2 THEN '1800' ELSE '-' END AS b, CASE s_nationkey % 3 WHEN 0 THEN CASE WHEN s_suppkey % 2 = 1 THEN (1760 + s_nationkey * 5)::VARCHAR ELSE '1870' END WHEN 2 THEN '1870' ELSE '-' END AS e FROM f JOIN supplier ON s_suppkey = l_suppkey)
       SELECT work_id, string_agg('Name ' || l_suppkey || '/' || roles || '/' || b || '/' || e || '/Q' || l_suppkey, '; ' ORDER BY rk) AS authors FROM l GROUP BY 1""",
-    "author_chain": """WITH n AS (SELECT s_nationkey, count(DISTINCT lower(s_name)) AS k FROM supplier GROUP BY 1)
-      SELECT o_orderkey AS cue_id, CASE WHEN c_custkey IS NOT NULL THEN 'r' || c_custkey || '-1' END AS recording_id, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END::BIGINT AS work_id, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN k END, -1) AS n_authors
-      FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN n ON s_nationkey = c_nationkey""",
+    "author_chain": """WITH n AS (SELECT s_suppkey // 4 AS work, count(DISTINCT lower(s_name)) AS k FROM supplier GROUP BY 1)
+      SELECT o_orderkey AS cue_id, CASE WHEN c_custkey IS NOT NULL THEN 'r' || c_custkey || '-1' END AS recording_id, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey // 60 END::BIGINT AS work_id, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN k END, -1) AS n_authors
+      FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN n ON work = c_custkey // 60""",
     "work_by_title": """WITH w AS (SELECT c_custkey, c_custkey % 50 AS t, lower(c_mktsegment) AS seg, 'n' || c_nationkey AS nat, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY c_custkey) AS r FROM customer),
       q AS (SELECT o_orderkey AS cue_id, c_custkey, r FROM orders JOIN w ON t = o_custkey % 50 WHERE r <= 4 AND CASE o_custkey % 3 WHEN 0 THEN seg = 'building' WHEN 1 THEN seg = 'machinery' OR nat = 'n4' ELSE nat = 'n7' END)
       SELECT cue_id, first(c_custkey ORDER BY r) AS work_id, 1::BIGINT AS score FROM q GROUP BY 1""",
@@ -332,7 +384,7 @@ SQL = {
       SELECT o_custkey % 100 AS run_id, o_orderkey AS seq, CASE WHEN o_orderkey % 3 <> 0 THEN asked_by END AS asked_by FROM orders LEFT JOIN f ON run_id = o_custkey % 100 AND k = o_orderpriority""",
     "film_candidates": """WITH f AS (SELECT 'movie' AS media_type, s_suppkey AS id FROM supplier UNION ALL SELECT 'tv', c_custkey FROM customer), g AS (SELECT *, 'T' || (id // 3) AS title, 1990 + id % 10 AS year, CASE media_type WHEN 'movie' THEN 0 ELSE 1 END AS turn FROM f),
       h AS (SELECT o_orderkey AS hint_id, CASE WHEN o_orderkey % 4 IN (0, 1) THEN o_custkey END AS known, 'T' || (o_custkey // 3) AS title, CASE WHEN o_orderkey % 2 = 0 THEN 1990 + o_orderkey % 10 END AS wanted FROM orders),
-      i AS (SELECT hint_id, 0 AS source, turn AS a, 0 AS b, media_type, id FROM h JOIN g ON known = id),
+      i AS (SELECT hint_id, 0 AS source, turn AS a, 0 AS b, media_type, id FROM h JOIN g ON known = id QUALIFY hint_id % 4 = 0 OR row_number() OVER (PARTITION BY hint_id ORDER BY turn) = 1),
       t AS (SELECT hint_id, media_type, id, turn, coalesce(wanted = year, true) AS ok, bool_or(coalesce(wanted = year, true)) OVER (PARTITION BY hint_id) AS any_ok FROM h JOIN g USING (title)),
       n AS (SELECT *, row_number() OVER (PARTITION BY hint_id, media_type ORDER BY id) AS nth FROM t WHERE ok OR NOT any_ok),
       l AS (SELECT *, row_number() OVER (PARTITION BY hint_id ORDER BY nth, turn) AS p FROM n),
@@ -346,8 +398,8 @@ SQL = {
       d AS (SELECT film_id, first(s_name ORDER BY rk) FILTER (j = 'A') AS director FROM c GROUP BY 1)
       SELECT film_id, director, coalesce(composers, '') AS composers, ranked FROM d LEFT JOIN k USING (film_id)""",
     "film_hint": "SELECT c_custkey, c_name AS title, (1950 + c_nationkey)::BIGINT AS year, c_mktsegment AS director, CASE WHEN c_custkey % 3 <> 0 THEN 'tt' || c_custkey END AS imdb_id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS tmdb_id FROM customer",
-    "track_key": r"""SELECT doc_id, CASE WHEN text <> '' THEN trim(regexp_replace(lower(left(text, 60)), '[^\p{L}\p{N}_]+', ' ', 'g')) || '|' || trim(regexp_replace(lower(coalesce(source, '')), '[^\p{L}\p{N}_]+', ' ', 'g')) END AS track_key FROM documents""",
-    "norm_name": r"""SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9_]+', ' ', 'g')) AS name FROM documents""",
+    "track_key": r"""SELECT doc_id, CASE WHEN text <> '' THEN trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) || '|' || trim(regexp_replace(lower(coalesce(source, '')), '[^\p{L}\p{N}_]+', ' ', 'g')) END AS track_key FROM documents""",
+    "norm_name": r"""SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(coalesce(text, '')), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9 ]', ' ', 'g')) AS name FROM documents""",
     "parse_year": "SELECT doc_id, nullif(regexp_extract(text, '[0-9]{4}'), '')::BIGINT AS year FROM documents",
     "clean_url": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN CASE WHEN lower(url) LIKE 'http://%' OR lower(url) LIKE 'https://%' THEN url END WHEN 1 THEN 'https://music.apple.com/us/album/x/' || page_id || '?i=' || page_id END AS url FROM pages",
     "tracks_report": r"""WITH c AS (SELECT conv_id AS run_id, turn AS seq, role AS title, trim(regexp_replace(lower(role), '[^\p{L}\p{N}_]+', ' ', 'g')) || '|a nyone' AS track_key, length(text) % 4 AS g, length(text) % 3 = 0 AS an, length(text) AS d FROM conversations WHERE role <> ''),
@@ -366,8 +418,22 @@ SQL = {
     "resume_merge": f"WITH {_SAVED} SELECT run_id, o_orderkey, CASE WHEN pending AND o_orderkey % 3 = 0 THEN 'found ' || o_orderkey ELSE title END AS title, CASE WHEN pending AND o_orderkey % 3 = 0 THEN 'F' ELSE artist END AS artist, pending AND o_orderkey % 3 = 2 AS pending FROM s",
     "choose_song": f"""WITH {_SAVED} SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'first' WHEN 1 THEN 'second' WHEN 3 THEN CASE WHEN o_orderkey % 8 = 3 THEN 'typed' ELSE title END ELSE title END AS title,
       CASE o_orderkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN NULL WHEN 3 THEN CASE WHEN o_orderkey % 8 = 3 THEN 'me' ELSE artist END ELSE artist END AS artist, o_orderkey % 4 = 2 OR o_orderkey % 8 = 7 AS untouched FROM s""",
-    "migrate_results": """SELECT o_custkey AS run_id, count(*) AS n_cues, count(*) FILTER (o_orderstatus = 'P' AND o_custkey % 6 = 0) AS n_pending, (sum(CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END))::BIGINT AS n_alternatives,
-      CASE WHEN o_custkey % 6 < 2 AND bool_or(o_orderkey % 9 = 0) THEN 'vocals_removed' ELSE 'none' END AS isolation FROM orders GROUP BY 1""",
+    "migrate_results": """SELECT o_custkey AS run_id, CASE WHEN o_custkey % 6 < 2 AND bool_or(o_orderkey % 9 < 2) OVER w THEN bool_or(o_orderkey % 9 = 0) OVER w END AS isolation, 'seg_' || o_orderkey AS segment_id,
+      CASE WHEN o_custkey % 6 = 0 THEN o_custkey % 4 < 2 AND o_orderstatus = 'P' END AS pending,
+      CASE WHEN o_custkey % 6 = 5 OR (o_orderkey % 2 <> 0 AND o_orderkey % 3 <> 0) THEN CASE WHEN o_orderkey % 4 = 0 THEN 'saved/3' END
+           WHEN o_orderkey % 3 <> 0 THEN 'acrcloud/' || o_orderpriority || '/1,acrcloud/other/1'
+           ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'acrcloud/' || o_orderpriority || '/1,acrcloud/other/1' ELSE 'acrcloud/voted/1' END || CASE WHEN o_orderkey % 5 = 0 THEN ',audd/heard/1' ELSE '' END END AS alternatives
+      FROM orders WINDOW w AS (PARTITION BY o_custkey)""",
+    "display_year": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1900 + o_orderkey % 99 WHEN o_orderkey % 4 <> 0 THEN year(o_orderdate) END::BIGINT AS year, o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0 AS is_hint FROM orders",
+    "duration_text": "SELECT o_orderkey, CASE WHEN s >= 60 THEN floor(s / 60)::BIGINT || 'm ' ELSE '' END || printf('%.1fs', round(s - 60 * floor(s / 60) + 1e-9, 1)) AS said FROM (SELECT o_orderkey, (o_orderkey % 400000) / 4 AS s FROM orders)",
+    "film_hint_clean": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS title, CASE WHEN c_custkey % 4 <> 0 THEN 1900 + c_nationkey END::BIGINT AS year, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS tmdb_id, CASE WHEN c_custkey % 2 <> 0 THEN 'tt' || c_custkey END AS imdb_id, CASE c_custkey % 3 WHEN 0 THEN 'tv' WHEN 1 THEN 'movie' END AS media_type FROM customer",
+    "pending_cues": f"WITH {_SAVED} SELECT run_id, segment_id, segment_id || '.wav' AS audio_file FROM s WHERE pending AND o_orderkey % 3 <> 0",
+    "hide_anachronistic": "SELECT o_custkey AS run_id, count(*) FILTER (o_orderkey % 7 <> 0) AS shown, count(*) FILTER (o_orderkey % 7 = 0) AS hidden FROM orders GROUP BY 1",
+    "replace_composer": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'New Name' WHEN 1 THEN NULL ELSE o_orderpriority END AS composer, CASE WHEN o_orderkey % 4 >= 2 THEN 1860 END::BIGINT AS composer_death_year, o_orderkey % 4 < 2 AS authors_partial,
+      CASE o_orderkey % 4 WHEN 0 THEN 'New Name:-,' WHEN 1 THEN '' ELSE o_orderpriority || ':1800,' END || o_orderstatus || ':1800' AS authors FROM orders""",
+    "assemble_authors": """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'isrc' WHEN o_orderkey % 3 = 0 THEN 'work' WHEN o_orderkey % 2 = 0 THEN 'search' END AS composer_match, CASE WHEN o_orderkey % 4 = 0 THEN 'i' WHEN o_orderkey % 3 = 0 THEN 'w' WHEN o_orderkey % 2 = 0 THEN 's' END || o_custkey AS composer,
+      concat_ws(',', CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 3 = 0 THEN 'musicbrainz' END, CASE WHEN (o_orderkey % 4 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0) OR o_orderkey % 5 = 0 THEN 'wikidata' END) AS sources FROM orders""",
+    "union_answers": f"WITH {_VOTES} SELECT run_id, clip_idx, provider, title, CASE WHEN provider <> 'acrcloud' THEN album END AS album, CASE WHEN provider <> 'shazam' THEN score END AS score FROM v",
     "run_summary": "SELECT c_custkey AS run_id, c_name AS name, c_nationkey::BIGINT AS created_at, count(o_orderkey) AS total_cues, count(*) FILTER (o_orderstatus <> 'P') AS identified_cues, count(*) FILTER (o_orderstatus = 'P') AS pending_cues FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
     "export_flat": f"""WITH {_SAVED} SELECT run_id::VARCHAR AS run_id, segment_id, coalesce(title, '') AS "song.title", artist AS "song.artist", '["' || artist || '",' || coalesce('"' || title || '"', 'null') || ']' AS names FROM s""",
     "annotation_series": f"WITH {_SAVED} SELECT run_id, o_orderkey * 1100500 / 1e6 AS start_seconds, (o_orderkey * 1100500 + o_orderkey % 50 * 1000000 + 250000) / 1e6 AS end_seconds, CASE WHEN title IS NULL THEN 'Unidentified music' ELSE title || ' — ' || artist END AS annotations FROM s",

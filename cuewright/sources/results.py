@@ -11,9 +11,14 @@ from cuewright.functions.text import cue_label
 SONG = "title string, artist string, album string, release_year int, isrc string, genre string, photo_url string, youtube_link string, spotify_url string, apple_music_url string, song_link string, musicbrainz_recording_id string, musicbrainz_url string"
 _PAIRS = SONG.replace(", ", ",").replace(" ", ":")
 CANDIDATE = f"struct<{_PAIRS},score:double>"
-VOTE = f"struct<provider:string,matched:boolean,error:string,confidence:double,{_PAIRS},score:double>"
-CUE = f"struct<segment_id:string,start:double,duration:double,audio_file:string,pending:boolean,rate_limited:boolean,confidence:double,conditioning:string,provider:string,{_PAIRS},votes:array<{VOTE}>,candidates:array<{CANDIDATE}>,temporal_pick:boolean>"
-RESULTS = f"version int, source string, video_name string, film struct<title:string,year:int,director:string,music_composer:string>, settings struct<api:string,threshold:double,isolation:string>, cues array<{CUE}>"
+VOTE = f"struct<provider:string,matched:boolean,error:string,{_PAIRS},score:double,candidates:array<{CANDIDATE}>>"
+ALTERNATIVE = f"struct<provider:string,{_PAIRS},score:double,windows:int>"
+AUTHOR = "struct<name:string,roles:array<string>,birth_year:int,death_year:int,wikidata_url:string>"
+ENRICHMENT = f"struct<composer:string,composer_birth_year:int,composer_death_year:int,work_title:string,composer_match:string,authors:array<{AUTHOR}>,sources:array<string>,original_year:int,authors_partial:boolean,authors_complete:boolean,latest_death_year:int,public_domain:boolean,pd_presumption:boolean>"
+#: A cue of the current version; then what older versions have besides.
+CUE_NOW = f"segment_id:string,start:double,duration:double,audio_file:string,pending:boolean,provider:string,{_PAIRS},agreement:struct<count:int,total:int,providers:array<string>>,votes:array<{VOTE}>,candidates:array<{CANDIDATE}>,alternatives:array<{ALTERNATIVE}>,enrichment:{ENRICHMENT},temporal_pick:boolean,anachronistic:boolean,track_key:string"
+CUE = f"struct<{CUE_NOW},conditioning:string>"
+RESULTS = f"version int, source string, video_name string, rate_limited boolean, film struct<title:string,year:int,director:string,music_composer:string>, settings struct<api:string,threshold:double,isolation:boolean>, cues array<{CUE}>"
 TIMELINE = "waveform struct<samples:array<double>,duration:double>, classification array<struct<start:double,end:double,is_music:boolean,classes:map<string,double>>>, classification_windows array<struct<start:double,end:double,music:double,is_music:boolean>>"
 
 
@@ -36,30 +41,34 @@ def read_timeline(spark: SparkSession, timelines: str, results: str) -> DataFram
 
 
 def migrate_results(df: DataFrame) -> DataFrame:
-    """Documents of versions 1 to 5 brought to version 6.
+    """Documents of versions 1 to 5 brought to version 6; those of version 6 stay as they are.
 
-    2: pending where it is absent means limited without a title. 3: a cue's vocals_removed moves to
-    settings.isolation, an existing value stays. 4 and 5: rate_limited and confidence are gone.
-    6: alternatives from votes and candidates."""
+    2: in a run that was limited, an untitled cue without the mark is pending. 3: the cues' conditionings become
+    settings.isolation, true if any was vocals_removed; an existing value stays. 4 and 5: the run's rate_limited and
+    the confidences are gone. 6: alternatives, from the votes or the candidates of the cue."""
     version = F.coalesce("version", F.lit(1))
-    removed = F.exists("cues", lambda c: F.coalesce(c["conditioning"] == "vocals_removed", F.lit(False)))
-    isolation = F.when((version < 3) & F.col("settings.isolation").isNull() & removed, F.lit("vocals_removed")).otherwise(F.col("settings.isolation"))
+    kinds = F.filter(F.transform("cues", lambda c: c["conditioning"]), lambda k: k.isNotNull())
+    isolation = F.coalesce(F.col("settings.isolation"), F.when((version < 3) & (F.size(kinds) > 0), F.array_contains(kinds, "vocals_removed")))
+    limited = F.coalesce("rate_limited", F.lit(False))
     song = [f.split(" ")[0] for f in SONG.split(", ")]
-
-    def vote(v):
-        return F.struct(*(v[n].alias(n) for n in ("provider", "matched", "error", *song, "score")))
+    same = ("provider", "title", "artist", "isrc", "album", "release_year")
 
     def named(c):
-        own = F.transform(c["candidates"], lambda x: F.struct(c["provider"].alias("provider"), *(x[n].alias(n) for n in (*song, "score"))))
-        votes = F.transform(F.filter(c["votes"], lambda v: v["matched"]), lambda v: F.struct(v["provider"].alias("provider"), *(v[n].alias(n) for n in (*song, "score"))))
-        return F.array_distinct(F.coalesce(F.when(F.size(votes) > 0, votes), own))
+        entry = lambda provider, x: F.struct(provider.alias("provider"), *(x[n].alias(n) for n in (*song, "score")), F.lit(1).alias("windows"))
+        own = lambda found: F.transform(found, lambda x: entry(c["provider"], x))
+        of_vote = lambda v: F.when(F.size(v["candidates"]) > 0, F.transform(v["candidates"], lambda x: entry(v["provider"], x))).when((v["provider"] == "acrcloud") & (F.size(c["candidates"]) > 0), F.transform(c["candidates"], lambda x: entry(v["provider"], x))).otherwise(F.array(entry(v["provider"], v)))
+        every = F.when(F.size(c["votes"]) > 0, F.flatten(F.transform(F.filter(c["votes"], lambda v: v["matched"]), of_vote))).otherwise(own(c["candidates"]))
+        # each song once, as it was first named
+        first = F.filter(every, lambda x, i: ~F.exists(F.slice(every, 1, i), lambda y: F.struct(*(x[k] for k in same)) == F.struct(*(y[k] for k in same))))
+        return F.when((F.size(c["votes"]) > 0) | (F.size(c["candidates"]) > 0), first)
 
     def cue(c):
-        pending = F.coalesce(c["pending"], (version < 2) & F.coalesce(c["rate_limited"], F.lit(False)) & c["title"].isNull())
-        return F.struct(*(c[n].alias(n) for n in ("segment_id", "start", "duration", "audio_file")), pending.alias("pending"), c["provider"].alias("provider"), *(c[n].alias(n) for n in song), F.transform(c["votes"], vote).alias("votes"), c["candidates"].alias("candidates"), named(c).alias("alternatives"), c["temporal_pick"].alias("temporal_pick"))
+        pending = F.coalesce(c["pending"], F.when(version < 2, limited & F.coalesce(c["title"] == "", F.lit(True))))
+        new = {"pending": pending, "alternatives": F.when(version < 6, F.coalesce(named(c), c["alternatives"])).otherwise(c["alternatives"])}
+        return F.struct(*(new.get(n, c[n]).alias(n) for n in [f.name for f in StructType.fromDDL(CUE_NOW).fields]))
 
-    settings = F.struct(F.col("settings.api").alias("api"), F.col("settings.threshold").alias("threshold"), isolation.alias("isolation"))
-    return df.withColumn("_s", settings).withColumn("cues", F.transform("cues", cue)).withColumn("settings", F.col("_s")).withColumn("version", F.lit(6)).drop("_s")
+    settings = F.when(F.col("settings").isNotNull() | isolation.isNotNull(), F.struct(F.col("settings.api").alias("api"), F.col("settings.threshold").alias("threshold"), isolation.alias("isolation")))
+    return df.withColumn("_s", settings).withColumn("cues", F.transform("cues", cue)).withColumn("settings", F.col("_s")).withColumn("version", F.lit(6)).drop("_s", "rate_limited")
 
 
 def cues_of(results: DataFrame) -> DataFrame:

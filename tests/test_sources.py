@@ -13,14 +13,36 @@ def write(tmp_path, run, name, doc):
 
 
 def test_read_migrate_and_skip_broken(spark, tmp_path):
-    write(tmp_path, "a", "results.json", {"video_name": "v", "cues": [{"segment_id": "seg_001", "start": 0.0, "duration": 5.0, "rate_limited": True, "conditioning": "vocals_removed", "confidence": 0.5}, {"segment_id": "seg_002", "title": "t", "provider": "p", "candidates": [{"title": "t", "score": 80.0}, {"title": "u", "score": 60.0}, {"title": "t", "score": 80.0}]}]})
+    write(tmp_path, "a", "results.json", {"video_name": "v", "rate_limited": True, "cues": [{"segment_id": "seg_001", "start": 0.0, "duration": 5.0, "conditioning": "vocals_removed", "confidence": 0.5}, {"segment_id": "seg_002", "title": "t", "provider": "p", "candidates": [{"title": "t", "score": 80.0}, {"title": "u", "score": 60.0}, {"title": "t", "score": 80.0}]}]})
     write(tmp_path, "b", "results.json", {"version": 6, "cues": []})
     write(tmp_path, "c", "results.json", "{ broken")
     got = {r.run_id: r for r in S.read_results(spark, str(tmp_path / "*" / "results.json")).collect()}
     assert set(got) == {"a", "b"} and all(r.version == 6 for r in got.values())
     first, second = got["a"].cues
-    assert first.pending and not second.pending and got["a"].settings.isolation == "vocals_removed"
-    assert [(x.title, x.score) for x in second.alternatives] == [("t", 80.0), ("u", 60.0)]
+    assert first.pending and not second.pending and got["a"].settings.isolation is True
+    assert [(x.title, x.score, x.windows) for x in second.alternatives] == [("t", 80.0, 1), ("u", 60.0, 1)]
+
+
+def test_a_current_document_is_kept_whole(spark, tmp_path):
+    cue = {"segment_id": "seg_001", "start": 1.5, "duration": 9.0, "pending": False, "provider": "acrcloud", "title": "T", "artist": "A", "agreement": {"count": 2, "total": 3, "providers": ["acrcloud", "audd"]},
+           "candidates": [{"title": "T", "score": 80.0}, {"title": "U", "score": 70.0}], "alternatives": [{"provider": "audd", "title": "T", "score": None, "windows": 4}],
+           "enrichment": {"composer": "C", "authors": [{"name": "C", "roles": ["composer"], "birth_year": 1800, "death_year": 1860}], "sources": ["musicbrainz"], "original_year": 1850}, "temporal_pick": False}
+    write(tmp_path, "r", "results.json", {"version": 6, "rate_limited": True, "settings": {"isolation": False}, "cues": [cue]})
+    S.write_results(S.read_results(spark, str(tmp_path / "*" / "results.json")), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).first().asDict(recursive=True)
+    keep = lambda now, was: {k: [keep(a, b) if isinstance(b, dict) else a for a, b in zip(now[k], v, strict=True)] if isinstance(v, list) else keep(now[k], v) if isinstance(v, dict) else now[k] for k, v in was.items()}
+    assert keep(back["cues"][0], cue) == cue and back["settings"]["isolation"] is False and back["version"] == 6
+
+
+def test_alternatives_of_old_votes(spark, tmp_path):
+    """A vote's own candidates, else for one source the cue's, else the vote; a song named twice counts once."""
+    vote = {"provider": "acrcloud", "matched": True, "title": "v"}
+    cues = [{"votes": [vote, {"provider": "audd", "matched": True, "title": "w"}, {"provider": "shazam", "matched": False, "title": "x"}], "candidates": [{"title": "c", "score": 1.0}, {"title": "c", "score": 2.0}]},
+            {"votes": [vote | {"candidates": [{"title": "own"}]}], "candidates": [{"title": "c"}]}, {"votes": [vote]}, {"title": "alone"}]
+    write(tmp_path, "r", "results.json", {"version": 4, "cues": [{"segment_id": f"s{i}", **c} for i, c in enumerate(cues)]})
+    got = S.read_results(spark, str(tmp_path / "*" / "results.json")).first().cues
+    assert [[(a.provider, a.title, a.score) for a in c.alternatives] if c.alternatives else None for c in got] == [[("acrcloud", "c", 1.0), ("audd", "w", None)], [("acrcloud", "own", None)], [("acrcloud", "v", None)], None]
+    assert all(c.pending is None for c in got)
 
 
 def test_timeline_from_either_document(spark, tmp_path):
