@@ -1,6 +1,7 @@
 """Operator 8, MinHash near-dedup by a signature-coordinate inverted join.
 
-Documents with equal shingle sets form one class; one member of each class goes on. A class has a signature
+Documents with equal shingle sets form one class; one member of each class goes on, under a number of the
+class's own (doc_ids may repeat or be null; they come in only when components are named). A class has a signature
 of COORDINATES values, each made of GROUP minimum hashes, and is posted under (coordinate, value) for its first coordinates only: a pair
 that agrees in at least LEAST of all coordinates must agree in one of the first COORDINATES - LEAST + 1
 (prefix). A short posting list gives its pairs; pairs are counted over the whole signature and those under
@@ -16,8 +17,10 @@ Components are found by label spreading with tables in the shared folder.
 
 Defined cases: a null text counts as empty; a text without words has no shingles and is linked with nothing;
 a text with fewer words than a shingle has its whole sequence as the one shingle; a null doc_id is a document
-that is linked like others but never names a component unless it is alone; repeated rows are equal sets; an
-empty table gives an empty result. Other columns are ignored.
+that is linked like others but never names a component (one of null ids only has a null component and all its
+rows are kept); rows with one doc_id are documents of their own, whatever their texts, and kept says for each
+whether its doc_id names its component; very long texts are taken whole; an empty table gives an empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,22 +71,27 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (of the whole set), sign: one row per document."""
+    """key, doc_id, n_shingles, set_hash (of the whole set), sign: one row per document."""
 
     def run(batches):
         for batch in batches:
             n, names, signs = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), width)
                 n.append(len(s))
                 names.append(xxhash.xxh3_128_digest(s.tobytes()))
                 signs.append(signature(s) if len(s) else np.zeros(COORDINATES, np.int32))
             flat = np.concatenate(signs) if signs else np.zeros(0, np.int32)
             sign = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, COORDINATES), pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), sign], names=["doc_id", "n_shingles", "set_hash", "sign"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(names, pa.binary()), sign], names=["key", "doc_id", "n_shingles", "set_hash", "sign"])
 
+    return keyed(docs).mapInArrow(run, "key long, doc_id long, n_shingles long, set_hash binary, sign array<int>")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """key, doc_id, text: the key stands for a row's id and text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sign array<int>")
+    return rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
 
 
 def agree(sign_a, sign_b):
@@ -210,8 +218,9 @@ def near_dedup(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame
     arrow_limits(spark)
     described = stage(describe(docs, width), "minhash-signs")
     # classes of equal sets: the copies are one row each from here on
-    classes = described.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"))
-    classes = stage(classes, "minhash-classes")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    classes = described.filter(F.col("n_shingles") > 0).groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.min_by("key", first).alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"))
+    classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "minhash-classes")
     short, long = posting_lists(classes)
     near = short.withColumnRenamed("id", "a").join(short.withColumnRenamed("id", "b"), "list_key").filter("a < b")
     stars = long.filter("list_key < id").select(F.col("list_key").alias("a"), F.col("id").alias("b"))
@@ -221,9 +230,12 @@ def near_dedup(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame
 
     def make_sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "shingles"])
+            sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(2)]
+            same = pa.array([xxhash.xxh3_128_digest(s) == h for s, h in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())  # of another row with this key else
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(same), pa.array(sets, pa.binary()).filter(same)], names=["id", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(small_or_join(wanted, 1_000_000), "id", "left_semi")
+    wanted = stage(wanted.join(classes.select("id", "key", "set_hash"), "id"), "minhash-wanted-keys")
+    texts = keyed(docs).select("key", "text").join(small_or_join(wanted, 1_000_000), "key").select("id", "set_hash", "text")
     sets = stage(texts.mapInArrow(make_sets, "id long, shingles binary").dropDuplicates(["id"]), "minhash-sets", "uncompressed")
     edges = stage(confirmed(candidates, sets, per_cent), "minhash-edges")
     found = components(edges)
@@ -244,10 +256,11 @@ def near_dedup(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame
         if not new.isEmpty():
             edges = edges.unionByName(new)
             found = components(edges)
-    named = stage(classes.select("set_hash", "id").join(found, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id")), "minhash-named")
-    lone = F.col("n_shingles") == 0
+    labelled = stage(classes.select("set_hash", "id", "least").join(found, "id", "left").select("set_hash", "least", F.coalesce("component", "id").alias("label")), "minhash-labels")
+    names = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = stage(labelled.join(names, "label").select("set_hash", "component_id"), "minhash-named")
     joined = described.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
-    component = F.when(lone, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)) | F.col("component_id").isNull())
 
 

@@ -355,6 +355,22 @@ def test_minhash(docs, empty, width, short, monkeypatch):
     assert minhash.near_dedup(empty, width).count() == 0
 
 
+def test_minhash_of_repeated_and_null_ids(spark):
+    """Two texts under one doc_id, null ids, repeated rows, a clashing column: components over the rows, named by their least doc_id."""
+    rng = random.Random(17)
+    a, b, c = prose(120, rng), prose(120, rng), prose(120, rng)
+    rows = [(1, a), (1, b), (2, edited(a, 1, rng)), (3, edited(b, 1, rng)), (None, edited(a, 1, rng)), (None, c), (None, edited(c, 1, rng)), (9, prose(50, rng)), (9, prose(50, rng)), (7, a), (7, a), (None, None), (4, " ")]
+    by_row = components(list(enumerate(t for _, t in rows)), 5)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least.setdefault(by_row[i][1], []).append(d)
+    least = {k: min((d for d in v if d is not None), default=None) for k, v in least.items()}
+    want = sorted((d if d is not None else -1, by_row[i][0], least[by_row[i][1]] if least[by_row[i][1]] is not None else -1) for i, (d, _) in enumerate(rows))
+    got = minhash.near_dedup(spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, id long, key long")).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in got) == want
+    assert {r.component_id for r in got if r.doc_id in (1, 2, 3, 7)} == {1}
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")
