@@ -6,28 +6,34 @@ is trained, those logits come from out-of-fold predictions (folds by a hash of t
 link sees a prediction that was fitted on its own row. When documents are scored, the earlier links' own
 logits are fed forward.
 
-The models are fitted on at most `max_labelled` labelled documents (those with the smallest hash of doc_id,
-equal texts once): the only bounded sample here. Everything else, scoring included, covers every document
-and whole texts.
+The models are fitted on at most `max_labelled` labelled documents (those with the smallest hash of doc_id):
+the only bounded sample here. Every one of them takes part with its own labels; rows that share three MinHashes
+of their words, as near copies do, weigh one together, so that a large group of copies does not teach its own
+words. Every word that tells a category apart beyond chance is a feature, however many those are (the labelled
+documents bound them). The fits of a link, one per fold and one over all, run as Spark tasks. Everything else,
+scoring included, covers every document and whole texts.
 
 Defined cases: null text counts as empty (it has no words: the intercepts decide); a null label leaves its
 row out of that category's training only; labels without a document, and documents without a label, are
 fine; without usable labels, or when all agree, a category's probability is the labels' mean (0 without
-any); repeated rows each get their own result row; columns other than doc_id and text pass through unused.
+any); very long texts are read whole; repeated rows each get their own result row; labelled documents with
+repeated doc_ids each take part; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, read, stage
 
 #: (category, Column of the labels table that says whether a document belongs to it)
 CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
-MAX_LABELLED, MAX_WORDS, LEAST_G, FOLDS, RIDGE = 20_000, 4_096, 32.0, 5, 1.0
+MAX_LABELLED, LEAST_G, FOLDS, RIDGE = 20_000, 32.0, 5, 1.0
 #: What parts words, besides white space: ASCII punctuation and digits.
 _PART = bytes(c for c in range(256) if c < 128 and not chr(c).isalpha())
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + _PART, bytes(range(97, 123)) + b" " * len(_PART))
@@ -38,23 +44,23 @@ def words_of(text: str | None) -> set[bytes]:
     return set((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_logistic(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray, float]:
     """Word weights, weights of the extra dense features, intercept; accelerated gradient on the ridge-penalised loss.
 
-    rows and cols are the places of the ones of a 0/1 matrix; the intercept is not penalised."""
+    rows and cols are the places of the ones of a 0/1 matrix, weight is each row's; the intercept is not penalised."""
     n, k = len(y), extra.shape[1]
     # per-feature step sizes: the diagonal of a bound on the Hessian
-    per_row = np.bincount(rows, minlength=n) + np.abs(extra).sum(axis=1) + 1
+    per_row = weight * (np.bincount(rows, minlength=n) + np.abs(extra).sum(axis=1) + 1)
     step_w = 1 / (ridge + np.bincount(cols, weights=per_row[rows] / 4, minlength=width))
     step_e = 1 / (ridge + (np.abs(extra) * per_row[:, None] / 4).sum(axis=0))
     step_b = 1 / max(per_row.sum() / 4, 1e-9)
     x = np.zeros(width + k + 1)
-    rate = y.mean() if n else 0.0
+    rate = np.average(y, weights=weight) if n else 0.0
     x[-1] = np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
     z, t, steps = x.copy(), 1.0, np.concatenate([step_w, step_e, [step_b]])
     for _ in range(400):
         margin = np.bincount(rows, weights=z[cols], minlength=n) + extra @ z[width:-1] + z[-1]
-        off = 1 / (1 + np.exp(-np.clip(margin, -35, 35))) - y
+        off = weight * (1 / (1 + np.exp(-np.clip(margin, -35, 35))) - y)
         grad = np.concatenate([np.bincount(cols, weights=off[rows], minlength=width), extra.T @ off, [off.sum()]])
         grad[:-1] += ridge * z[:-1]
         new = z - steps * grad
@@ -68,50 +74,66 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.nd
     return x[:width], x[width:-1], float(x[-1])
 
 
-def fit_chain(doc: np.ndarray, word: np.ndarray, labels: np.ndarray, folds: np.ndarray, width: int) -> list[dict]:
-    """The links in order. doc/word: places of the ones; labels: (documents, categories), nan where unknown."""
-    n, out = len(labels), []
+def fit_fold(data: dict, c: int, earlier: np.ndarray, fold: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Category c fitted on the rows with its label outside a fold (on all of them for the fold FOLDS)."""
+    doc, word, y = data["doc"], data["word"], data["labels"][:, c]
+    use = ~np.isnan(y) & (data["folds"] != fold)
+    mean = float(y[use].mean()) if use.any() else 0.0
+    if mean in (0.0, 1.0):
+        return np.zeros(data["width"]), np.zeros(earlier.shape[1]), 35.0 if mean else -35.0
+    place, at = np.cumsum(use) - 1, use[doc]
+    return fit_logistic(place[doc[at]], word[at], earlier[use], y[use], data["weight"][use], data["width"])
+
+
+def in_tasks(spark: SparkSession, data: dict):
+    """A function (category, earlier logits) -> the FOLDS + 1 models, each fitted by a Spark task."""
+    shared = spark.sparkContext.broadcast(data)  # bounded by the labelled documents
+
+    def fits(c: int, earlier: np.ndarray) -> list:
+        before = spark.sparkContext.broadcast(earlier)
+
+        def run(batches):
+            for batch in batches:
+                folds = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pickle.dumps(fit_fold(shared.value, c, before.value, f)) for f in folds], pa.binary())], names=["id", "model"])
+
+        return [pickle.loads(r["model"]) for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "id long, model binary").orderBy("id").collect()]
+
+    return fits
+
+
+def fit_chain(data: dict, fits) -> list[dict]:
+    """The links in order. data: doc and word (places of the ones), labels (documents, categories; nan where unknown), folds, weight, width."""
+    labels, n, out = data["labels"], len(data["labels"]), []
     earlier = np.zeros((n, 0))
     for c in range(labels.shape[1]):
         y, known = labels[:, c], ~np.isnan(labels[:, c])
-
-        def train(use: np.ndarray, y=y, earlier=earlier):
-            place = np.cumsum(use) - 1
-            at = use[doc]
-            mean = float(y[use].mean()) if use.any() else 0.0
-            if mean in (0.0, 1.0):
-                return np.zeros(width), np.zeros(earlier.shape[1]), 35.0 if mean else -35.0
-            return fit_logistic(place[doc[at]], word[at], earlier[use], y[use], width)
-
-        def margins(model, earlier=earlier):
-            w, e, b = model
-            return np.clip(np.bincount(doc, weights=w[word], minlength=n) + earlier @ e + b, -12, 12)
-
-        held = np.zeros(n)
-        for f in range(FOLDS):
-            held[folds == f] = margins(train(known & (folds != f)))[folds == f]
-        full = train(known)
-        out.append({"words": full[0], "earlier": full[1], "bias": full[2], "cut": best_cut(held[known], y[known])})
+        models, held = fits(c, earlier), np.zeros(n)
+        for f, (w, e, b) in enumerate(models[:-1]):
+            margin = np.clip(np.bincount(data["doc"], weights=w[data["word"]], minlength=n) + earlier @ e + b, -12, 12)
+            held[data["folds"] == f] = margin[data["folds"] == f]
+        w, e, b = models[-1]
+        out.append({"words": w, "earlier": e, "bias": b, "cut": best_cut(held[known], y[known], data["weight"][known])})
         earlier = np.column_stack([earlier, held])
     return out
 
 
-def best_cut(margin: np.ndarray, y: np.ndarray) -> float:
+def best_cut(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """The logit above which a document is put in the category: best F0.5 (precision counts more) on held-out margins, but at least at twice the category's rate."""
     if not y.any():
         return 35.0
     order = np.argsort(-margin, kind="stable")
-    hit, said = np.cumsum(y[order]), np.arange(1, len(y) + 1)
-    score = 1.25 * hit / (said + 0.25 * y.sum())
+    hit, said = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
+    score = 1.25 * hit / (said + 0.25 * hit[-1])
     ends = np.append(margin[order][1:] < margin[order][:-1], True)
     at = int(np.argmax(np.where(ends, score, -1)))
     low = margin[order][at + 1] if at + 1 < len(y) else margin[order][at] - 1
-    floor = min(0.5, 2 * float(y.mean()))
+    floor = min(0.5, 2 * float(np.average(y, weights=weight)))
     return max(float(np.log(floor / (1 - floor))), float((margin[order][at] + low) / 2))
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_labelled: int = MAX_LABELLED) -> dict:
-    """Fit the chain; what reaches the driver is bounded by max_labelled documents of at most MAX_WORDS words."""
+    """Fit the chain; what reaches the driver is bounded by the telling words of max_labelled documents."""
     spark = docs.sparkSession
     arrow_limits(spark)
     picked = labels.filter("doc_id is not null").groupBy("doc_id").agg(*(F.max(F.expr(e)).cast("double").alias(f"y{i}") for i, (_, e) in enumerate(categories)))
@@ -127,28 +149,30 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_l
     ys = [f"y{i}" for i in range(len(categories))]
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", *ys, "text")
     bags = rows.mapInArrow(tokens, "doc_id long, " + ", ".join(f"{y} double" for y in ys) + ", words array<string>")
-    # near copies count once, else one mislabelled group of copies would teach its own words: the key is three MinHashes of the words
     key = F.xxhash64(*(F.coalesce(F.array_min(F.transform("words", lambda w, seed=seed: F.xxhash64(w, F.lit(seed)))), F.lit(0).cast("long")) for seed in range(3)))
-    first = bags.groupBy(key.alias("text_hash")).agg(F.min_by(F.struct("words", *ys), F.struct("doc_id", F.xxhash64("words"))).alias("r"))
-    bags = stage(first.select("text_hash", "r.words", *(f"r.{y}" for y in ys)), "toxicity-bags")
-    # words by the log-likelihood ratio (G) of their counts with a category, over the whole training set; LEAST_G is beyond chance for 10^6 words
-    base = bags.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(y), F.lit(0.0)).alias(y) for y in ys)).first()
-    stats = bags.select(F.explode("words").alias("word"), *ys).groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.coalesce(F.sum(y), F.lit(0.0)).alias(y) for y in ys))
+    bags = stage(bags.select("doc_id", *ys, "words", key.alias("group"), F.monotonically_increasing_id().alias("row_no")), "toxicity-rows")
+    alike = bags.groupBy("group").agg((1 / F.count(F.lit(1))).alias("weight"))
+    bags = stage(bags.join(alike, "group"), "toxicity-bags")
+    # words by the log-likelihood ratio (G) of their weighted counts with a category, over the whole training set; LEAST_G is beyond chance for 10^6 words
+    of = lambda y: F.coalesce(F.sum(F.col("weight") * F.col(y)), F.lit(0.0)).alias(y)
+    base = bags.agg(F.sum("weight").alias("n"), *map(of, ys)).first()
+    stats = bags.select(F.explode("words").alias("word"), "weight", *ys).groupBy("word").agg(F.sum("weight").alias("n"), *map(of, ys))
     score = F.lit(0.0)
     for y in ys:
-        rate = min(max((base[y] or 0) / max(base["n"], 1), 1e-9), 1 - 1e-9)
-        part = lambda seen, expected: F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
+        rate = min(max((base[y] or 0) / max(base["n"] or 0, 1e-9), 1e-9), 1 - 1e-9)
+        part = lambda seen, expected: F.when(seen > 1e-9, 2 * seen * F.log(seen / expected)).otherwise(0.0)
         score = F.greatest(score, part(F.col(y), F.col("n") * rate) + part(F.col("n") - F.col(y), F.col("n") * (1 - rate)))
-    best = stats.withColumn("g", score).filter(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "word").limit(MAX_WORDS)
-    vocab = [r["word"] for r in best.select("word").collect()]
-    place = {w: i for i, w in enumerate(vocab)}
-    kept = bags.select("text_hash", *ys, F.filter("words", lambda w: w.isin(vocab)).alias("w"))
-    table = kept.orderBy("text_hash").toPandas()
-    doc = np.repeat(np.arange(len(table)), [len(w) for w in table["w"]]).astype(np.int64)
-    word = np.array([place[w] for ws in table["w"] for w in ws], np.int64)
-    y = table[ys].to_numpy(float).reshape(len(table), len(ys))
-    folds = (table["text_hash"].to_numpy(np.int64) >> 8) % FOLDS if len(table) else np.zeros(0, np.int64)
-    return {"words": {w.encode(): i for w, i in place.items()}, "links": fit_chain(doc, word, y, folds, max(1, len(vocab))), "names": [c for c, _ in categories]}
+    best = stage(stats.withColumn("g", score).filter(F.col("g") >= LEAST_G).select("word"), "toxicity-words")  # a word needs several documents to get there
+    vocab = sorted(r["word"] for r in best.collect())
+    places = F.broadcast(spark.createDataFrame(list(enumerate(vocab)), "place int, word string"))
+    ones = bags.select("row_no", F.explode("words").alias("word")).join(places, "word").groupBy("row_no").agg(F.array_sort(F.collect_list("place")).alias("w"))
+    table = bags.select("row_no", "group", "doc_id", "weight", *ys).join(ones, "row_no", "left").orderBy("doc_id", "row_no").toPandas()
+    lists = [[] if w is None else list(w) for w in table["w"]]
+    doc = np.repeat(np.arange(len(table)), [len(w) for w in lists]).astype(np.int64)
+    word = np.array([p for ws in lists for p in ws], np.int64)
+    folds = (table["group"].to_numpy(np.int64) >> 8) % FOLDS if len(table) else np.zeros(0, np.int64)  # near copies are in one fold
+    data = {"doc": doc, "word": word, "labels": table[ys].to_numpy(float).reshape(len(table), len(ys)), "folds": folds, "weight": table["weight"].to_numpy(float), "width": max(1, len(vocab))}
+    return {"words": {w.encode(): i for i, w in enumerate(vocab)}, "links": fit_chain(data, in_tasks(spark, data)), "names": [c for c, _ in categories]}
 
 
 def score_texts(texts, model: dict) -> np.ndarray:
@@ -164,7 +188,7 @@ def score_texts(texts, model: dict) -> np.ndarray:
 def score_chain(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, p_<category> per category, toxic (the last category's verdict), kept (not toxic)."""
     arrow_limits(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_WORDS words and their weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the telling words of the labelled documents and their weights
 
     def run(batches):
         m = shared.value

@@ -217,6 +217,55 @@ def test_toxicity(spark, empty):
     assert toxicity.score_chain(empty, toxicity.train_chain(empty, lab)).count() == 0
 
 
+def plain_logistic(x, y, weight):
+    """Newton's method on the dense ridge-penalised loss, intercept last and not penalised."""
+    x, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    penalty = np.append(np.full(x.shape[1] - 1, toxicity.RIDGE), 0.0)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + np.diag(penalty), x.T @ (weight * (p - y)) + penalty * w)
+    return w
+
+
+def test_toxicity_equals_a_plain_chain(spark):
+    """Probabilities of a chain fitted by Newton's method on dense matrices, over a table with copies, unknown labels, long texts and clashing columns."""
+    rng, rows, labels = random.Random(23), [], []
+    for i in range(500):
+        junk, bad = i % 4 == 0, i % 6 == 0
+        words = prose(20 if i else 30_000, rng).split() + rng.sample(["spam", "junk", "filler"], 2 * junk) + (["nasty"] if bad and i % 5 else []) + (["vile"] if bad or i % 50 == 1 else [])
+        rows.append((i, " ".join(words)))
+        labels.append((i, None if i % 31 == 0 else int(not junk), int(bad)))
+    rows += [(500 + i, rows[6][1]) for i in range(20)] + [(520, ""), (520, "vile"), (None, "nasty")]  # copies of one text, weighing one together
+    labels += [(500 + i, 1, 1) for i in range(20)] + [(520, 1, 0)]
+    model = toxicity.train_chain(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, y0 int"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = toxicity.score_chain(spark.createDataFrame([(*r, 1.0, "x") for r in rows], "doc_id long, text string, p_toxic double, toxic string"), model).collect()
+    vocab = sorted(model["words"])
+    assert {"vile", "nasty"} <= {w.decode() for w in vocab}
+    by_id = {d: (q, t) for d, q, t in labels}
+    train = [(d, t) for d, t in rows if d in by_id]
+    ones = lambda texts: np.array([[w in toxicity.words_of(t) for w in vocab] for t in texts], float)
+    x = ones([t for _, t in train])
+    y = np.array([[np.nan if by_id[d][0] is None else 1 - by_id[d][0], by_id[d][1]] for d, _ in train], float)
+    hashes = spark.createDataFrame([(sorted(w.decode() for w in toxicity.words_of(t)),) for _, t in train], "words array<string>").select(*(toxicity.F.coalesce(toxicity.F.array_min(toxicity.F.transform("words", lambda w, s=s: toxicity.F.xxhash64(w, toxicity.F.lit(s)))), toxicity.F.lit(0).cast("long")).alias(f"m{s}") for s in range(3)))
+    groups = [r.g for r in hashes.select(toxicity.F.xxhash64("m0", "m1", "m2").alias("g")).collect()]
+    weight, folds = np.array([1 / groups.count(g) for g in groups]), np.array([(g >> 8) % toxicity.FOLDS for g in groups])
+    earlier, links = np.zeros((len(train), 0)), []
+    for c in range(2):
+        full, known, held = np.column_stack([x, earlier]), ~np.isnan(y[:, c]), np.zeros(len(train))
+        for f in range(toxicity.FOLDS):
+            use = known & (folds != f)
+            w = plain_logistic(full[use], y[use, c], weight[use])
+            held[folds == f] = np.clip(full @ w[:-1] + w[-1], -12, 12)[folds == f]
+        links.append(plain_logistic(full[known], y[known, c], weight[known]))
+        earlier = np.column_stack([earlier, held])
+    every = ones([t for _, t in rows])
+    for c, link in enumerate(links):
+        every = np.column_stack([every, np.clip(every @ link[:-1] + link[-1], -12, 12)])
+    want = sorted(zip((d if d is not None else -1 for d, _ in rows), 1 / (1 + np.exp(-every[:, -2])), 1 / (1 + np.exp(-every[:, -1])), strict=True))
+    have = sorted((r.doc_id if r.doc_id is not None else -1, r.p_low_quality, r.p_toxic) for r in got)
+    assert len(have) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 0.02 and abs(a[2] - b[2]) < 0.02 for a, b in zip(have, want, strict=True))
+
+
 def bag(words):
     return collections.Counter(tuple(words[q : q + 5]) for q in range(len(words) - 4))
 
