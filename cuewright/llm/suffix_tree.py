@@ -10,12 +10,13 @@ The tree is bounded by SYMBOLS^3 contexts, so its table of log-probabilities fit
 from cover every training text.
 
 The base score needs the count of every word in the training texts, a table that grows with the corpus. Only
-the HOT most frequent words are held by the tasks; tokens of other words are summed per (document, word) and
+at most HOT words, the most frequent ones by a histogram of counts, are held by the tasks; tokens of other words are summed per (document, word) and
 joined with the full counts by shuffle. Words are keyed by 64-bit hashes.
 
 Defined cases: a null text counts as empty (one token, the end); the crc of a null doc_id is that of
 the empty text, so such a row is held out; repeated rows count and are scored each; without any
-training text the smoothing alone decides; an empty table gives an empty result. Other columns are ignored.
+training text the smoothing alone decides; an empty table gives an empty result. Very long texts are read whole. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -160,6 +161,22 @@ def build_tree(grams: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.log10(used).astype(np.float32).reshape(-1), np.log10(share), total
 
 
+def size_class(n):
+    """Column: sixteenths of a power of two."""
+    return F.floor(F.log2(n) * 16).cast("int")
+
+
+def hot_cut(words: DataFrame, hot: int) -> int:
+    """The lowest size class from which on there are at most `hot` words."""
+    seen, cut = 0, 1 << 30
+    for r in words.groupBy(size_class(F.col("n")).alias("size")).count().orderBy(F.desc("size")).collect():  # at most 16 * 63 rows
+        seen += r["count"]
+        if seen > hot:
+            break
+        cut = r["size"]
+    return cut
+
+
 def score_documents(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     spark = docs.sparkSession
@@ -181,7 +198,7 @@ def score_documents(docs: DataFrame, hot: int = HOT) -> DataFrame:
         got = counts.filter(F.col("kind") == kind).select("key", "n").toArrow()
         table[got["key"].to_numpy()] = got["n"].to_numpy()
     table, share, _ = build_tree(grams, single)
-    often = words.orderBy(F.desc("n"), "key").limit(hot).toArrow()  # at most `hot` rows
+    often = words.filter(size_class(F.col("n")) >= hot_cut(words, hot)).select("key", "n").toArrow()  # at most `hot` rows
     order = np.argsort(often["key"].to_numpy(), kind="stable")
     model = spark.sparkContext.broadcast({"table": table, "share": share, "keys": often["key"].to_numpy()[order], "n": often["n"].to_numpy()[order]})
     bottom = np.log10(total + ALPHA * (distinct + 1))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, read, stage
+from .common import arrow_limits, read, small_or_join, stage
 
 #: (category, Column of the labels table that says whether a document belongs to it)
 CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
@@ -152,7 +152,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_l
     key = F.xxhash64(*(F.coalesce(F.array_min(F.transform("words", lambda w, seed=seed: F.xxhash64(w, F.lit(seed)))), F.lit(0).cast("long")) for seed in range(3)))
     bags = stage(bags.select("doc_id", *ys, "words", key.alias("group"), F.monotonically_increasing_id().alias("row_no")), "toxicity-rows")
     alike = bags.groupBy("group").agg((1 / F.count(F.lit(1))).alias("weight"))
-    bags = stage(bags.join(alike, "group"), "toxicity-bags")
+    bags = stage(bags.join(small_or_join(stage(alike, "toxicity-groups"), 10 * MAX_LABELLED), "group"), "toxicity-bags")
     # words by the log-likelihood ratio (G) of their weighted counts with a category, over the whole training set; LEAST_G is beyond chance for 10^6 words
     of = lambda y: F.coalesce(F.sum(F.col("weight") * F.col(y)), F.lit(0.0)).alias(y)
     base = bags.agg(F.sum("weight").alias("n"), *map(of, ys)).first()

@@ -4,7 +4,7 @@ Writing: every page becomes a WARC/1.1 response record whose block is an HTTP re
 coding, or, if an earlier page has the same payload, a revisit record. A block longer than `segment` characters is
 split into a first record and continuation records (WARC-Segment-Number, -Origin-ID, and the total length on
 the last one). Archives are plain .warc text written by Spark: the writer's line separator is the two empty
-lines that end a record.
+lines that end a record, and a file holds about FILE_BYTES.
 
 Reading: archives are parsed record by record by their Content-Length. Whole records are decoded where they
 are parsed; segments are grouped by their origin's identifier, ordered by number, checked (numbers from 1
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_limits, shared_dir, small_or_join, stage
 
-LEAST_REVISIT, SEGMENT, CHUNK, RECORDS_A_FILE = 100, 32_768, 4_096, 512
+LEAST_REVISIT, SEGMENT, CHUNK, FILE_BYTES = 100, 32_768, 4_096, 32 << 20
 _END = "\r\n\r\n"
 
 
@@ -135,8 +135,10 @@ def write_archives(pages: DataFrame, segment: int = SEGMENT) -> str:
             out = [r for page in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in records_of(*page, segment, f"{part}.{next(seq)}")]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
+    # archives of about FILE_BYTES: so many records as have that size on average
+    mean = rows.agg(F.avg(F.least(F.octet_length("html"), F.lit(segment)))).first()[0] or 0.0
     folder = f"{shared_dir(spark)}/stage/warc-{uuid.uuid4().hex}"
-    told.mapInArrow(make, "value string").write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_A_FILE).text(folder)
+    told.mapInArrow(make, "value string").write.option("lineSep", _END).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1024)))).text(folder)
     return folder
 
 
@@ -169,7 +171,7 @@ def read_archives(spark, folder: str) -> DataFrame:
                 out.append({"page_id": int(fields["X-Page-ID"]) if fields.get("X-Page-ID") else None, "payload_bytes": len(payload_of(block, fields)), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"), "record_type": "response", "refers_to": None})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
-    # an archive is at most RECORDS_A_FILE records of a segment each
+    # an archive holds about FILE_BYTES, and no record is longer than a segment
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
     records = stage(files.mapInArrow(parse_files, _PARSED), "warc-records", "lz4")
     whole = records.filter("origin is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -547,6 +547,48 @@ def test_crf_adds_what_patterns_miss():
     assert pii.viterbi(scores, step).tolist() == [[0, 0, 0]]
 
 
+def test_model_spans_against_a_plain_viterbi(spark):
+    """The whole text decoded word by word with the field's own weights, in plain Python; repeated rows, null ids and a clashing column."""
+    model, rng = pii.train(), random.Random(19)
+    pieces = ["ring 030-555-0199", "mail anna at example dot com", "iban DE89 3704 0044 0532 0130 00", "see chapter 12", "host fe80::1ff:fe23:4567:890a", "order 66"]
+    texts = [" ".join(prose(rng.randint(1, 40), rng) + " " + rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(40)]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, texts[4])]
+    want = []
+    for d, text in rows:
+        found = list(re.finditer("[^\x20\x09-\x0d]+", text))
+        scores = np.zeros((len(found), len(pii.TAGS)))
+        for i in range(len(found)):
+            for side, j in (("0", i), ("-", i - 1), ("+", i + 1)):
+                if 0 <= j < len(found):
+                    for f in pii.features(found[j][0]):
+                        if side + f in model["names"]:
+                            scores[i] += model["emit"][model["names"][side + f]]
+        tags: list = []
+        if found:
+            best, back = scores[0], []
+            for row in scores[1:]:
+                ways = best[:, None] + model["step"]
+                back.append(ways.argmax(axis=0))
+                best = ways.max(axis=0) + row
+            tags = [int(best.argmax())]
+            for b in reversed(back):
+                tags.append(int(b[tags[-1]]))
+            tags.reverse()
+        spans, i = [], 0
+        while i < len(tags):
+            j = i
+            while j + 1 < len(tags) and tags[j + 1] == tags[i]:
+                j += 1
+            if tags[i]:
+                last = found[j][0].rstrip(".,;:)")
+                spans.append((found[i].start(), found[j].start() + max(1, len(last)), pii.TAGS[tags[i]]))
+            i = j + 1
+        base = pii.base_spans(text)
+        want.append((-1 if d is None else d, ",".join([f"{k}:{s}:{e}" for k, s, e in base] + [f"model_{k}:{s}:{e}" for s, e, k in spans if not any(s < y and e > x for _, x, y in base)])))
+    got = pii.scan_pii(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_email int")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.spans) for r in got) == sorted(want) and sum("model_" in s for _, s in want) > 20
+
+
 def test_crf_reads_every_word():
     """Entities without a digit or an at sign are found, in short texts and deep in long ones; plain prose has none."""
     said = ["anna at example dot com", "bob dot smith at mail dot example dot org"]
@@ -589,6 +631,48 @@ def test_suffix_tree_scores(docs, empty, hot):
     assert suffix_tree.score_documents(empty).count() == 0
 
 
+def test_suffix_tree_scores_against_a_plain_tree(spark):
+    """A tree of dictionaries, context by context, gives the same scores; a null id, repeated rows, and a table with nothing to learn from."""
+    rng, classes, S = random.Random(41), suffix_tree.CLASS, suffix_tree.SYMBOLS
+    rows = [(i, prose(rng.randint(0, 60), rng) + rng.choice(["", ".", " É!", "\n12"])) for i in range(60)] + [(5, "twice said"), (5, "twice said"), (None, "left out")]
+    counts, single = {}, collections.Counter()
+    for d, t in rows:
+        if not suffix_tree.is_held_out(d):
+            single.update(t.encode())
+            s = [suffix_tree.END] * 3 + [int(classes[b]) for b in t.encode()] + [suffix_tree.END]
+            for k in range(3, len(s)):
+                for depth in range(4):
+                    counts.setdefault(tuple(s[k - depth : k]), collections.Counter())[s[k]] += 1
+    known: dict = {}
+
+    def spread(context):
+        if context not in known:
+            own = counts.get(context, {})
+            n = sum(own.values())
+            if not context:
+                known[context] = [(own.get(x, 0) + 1) / (n + S) for x in range(S)]
+            else:
+                up = spread(context[1:])
+                gain = sum(c * math.log(c / n / up[x]) for x, c in own.items())
+                known[context] = [(own.get(x, 0) + suffix_tree.STRENGTH * up[x]) / (n + suffix_tree.STRENGTH) for x in range(S)] if gain > suffix_tree.DIVERGENCE else up
+        return known[context]
+
+    in_class = collections.Counter()
+    for b in range(256):
+        in_class[int(classes[b])] += single[b] + suffix_tree.ALPHA
+    want = []
+    for d, t in rows:
+        s = [suffix_tree.END] * 3 + [int(classes[b]) for b in t.encode()] + [suffix_tree.END]
+        score = sum(math.log10(spread(tuple(s[k - 3 : k]))[s[k]]) for k in range(3, len(s))) + sum(math.log10((single[b] + suffix_tree.ALPHA) / in_class[int(classes[b])]) for b in t.encode())
+        want.append((-1 if d is None else d, score))
+    df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in suffix_tree.score_documents(df).collect())
+    assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-4, abs_tol=1e-3) for a, b in zip(got, sorted(want), strict=True))
+    held = [r for r in rows if suffix_tree.is_held_out(r[0])]
+    alone = suffix_tree.score_documents(spark.createDataFrame(held, "doc_id long, text string")).collect()
+    assert len(alone) == len(held) >= 2 and all(r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in alone)
+
+
 def test_suffix_tree_is_a_distribution():
     grams, single = np.zeros(suffix_tree.SYMBOLS**4, np.int64), np.zeros(256, np.int64)
     texts = [prose(50).encode() for _ in range(50)] + [b""]
