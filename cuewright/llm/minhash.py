@@ -1,7 +1,7 @@
 """Operator 8, MinHash near-dedup by a signature-coordinate inverted join.
 
-Documents with equal shingle sets form one class; one member of each class goes on, under a number of the
-class's own (doc_ids may repeat or be null; they come in only when components are named). A class has a signature
+Documents with equal shingle sets form one class; one member of each class goes on, under its least doc_id or,
+where another class has that too or there is none, a negative number of its own. A class has a signature
 of COORDINATES values, each made of GROUP minimum hashes, and is posted under (coordinate, value) for its first coordinates only: a pair
 that agrees in at least LEAST of all coordinates must agree in one of the first COORDINATES - LEAST + 1
 (prefix). A short posting list gives its pairs; pairs are counted over the whole signature and those under
@@ -220,7 +220,11 @@ def near_dedup(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame
     # classes of equal sets: the copies are one row each from here on
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     classes = described.filter(F.col("n_shingles") > 0).groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.min_by("key", first).alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"))
-    classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "minhash-classes")
+    classes = stage(classes.withColumn("seq", F.monotonically_increasing_id()), "minhash-sets-once")
+    # a class goes by its least doc_id (a group's first document is the one its copies resemble most: the best head of a long list), unless that is no name
+    shared = stage(classes.filter("least >= 0").groupBy("least").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("least", F.lit(True).alias("shared")), "minhash-shared-ids")
+    own = F.when(F.col("shared") | F.col("least").isNull() | (F.col("least") < 0), -1 - F.col("seq")).otherwise(F.col("least"))
+    classes = stage(classes.join(small_or_join(shared), "least", "left").select("set_hash", "least", "key", "n_shingles", "sign", own.alias("id")), "minhash-classes")
     short, long = posting_lists(classes)
     near = short.withColumnRenamed("id", "a").join(short.withColumnRenamed("id", "b"), "list_key").filter("a < b")
     stars = long.filter("list_key < id").select(F.col("list_key").alias("a"), F.col("id").alias("b"))
