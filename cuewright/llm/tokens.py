@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import arrow_limits
 
 #: Distinct parts remembered per Python worker, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Bytes of text that are cut and strung together at once.
+AT_ONCE = 3 << 20
 END_ID = 2
 #: ASCII punctuation that ends a word's part (not the apostrophe, which starts contractions).
 _MARKS = "!-&(-/:-@\\[-`{-~"
@@ -103,6 +105,9 @@ class Encoder:
 
     def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
         """uint32 ids of each text of a string column; a null is an empty text."""
+        if len(texts) > 1 and texts.nbytes > AT_ONCE:
+            half = len(texts) // 2
+            return self.encode_column(texts[:half]) + self.encode_column(texts[half:])
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, _ODD)
         lists = pc.split_pattern(pc.binary_join_element_wise("\0", pc.if_else(odd, "", texts), ""), " ")
@@ -146,6 +151,7 @@ def token_table(docs: DataFrame, vocabulary: str, queue: str | None = None) -> D
         e = encoder(vocabulary)
         kind = np.uint16 if e.size <= 1 << 16 else np.uint32
         part, seq, last, seen = TaskContext.get().partitionId(), 0, None, {}
+        pa.default_memory_pool().release_unused()  # of earlier tasks of this worker
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for doc, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), e.encode_column(batch.column(2)), strict=True):

@@ -85,9 +85,8 @@ def fit_fold(data: dict, c: int, earlier: np.ndarray, fold: int) -> tuple[np.nda
     return fit_logistic(place[doc[at]], word[at], earlier[use], y[use], data["weight"][use], data["width"])
 
 
-def in_tasks(spark: SparkSession, data: dict):
-    """A function (category, earlier logits) -> the FOLDS + 1 models, each fitted by a Spark task."""
-    shared = spark.sparkContext.broadcast(data)  # bounded by the labelled documents
+def in_tasks(spark: SparkSession, shared):
+    """A function (category, earlier logits) -> the FOLDS + 1 models, each fitted by a Spark task. shared: the broadcast data of fit_chain."""
 
     def fits(c: int, earlier: np.ndarray) -> list:
         before = spark.sparkContext.broadcast(earlier)
@@ -97,7 +96,9 @@ def in_tasks(spark: SparkSession, data: dict):
                 folds = batch.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pickle.dumps(fit_fold(shared.value, c, before.value, f)) for f in folds], pa.binary())], names=["id", "model"])
 
-        return [pickle.loads(r["model"]) for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "id long, model binary").orderBy("id").collect()]
+        models = [pickle.loads(r["model"]) for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "id long, model binary").orderBy("id").collect()]
+        before.destroy()
+        return models
 
     return fits
 
@@ -168,11 +169,14 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_l
     ones = bags.select("row_no", F.explode("words").alias("word")).join(places, "word").groupBy("row_no").agg(F.array_sort(F.collect_list("place")).alias("w"))
     table = bags.select("row_no", "group", "doc_id", "weight", *ys).join(ones, "row_no", "left").orderBy("doc_id", "row_no").toPandas()
     lists = [[] if w is None else list(w) for w in table["w"]]
-    doc = np.repeat(np.arange(len(table)), [len(w) for w in lists]).astype(np.int64)
-    word = np.array([p for ws in lists for p in ws], np.int64)
+    doc = np.repeat(np.arange(len(table)), [len(w) for w in lists]).astype(np.int32)
+    word = np.array([p for ws in lists for p in ws], np.int32)
     folds = (table["group"].to_numpy(np.int64) >> 8) % FOLDS if len(table) else np.zeros(0, np.int64)  # near copies are in one fold
     data = {"doc": doc, "word": word, "labels": table[ys].to_numpy(float).reshape(len(table), len(ys)), "folds": folds, "weight": table["weight"].to_numpy(float), "width": max(1, len(vocab))}
-    return {"words": {w.encode(): i for i, w in enumerate(vocab)}, "links": fit_chain(data, in_tasks(spark, data)), "names": [c for c, _ in categories]}
+    shared = spark.sparkContext.broadcast(data)  # bounded by the labelled documents
+    links = fit_chain(data, in_tasks(spark, shared))
+    shared.destroy()  # the workers forget it
+    return {"words": {w.encode(): i for i, w in enumerate(vocab)}, "links": links, "names": [c for c, _ in categories]}
 
 
 def score_texts(texts, model: dict) -> np.ndarray:
