@@ -1,13 +1,16 @@
 """Operator 10, language-model scores from a probabilistic suffix tree.
 
 Symbols are the bytes of the text, folded into SYMBOLS classes (a rule, see `CLASS`), and an end symbol. All
-training texts are counted: (three symbols of context, next symbol), and from these the shorter contexts.
-A context is retained if its next-symbol distribution diverges from that of its longest proper suffix: count
+training texts are counted: (DEPTH symbols of context, next symbol), and from these the shorter contexts.
+A context is retained if its next-symbol distribution diverges from that of its longest retained suffix: count
 * KL divergence must exceed DIVERGENCE (a likelihood-ratio test). Distributions are smoothed towards the
 suffix's (STRENGTH pseudo-counts). A position is scored by the longest retained suffix of what precedes it,
 times the byte's share within its class; the sum over all bytes and the end is the text's log10 probability.
-The tree is bounded by SYMBOLS^3 contexts, so its table of log-probabilities fits a task; the counts it is made
-from cover every training text.
+
+The contexts seen and retained grow with the corpus (of SYMBOLS^DEPTH, 8 * 10^9, possible ones). Contexts of up to
+three symbols are a dense table of SYMBOLS^4 numbers. Deeper ones are counted by a shuffle and tested in groups that
+share their last three symbols, at most SYMBOLS^4 rows each. Tasks hold the at most CONTEXTS most frequent retained
+ones; positions under which rarer ones are retained are summed per (document, context, next) and joined with those by shuffle.
 
 The base score needs the count of every word in the training texts, a table that grows with the corpus. Only
 at most HOT words, the most frequent ones by a histogram of counts, are held by the tasks; tokens of other words are summed per (document, word) and
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_limits, stage
 
-HOT, DIVERGENCE, STRENGTH, ALPHA = 1_000_000, 40.0, 8.0, 0.1
+HOT, CONTEXTS, DEPTH, DIVERGENCE, STRENGTH, ALPHA = 1_000_000, 200_000, 6, 40.0, 8.0, 0.1
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -51,30 +54,34 @@ END = _N
 SYMBOLS = _N + 1
 
 
-def symbols_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the texts in a row, each with three end symbols before it and one after; and the texts' places."""
+def symbols_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the texts in a row, each with DEPTH end symbols before it and one after; the texts' places; which symbols are predicted."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(sizes + 4) - (sizes + 4) + 3
-    out = np.full(int((sizes + 4).sum()), END, np.int64)
-    joined = CLASS[np.frombuffer(b"".join(texts), np.uint8)]
-    inside = np.ones(len(out), bool)
-    for k in (-3, -2, -1):
-        inside[starts + k] = False
+    starts = np.cumsum(sizes + DEPTH + 1) - sizes - 1
+    out = np.full(int((sizes + DEPTH + 1).sum()), END, np.int64)
+    predicted = np.ones(len(out), bool)
+    for k in range(1, DEPTH + 1):
+        predicted[starts - k] = False
+    inside = predicted.copy()
     inside[starts + sizes] = False
-    out[inside] = joined
-    return out, starts
+    out[inside] = CLASS[np.frombuffer(b"".join(texts), np.uint8)]
+    return out, starts, predicted
+
 
+def code_at(s: np.ndarray, first: int, last: int) -> np.ndarray:
+    """At every symbol from place DEPTH on: the code of the symbols `first` to `last` places before it, the oldest highest."""
+    n = len(s) - DEPTH
+    code = np.zeros(n, np.int64)
+    for k in range(first, last - 1, -1):
+        code *= SYMBOLS
+        code += s[DEPTH - k : DEPTH - k + n]
+    return code
 
-def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of (context of three, next) at every predicted position; the texts' starts among them; their lengths."""
-    s, starts = symbols_of(texts)
-    codes = ((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:]
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    keep = np.ones(len(codes), bool)
-    for k in (0, 1, 2):  # the three symbols after a text's end start the next one
-        gap = starts[1:] - 3 + k - 3
-        keep[gap[gap >= 0]] = False
-    return codes[keep], np.cumsum(sizes) - sizes, sizes
+
+def grams_of(texts: list[bytes]) -> np.ndarray:
+    """Codes of (DEPTH symbols of context, next) at every predicted position."""
+    s, _, predicted = symbols_of(texts)
+    return code_at(s, DEPTH, 0)[predicted[DEPTH:]]
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -102,46 +109,60 @@ def slices(values: list, size: int = 2 << 20):
         yield start, len(values)
 
 
-#: kinds of counted rows: words, four-grams of symbols, bytes
+#: kinds of counted rows: words, symbols after their context, bytes
 _WORD, _GRAM, _BYTE = 0, 1, 2
 
 
+def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of (keys, counts) by key."""
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(keys) else n
+
+
 def training_counts(docs: DataFrame) -> DataFrame:
     """kind, key, n over all training texts: each task adds up its own part before the shuffle."""
 
     def count(batches):
-        grams, single = np.zeros(SYMBOLS**4, np.int64), np.zeros(256, np.int64)
+        single = np.zeros(256, np.int64)
 
         def rows(kind, keys, n):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["kind", "key", "n"])
+            for i in range(0, len(keys), 500_000):
+                part = keys[i : i + 500_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part, pa.int64()), pa.array(n[i : i + 500_000], pa.int64())], names=["kind", "key", "n"])
 
-        pending, held = [], 0
+        pending, held, grams = [], 0, []
         for batch in batches:
             texts = [raw(t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not is_held_out(d)]
             for a, b in slices(texts):
                 part = texts[a:b]
-                codes = grams_of(part)[0]
-                keys, n = np.unique(codes, return_counts=True)
-                grams[keys] += n
+                grams.append(np.unique(grams_of(part), return_counts=True))
+                if sum(len(k) for k, _ in grams) > 4_000_000:
+                    grams = [merged(grams)]
+                    if len(grams[0][0]) > 3_000_000:
+                        yield from rows(_GRAM, *grams.pop())
                 single += np.bincount(np.frombuffer(b"".join(part), np.uint8), minlength=256)
                 hashes = [word_hashes(t) for t in part]
                 pending.append(np.concatenate(hashes))
                 held += len(pending[-1])
                 if held > 6_000_000:
-                    yield rows(_WORD, *np.unique(np.concatenate(pending), return_counts=True))
+                    yield from rows(_WORD, *np.unique(np.concatenate(pending), return_counts=True))
                     pending, held = [], 0
         if pending:
-            yield rows(_WORD, *np.unique(np.concatenate(pending), return_counts=True))
-        for kind, table in ((_GRAM, grams), (_BYTE, single)):
-            keys = np.flatnonzero(table)
-            yield rows(kind, keys, table[keys])
+            yield from rows(_WORD, *np.unique(np.concatenate(pending), return_counts=True))
+        if grams:
+            yield from rows(_GRAM, *merged(grams))
+        keys = np.flatnonzero(single)
+        yield from rows(_BYTE, keys, single[keys])
 
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "kind tinyint, key long, n long")
     return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def build_tree(grams: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """log10 P(next | longest retained suffix) for every context of three, log10 share of each byte in its class, contexts retained."""
+    """P(next | longest retained suffix) for every context of three symbols, a row each; log10 share of each byte in its class; contexts retained."""
     S = SYMBOLS
     full = grams.reshape(S, S, S, S).astype(np.float64)
     one = full.sum(axis=(0, 1, 2))
@@ -158,7 +179,111 @@ def build_tree(grams: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.nd
         total += int(kept.sum())
         used = np.where(kept[:, None], smooth, parent)
     share = (single + ALPHA) / np.bincount(CLASS, weights=single + ALPHA, minlength=_N)[CLASS]
-    return np.log10(used).astype(np.float32).reshape(-1), np.log10(share), total
+    return used.astype(np.float32), np.log10(share), total
+
+
+def places_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key among the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def deep_contexts(codes: np.ndarray, n: np.ndarray, short: np.ndarray) -> list[tuple]:
+    """(depth, contexts, their counts, their distributions) of the retained contexts of four to DEPTH symbols.
+
+    `codes`, `n`: all counted (context, next) with the same last three symbols of context, for one or more such
+    endings; `short`: the rows of distributions of `build_tree`.
+    """
+    S, found = SYMBOLS, []
+    grams, used = np.zeros(0, np.int64), np.zeros(0)
+    for depth in range(4, DEPTH + 1):
+        own, counts = merged([(codes % S ** (depth + 1), n)])
+        parent = short[own // S % S**3, own % S].astype(np.float64) if depth == 4 else used[np.searchsorted(grams, own % S**depth)]
+        contexts, which = np.unique(own // S, return_inverse=True)
+        total = np.bincount(which, counts)
+        gain = np.bincount(which, counts * np.log(counts / total[which] / parent))
+        kept = gain > DIVERGENCE
+        grams, used = own, np.where(kept[which], (counts + STRENGTH * parent) / (total[which] + STRENGTH), parent)
+        names = contexts[kept]
+        spread = short[names % S**3].astype(np.float64)
+        for d, keys, _, rows in found:
+            at, hit = places_in(keys, names % S**d)
+            spread[hit] = rows[at[hit]]
+        spread *= STRENGTH
+        place = np.cumsum(kept) - 1
+        of = kept[which]
+        spread[place[which[of]], own[of] % S] += counts[of]
+        found.append((depth, names, total[kept].astype(np.int64), (spread / (total[kept] + STRENGTH)[:, None]).astype(np.float32)))
+    return found
+
+
+def retained(grams: DataFrame, short) -> DataFrame:
+    """depth, context, n, spread: every retained context of more than three symbols. `short` is a broadcast of `build_tree`'s rows."""
+
+    def test(batches):
+        waiting, held = [], 0
+
+        def rows(codes, n):
+            for depth, names, total, spread in deep_contexts(codes, n, short.value):
+                for i in range(0, len(names), 20_000):
+                    part = spread[i : i + 20_000]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * SYMBOLS, pa.int32()), pa.array(np.log10(part).reshape(-1), pa.float32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), depth, np.int8)), pa.array(names[i : i + 20_000], pa.int64()), pa.array(total[i : i + 20_000], pa.int64()), lists], names=["depth", "context", "n", "spread"])
+
+        for batch in batches:
+            waiting.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            held += batch.num_rows
+            if held > 500_000:
+                codes, n = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                ending = codes // SYMBOLS % SYMBOLS**3
+                whole = int(np.searchsorted(ending, ending[-1]))  # the last ending may go on
+                yield from rows(codes[:whole], n[:whole])
+                waiting, held = [(codes[whole:], n[whole:])], 0
+        if waiting:
+            yield from rows(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+
+    ending = F.expr(f"key div {SYMBOLS} % {SYMBOLS**3}")
+    return grams.repartition(ending).sortWithinPartitions(ending).mapInArrow(test, "depth tinyint, context long, n long, spread array<float>")
+
+
+class Tree:
+    """The held contexts of a task as a trie: gathers lead from symbols to the row of the longest one."""
+
+    def __init__(self, short: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]], rare: np.ndarray):
+        """short: `build_tree`'s rows; held: sorted contexts and log10 rows of each depth from four on; rare: endings of four symbols under which contexts are retained that are not held."""
+        self.rows = np.concatenate([np.log10(short), *(rows for _, rows in held)]).astype(np.float32).reshape(-1)
+        self.steps = []  # by depth: (next place by place and symbol, row of the place)
+        S, first = SYMBOLS, len(short)
+        before = np.arange(S**3)
+        for depth, (keys, rows) in enumerate(held, 4):
+            deeper = [k % S**depth for k, _ in held[depth - 3 :]]
+            places = np.unique(np.concatenate([keys, *deeper]))  # held ones and what leads to held ones
+            step = np.zeros(len(before) * S + S, np.int32)
+            step[np.searchsorted(before, places % S ** (depth - 1)) * S + places // S ** (depth - 1) + (S if depth > 4 else 0)] = np.arange(1, len(places) + 1)
+            own = np.zeros(len(places) + 1, np.int32)
+            own[1 + np.searchsorted(places, keys)] = first + np.arange(len(keys))
+            self.steps.append((step, own))
+            before, first = places, first + len(keys)
+        self.rare = np.zeros(S**4, bool)
+        self.rare[rare] = True
+        self.any_rare = bool(len(rare))
+
+    def score(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of every symbol from place DEPTH on; places among them under which a rarer context may be retained."""
+        n = len(s) - DEPTH
+        ending = code_at(s, 3, 1)
+        row, place = ending.copy(), ending
+        for depth, (step, own) in enumerate(self.steps, 4):
+            # place 0 is none; at depth four every ending of three symbols is a place
+            place = step[place * SYMBOLS + s[DEPTH - depth : DEPTH - depth + n]].astype(np.int64)
+            deeper = own[place]
+            np.copyto(row, deeper, where=deeper > 0)
+        row *= SYMBOLS
+        row += s[DEPTH:]
+        open_ = np.flatnonzero(self.rare[code_at(s, 4, 1)]) if self.any_rare else np.zeros(0, np.int64)
+        return self.rows[row], open_
 
 
 def size_class(n):
@@ -177,7 +302,7 @@ def hot_cut(words: DataFrame, hot: int) -> int:
     return cut
 
 
-def score_documents(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def score_documents(docs: DataFrame, hot: int = HOT, contexts: int = CONTEXTS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -194,18 +319,32 @@ def score_documents(docs: DataFrame, hot: int = HOT) -> DataFrame:
     total, distinct = (facts["n"] or 0) + ends, facts["v"] + (1 if ends else 0)
     grams, single = np.zeros(SYMBOLS**4, np.int64), np.zeros(256, np.int64)
     # bounded by SYMBOLS^4 and 256 rows
-    for kind, table in ((_GRAM, grams), (_BYTE, single)):
-        got = counts.filter(F.col("kind") == kind).select("key", "n").toArrow()
+    deep = counts.filter(F.col("kind") == _GRAM).select("key", "n")
+    for table, rows in ((grams, deep.groupBy((F.col("key") % SYMBOLS**4).alias("key")).agg(F.sum("n").alias("n"))), (single, counts.filter(F.col("kind") == _BYTE).select("key", "n"))):
+        got = rows.toArrow()
         table[got["key"].to_numpy()] = got["n"].to_numpy()
-    table, share, _ = build_tree(grams, single)
+    short, share, _ = build_tree(grams, single)
+    sent = spark.sparkContext.broadcast(short)
+    tree = stage(retained(deep, sent), "suffix-contexts")
+    held_from = hot_cut(tree, contexts)
+    held = []
+    for depth in range(4, DEPTH + 1):  # at most `contexts` rows in all
+        got = tree.filter((F.col("depth") == depth) & (size_class(F.col("n")) >= held_from)).select("context", "spread").toArrow().combine_chunks()
+        keys = got["context"].to_numpy()
+        spread = got["spread"].combine_chunks().flatten().to_numpy().reshape(-1, SYMBOLS) if len(keys) else np.zeros((0, SYMBOLS), np.float32)
+        order = np.argsort(keys, kind="stable")
+        held.append((keys[order], spread[order]))
+    cold = tree.filter(size_class(F.col("n")) < held_from).select("depth", "context", "spread")
+    rare_endings = cold.select((F.col("context") % SYMBOLS**4).alias("e")).distinct().toArrow()["e"].to_numpy()  # at most SYMBOLS^4
     often = words.filter(size_class(F.col("n")) >= hot_cut(words, hot)).select("key", "n").toArrow()  # at most `hot` rows
     order = np.argsort(often["key"].to_numpy(), kind="stable")
-    model = spark.sparkContext.broadcast({"table": table, "share": share, "keys": often["key"].to_numpy()[order], "n": often["n"].to_numpy()[order]})
+    model = spark.sparkContext.broadcast({"short": short, "held": held, "endings": rare_endings, "share": share, "keys": often["key"].to_numpy()[order], "n": often["n"].to_numpy()[order]})
     bottom = np.log10(total + ALPHA * (distinct + 1))
     end_score = float(np.log10(ends + ALPHA) - bottom)
 
     def score(batches):
         m = model.value
+        tree = Tree(m["short"], m["held"], m["endings"])
         keys, n = m["keys"], m["n"]
         logs = np.log10(n + ALPHA)
         seq, part = 0, TaskContext.get().partitionId()
@@ -213,9 +352,14 @@ def score_documents(docs: DataFrame, hot: int = HOT) -> DataFrame:
             ids, values = batch.column(0).to_pylist(), [raw(t) for t in batch.column(1).to_pylist()]
             for a, b in slices(values):
                 part_texts = values[a:b]
-                codes, starts, _ = grams_of(part_texts)
-                sums = np.add.reduceat(m["table"][codes].astype(np.float64), starts)
-                out: list[list] = [[] for _ in range(7)]
+                s, starts, predicted = symbols_of(part_texts)
+                p, open_at = tree.score(s)
+                p = np.where(predicted[DEPTH:], p, 0)
+                sums = np.add.reduceat(p, starts - DEPTH, dtype=np.float64)
+                open_at = open_at[predicted[DEPTH:][open_at]]
+                deep_codes = code_at(s, DEPTH, 0)[open_at] if len(open_at) else open_at
+                bounds = np.searchsorted(open_at, np.append(starts - DEPTH, len(p)))
+                out: list[list] = [[] for _ in range(8)]
                 for i, text in enumerate(part_texts):
                     h = word_hashes(text)
                     inside = float(m["share"] @ np.bincount(np.frombuffer(text, np.uint8), minlength=256))
@@ -223,15 +367,19 @@ def score_documents(docs: DataFrame, hot: int = HOT) -> DataFrame:
                     hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                     rare, times = np.unique(h[~hit], return_counts=True)
                     base = float(logs[at[hit]].sum()) if hit.any() else 0.0
-                    for column, x in zip(out, ((part << 40) + seq, ids[a + i], len(h) + 1, int(hit.sum()), base, float(sums[i]) + inside, list(zip(rare.tolist(), times.tolist(), strict=True))), strict=True):
+                    lo, hi = bounds[i], bounds[i + 1]
+                    names, where, often_ = np.unique(deep_codes[lo:hi], return_index=True, return_counts=True)
+                    under = list(zip(names.tolist(), often_.tolist(), p[open_at[lo:hi]][where].tolist(), strict=True))
+                    for column, x in zip(out, ((part << 40) + seq, ids[a + i], len(h) + 1, int(hit.sum()), base, float(sums[i]) + inside, list(zip(rare.tolist(), times.tolist(), strict=True)), under), strict=True):
                         column.append(x)
                     seq += 1
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 rare = pa.array([[{"key": k, "times": t} for k, t in r] for r in out[6]], pa.list_(pa.struct([("key", pa.int64()), ("times", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds, strict=False)), rare], names=["row_no", "doc_id", "n_tokens", "n_hot", "hot_sum", "score", "rare"])
+                deeper = pa.array([[{"gram": g, "times": t, "was": w} for g, t, w in r] for r in out[7]], pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64()), ("was", pa.float64())])))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds, strict=False)), rare, deeper], names=["row_no", "doc_id", "n_tokens", "n_hot", "hot_sum", "score", "rare", "deeper"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = stage(rows.mapInArrow(score, "row_no long, doc_id long, n_tokens long, n_hot long, hot_sum double, score double, rare array<struct<key:long,times:long>>"), "suffix-scored")
+    scored = stage(rows.mapInArrow(score, "row_no long, doc_id long, n_tokens long, n_hot long, hot_sum double, score double, rare array<struct<key:long,times:long>>, deeper array<struct<gram:long,times:long,was:double>>"), "suffix-scored")
     # words beyond the hot ones: exact counts by a shuffle join, summed back per row
     rare = scored.select("row_no", F.explode("rare").alias("r")).select("row_no", "r.key", "r.times")
     if (facts["v"] or 0) > hot:
@@ -240,13 +388,21 @@ def score_documents(docs: DataFrame, hot: int = HOT) -> DataFrame:
         joined = rare.withColumn("n", F.lit(None).cast("long"))
     seen = F.coalesce("n", F.lit(0))
     rest = stage(joined.groupBy("row_no").agg(F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("n_rare"), F.sum(F.col("times") * F.log10(seen + F.lit(ALPHA))).alias("rare_sum")), "suffix-rare")
+    # contexts that the tasks do not hold: the deepest one of each position, by a shuffle join
+    if len(rare_endings):
+        open_rows = scored.select("row_no", F.explode("deeper").alias("r")).select("row_no", "r.*")
+        every = F.array(*(F.struct(F.lit(d).cast("tinyint").alias("depth"), F.expr(f"gram div {SYMBOLS} % {SYMBOLS**d}L").alias("context")) for d in range(4, DEPTH + 1)))
+        met = open_rows.withColumn("c", F.explode(every)).select("row_no", "gram", "times", "was", "c.*").join(cold, ["depth", "context"])
+        best = met.groupBy("row_no", "gram", "times", "was").agg(F.max_by(F.expr(f"element_at(spread, cast(gram % {SYMBOLS} as int) + 1)"), "depth").alias("now"))
+        change = best.groupBy("row_no").agg(F.sum(F.col("times") * (F.col("now") - F.col("was"))).alias("change"))
+        scored = scored.join(stage(change, "suffix-deeper"), "row_no", "left").withColumn("score", F.col("score") + F.coalesce("change", F.lit(0.0))).drop("change")
     end_known = 1 if ends else 0
 
     def last(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([is_held_out(d) for d in batch.column(0).to_pylist()], pa.bool_()), *batch.columns[1:]], names=["doc_id", "held_out", *batch.schema.names[1:]])
 
-    out = scored.drop("rare").join(rest, "row_no", "left").select(
+    out = scored.drop("rare", "deeper").join(rest, "row_no", "left").select(
         "doc_id", "n_tokens", (F.col("n_hot") + F.coalesce("n_rare", F.lit(0)) + end_known).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("hot_sum") + F.coalesce("rare_sum", F.lit(0.0)) - (F.col("n_tokens") - 1) * float(bottom) + end_score).alias("base_score"), "score")
     return out.mapInArrow(last, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

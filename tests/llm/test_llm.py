@@ -631,17 +631,26 @@ def test_suffix_tree_scores(docs, empty, hot):
     assert suffix_tree.score_documents(empty).count() == 0
 
 
-def test_suffix_tree_scores_against_a_plain_tree(spark):
+def song(n: int, rng) -> str:
+    """Words of which some only follow certain others, so that long contexts tell more than short ones."""
+    words = ["over"]
+    for _ in range(n):
+        words.append(rng.choice({"river": ["runs"], "silver": ["bells"], "over": ["river", "silver", "clover"]}.get(words[-1], ["river", "silver", "over", "clover", "delivers"])))
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("held_contexts", [200_000, 5, 0])
+def test_suffix_tree_scores_against_a_plain_tree(spark, held_contexts):
     """A tree of dictionaries, context by context, gives the same scores; a null id, repeated rows, and a table with nothing to learn from."""
-    rng, classes, S = random.Random(41), suffix_tree.CLASS, suffix_tree.SYMBOLS
-    rows = [(i, prose(rng.randint(0, 60), rng) + rng.choice(["", ".", " É!", "\n12"])) for i in range(60)] + [(5, "twice said"), (5, "twice said"), (None, "left out")]
+    rng, classes, S, deepest = random.Random(41), suffix_tree.CLASS, suffix_tree.SYMBOLS, suffix_tree.DEPTH
+    rows = [(i, song(rng.randint(0, 200), rng) + rng.choice(["", ".", " É!", "\n12"])) for i in range(60)] + [(5, "twice said"), (5, "twice said"), (None, "left out")]
     counts, single = {}, collections.Counter()
     for d, t in rows:
         if not suffix_tree.is_held_out(d):
             single.update(t.encode())
-            s = [suffix_tree.END] * 3 + [int(classes[b]) for b in t.encode()] + [suffix_tree.END]
-            for k in range(3, len(s)):
-                for depth in range(4):
+            s = [suffix_tree.END] * deepest + [int(classes[b]) for b in t.encode()] + [suffix_tree.END]
+            for k in range(deepest, len(s)):
+                for depth in range(deepest + 1):
                     counts.setdefault(tuple(s[k - depth : k]), collections.Counter())[s[k]] += 1
     known: dict = {}
 
@@ -662,11 +671,12 @@ def test_suffix_tree_scores_against_a_plain_tree(spark):
         in_class[int(classes[b])] += single[b] + suffix_tree.ALPHA
     want = []
     for d, t in rows:
-        s = [suffix_tree.END] * 3 + [int(classes[b]) for b in t.encode()] + [suffix_tree.END]
-        score = sum(math.log10(spread(tuple(s[k - 3 : k]))[s[k]]) for k in range(3, len(s))) + sum(math.log10((single[b] + suffix_tree.ALPHA) / in_class[int(classes[b])]) for b in t.encode())
+        s = [suffix_tree.END] * deepest + [int(classes[b]) for b in t.encode()] + [suffix_tree.END]
+        score = sum(math.log10(spread(tuple(s[k - deepest : k]))[s[k]]) for k in range(deepest, len(s))) + sum(math.log10((single[b] + suffix_tree.ALPHA) / in_class[int(classes[b])]) for b in t.encode())
         want.append((-1 if d is None else d, score))
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in suffix_tree.score_documents(df).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in suffix_tree.score_documents(df, contexts=held_contexts).collect())
+    assert sum(len(c) > 3 and known[c] is not known[c[1:]] for c in known) >= 10
     assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-4, abs_tol=1e-3) for a, b in zip(got, sorted(want), strict=True))
     held = [r for r in rows if suffix_tree.is_held_out(r[0])]
     alone = suffix_tree.score_documents(spark.createDataFrame(held, "doc_id long, text string")).collect()
@@ -674,15 +684,17 @@ def test_suffix_tree_scores_against_a_plain_tree(spark):
 
 
 def test_suffix_tree_is_a_distribution():
-    grams, single = np.zeros(suffix_tree.SYMBOLS**4, np.int64), np.zeros(256, np.int64)
-    texts = [prose(50).encode() for _ in range(50)] + [b""]
-    codes, starts, sizes = suffix_tree.grams_of(texts)
-    assert len(codes) == sizes.sum() and (np.diff(starts) == sizes[:-1]).all()
-    np.add.at(grams, codes, 1)
+    S, grams, single = suffix_tree.SYMBOLS, np.zeros(suffix_tree.SYMBOLS**4, np.int64), np.zeros(256, np.int64)
+    texts = [song(150, random.Random(i)).encode() for i in range(50)] + [b""]
+    codes = suffix_tree.grams_of(texts)
+    assert len(codes) == sum(len(t) + 1 for t in texts)
+    np.add.at(grams, codes % S**4, 1)
     single += np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
     table, share, kept = suffix_tree.build_tree(grams, single)
     assert kept > 5
-    assert np.allclose((10.0 ** table.reshape(-1, suffix_tree.SYMBOLS)).sum(axis=1), 1, atol=1e-3)
+    assert np.allclose(table.sum(axis=1), 1, atol=1e-3)
     assert np.allclose(np.bincount(suffix_tree.CLASS, weights=10.0**share), 1)
-    each = [suffix_tree.grams_of([t])[0] for t in texts]
+    deep = suffix_tree.deep_contexts(*np.unique(codes, return_counts=True), table)
+    assert [d for d, *_ in deep] == list(range(4, suffix_tree.DEPTH + 1)) and all(len(names) and np.allclose(rows.sum(axis=1), 1, atol=1e-3) for _, names, _, rows in deep)
+    each = [suffix_tree.grams_of([t]) for t in texts]
     assert (np.concatenate(each) == codes).all()
