@@ -38,7 +38,7 @@ LEAST_DOCS, TOP = 30, 50
 #: Terms that a task holds before it lets them go; bytes of text that are cut into terms at once.
 TERMS, PIECE = 400_000, 1 << 20
 #: Sources of a block and kept terms of a slice.
-BLOCK, SLICE = 64, 4096
+BLOCK, SLICE = 64, 1024
 
 #: Letters in small form, what is no term character as a space; all bytes of other scripts stay.
 _CUT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 97 <= b <= 122 else 32 for b in range(256))
