@@ -115,6 +115,33 @@ def q_coalesce_titles(spark, sf_dir):
     return I.coalesce_titles(clips(spark, sf_dir).select("run_id", "start_n", "end_n", "title"), 6 * HOUR)
 
 
+def one_run(df: DataFrame) -> DataFrame:
+    """All runs as one very long one."""
+    return df.withColumn("run_id", F.lit(0).cast("long"))
+
+
+def all_slots(spark, sf_dir) -> DataFrame:
+    """The slots of all users one after the other, as one recording."""
+    span = SLOTS * STEP
+    return one_run(slots(spark, sf_dir).select((F.col("run_id") * span + F.col("start_n")).alias("start_n"), (F.col("run_id") * span + F.col("end_n")).alias("end_n"), "is_hit"))
+
+
+def q_hit_runs_long(spark, sf_dir):
+    return S.hit_runs(all_slots(spark, sf_dir), STEP, chunk_n=50 * SLOTS * STEP)
+
+
+def q_verdict_spans_long(spark, sf_dir):
+    return S.verdict_spans(all_slots(spark, sf_dir), chunk_n=50 * SLOTS * STEP)
+
+
+def q_interval_union_long(spark, sf_dir):
+    return I.interval_union(one_run(clips(spark, sf_dir).select("start_n", (F.col("start_n") + HOUR // 60).alias("end_n"))), chunk_n=24 * HOUR)
+
+
+def q_coalesce_titles_long(spark, sf_dir):
+    return I.coalesce_titles(one_run(clips(spark, sf_dir).select("start_n", (F.col("start_n") + HOUR // 60).alias("end_n"), "title")), HOUR // 120, chunk_n=24 * HOUR)
+
+
 def q_stab_lookup(spark, sf_dir):
     c = clips(spark, sf_dir)
     points = c.select("run_id", F.col("event_id").alias("point_id"), (F.col("start_n") + HOUR // 2).alias("t"))
@@ -148,6 +175,7 @@ flag AS (SELECT *, CASE WHEN start_n - lag(end_n) OVER w <= {STEP} THEN 0 ELSE 1
 numb AS (SELECT *, sum(o) OVER (PARTITION BY run_id ORDER BY start_n) - 1 AS run_idx FROM flag),
 runs AS (SELECT run_id, CAST(run_idx AS BIGINT) AS run_idx, min(start_n) AS start_n, max(end_n) AS end_n, count(*) AS n_slots FROM numb GROUP BY ALL)
 """
+_ALL = f"every AS (SELECT 0::BIGINT AS run_id, run_id * {SLOTS * STEP} + start_n AS start_n, run_id * {SLOTS * STEP} + end_n AS end_n, is_hit FROM slots)"
 _CLIPS = f"""
 c AS (SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS clip_idx, epoch_us(ts) AS start_n, epoch_us(ts) + {HOUR} AS end_n,
              CASE WHEN event_type NOT IN ('error', 'signup') THEN event_type END AS title, event_type = 'signup' AS skipped,
@@ -176,6 +204,10 @@ SQL = {
     "verdict_spans": f"""WITH {_GRID}, f AS (SELECT *, CASE WHEN is_hit = lag(is_hit) OVER (PARTITION BY run_id ORDER BY start_n) THEN 0 ELSE 1 END AS o FROM slots),
         n AS (SELECT *, CAST(sum(o) OVER (PARTITION BY run_id ORDER BY start_n) - 1 AS BIGINT) AS span_idx FROM f)
         SELECT run_id, span_idx, is_hit, min(start_n) AS start_n, max(end_n) AS end_n, count(*) AS n_slots FROM n GROUP BY ALL""",
+    "hit_runs_long": f"""WITH {_GRID}, {_ALL}, {_RUNS.replace('FROM slots', 'FROM every')} SELECT * FROM runs""",
+    "verdict_spans_long": f"""WITH {_GRID}, {_ALL}, f AS (SELECT *, CASE WHEN is_hit = lag(is_hit) OVER (ORDER BY start_n) THEN 0 ELSE 1 END AS o FROM every),
+        n AS (SELECT *, CAST(sum(o) OVER (ORDER BY start_n) - 1 AS BIGINT) AS span_idx FROM f)
+        SELECT run_id, span_idx, is_hit, min(start_n) AS start_n, max(end_n) AS end_n, count(*) AS n_slots FROM n GROUP BY ALL""",
     "tail_windows": """WITH l AS (SELECT o_orderkey AS run_id, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders), s AS (
         SELECT run_id, k * 5000 AS start_n FROM l JOIN range(200) t(k) ON k * 5000 <= n - 10230
         UNION ALL SELECT run_id, n - 10230 FROM l WHERE n >= 10230 AND (n - 10230) % 5000 <> 0)
@@ -204,6 +236,14 @@ SQL = {
         d AS (SELECT *, CASE WHEN start_n - max(end_n) OVER (PARTITION BY run_id, t ORDER BY start_n, end_n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {6 * HOUR} THEN 0 ELSE 1 END AS p FROM b),
         e AS (SELECT *, sum(p) OVER (PARTITION BY run_id, t ORDER BY start_n, end_n) AS i FROM d)
         SELECT run_id, title, min(start_n) AS start_n, max(end_n) AS end_n, count(*) AS n FROM e GROUP BY run_id, t, i, title""",
+    "interval_union_long": f"""WITH {_CLIPS}, d AS (SELECT start_n, start_n + {HOUR // 60} AS end_n FROM c), f AS (SELECT *, CASE WHEN start_n <= max(end_n) OVER (ORDER BY start_n, end_n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM d),
+        i AS (SELECT *, sum(o) OVER (ORDER BY start_n, end_n ROWS UNBOUNDED PRECEDING) AS g FROM f)
+        SELECT 0::BIGINT AS run_id, min(start_n) AS start_n, max(end_n) AS end_n, count(*) AS n FROM i GROUP BY g""",
+    "coalesce_titles_long": f"""WITH {_CLIPS}, z AS (SELECT start_n, start_n + {HOUR // 60} AS end_n, title, row_number() OVER (ORDER BY start_n, title NULLS FIRST) AS k FROM c),
+        a AS (SELECT *, CASE WHEN k > 1 AND title IS NOT DISTINCT FROM lag(title) OVER (ORDER BY k) THEN 0 ELSE 1 END AS o FROM z), b AS (SELECT *, sum(o) OVER (ORDER BY k) AS t FROM a),
+        d AS (SELECT *, CASE WHEN start_n - max(end_n) OVER (PARTITION BY t ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {HOUR // 120} THEN 0 ELSE 1 END AS p FROM b),
+        e AS (SELECT *, sum(p) OVER (PARTITION BY t ORDER BY k) AS i FROM d)
+        SELECT 0::BIGINT AS run_id, title, min(start_n) AS start_n, max(end_n) AS end_n, count(*) AS n FROM e GROUP BY t, i, title""",
     "stab_lookup": f"""WITH {_CLIPS}, j AS (SELECT a.run_id, a.event_id AS point_id, a.start_n + {HOUR // 2} AS t, b.event_id AS held_by, b.start_n, b.end_n, CASE WHEN b.title IS NOT NULL THEN 0 ELSE 1 END AS priority
         FROM c a LEFT JOIN c b ON a.run_id = b.run_id AND a.start_n + {HOUR // 2} >= b.start_n AND a.start_n + {HOUR // 2} < b.end_n),
         k AS (SELECT *, row_number() OVER (PARTITION BY run_id, point_id ORDER BY priority, start_n, end_n) AS rk FROM j)

@@ -1,7 +1,9 @@
 """Golden values and naive sequential models of the operators."""
 
+import collections
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Row
@@ -173,3 +175,68 @@ def test_scorer(spark):
     df = spark.createDataFrame([("r", 0, 10)], "run_id string, start_n long, end_n long")
     r = score_with(df, lambda: lambda b: pd.DataFrame({"score": b["end_n"] * 0.1, "probs": [[0.5, 0.5]] * len(b)})).first()
     assert r.score == 1.0 and r.probs == [0.5, 0.5]
+
+
+@pytest.fixture(scope="module")
+def stretches(spark):
+    """Random intervals of one long run and of short ones, some reaching over many others, with titles and verdicts."""
+    rng, data = random.Random(8), []
+    for run, n in (("long", 3000), ("a", 1), ("b", 40)):
+        t = 0
+        for i in range(n):
+            t += rng.choice([1, 1, 1, 2, 9])
+            data.append((run, t, t + (rng.randint(100, 400) if rng.random() < 0.01 else rng.randint(1, 8)), rng.choice(["x", "x", "x", "x", "y", None]), rng.random() < 0.8))
+    return spark.createDataFrame(data, "run_id string, start_n long, end_n long, title string, is_hit boolean").repartition(6).cache()
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 50, 100_000])
+def test_chunks_equal_one_window(stretches, chunk):
+    same = lambda a, b: (a.exceptAll(b.select(*a.columns)).count(), a.count()) == (0, b.count())
+    assert same(S.hit_runs(stretches, 2), S.hit_runs(stretches, 2, chunk))
+    assert same(S.verdict_spans(stretches), S.verdict_spans(stretches, chunk))
+    assert same(I.interval_union(stretches), I.interval_union(stretches, chunk))
+    assert same(I.coalesce_titles(stretches, 1), I.coalesce_titles(stretches, 1, chunk))
+
+
+def test_one_long_run_uses_all_tasks(spark):
+    """Ten million slots of one run: no task of the two-phase form sorts more than a few chunks."""
+    slots = spark.range(10_000_000).select(F.lit("r").alias("run_id"), F.col("id").alias("start_n"), (F.col("id") + 1).alias("end_n"), (F.pmod(F.hash("id"), F.lit(1000)) > 0).alias("is_hit"))
+    runs = S.hit_runs(slots, 0, 100_000)
+    want = slots.filter("not is_hit").count()
+    got = runs.agg(F.count(F.lit(1)).alias("n"), F.sum("n_slots").alias("s"), F.sum(F.col("end_n") - F.col("start_n")).alias("len")).first()
+    assert abs(got.n - want) <= want * 0.01 and got.s == got.len == 10_000_000 - want
+    dealt = slots.filter("is_hit").groupBy("run_id", S.chunk_of("start_n", 100_000)).count().repartition(8, "run_id", "floor((start_n / 100000))")
+    assert dealt.select(F.spark_partition_id().alias("p")).distinct().count() == 8
+
+
+def test_dyadic_postings(spark):
+    rng = random.Random(4)
+    spans = [("r", i, a, a + rng.choice([1, 5, 60, 5_000, 10**7]), rng.randint(0, 2)) for i, a in enumerate(rng.randrange(-10**6, 10**6) for _ in range(300))] + [("r", 900, 5, 5, 0)]
+    points = [("r" if i % 9 else "s", i, rng.randrange(-10**6, 10**6)) for i in range(500)]
+    s = spark.createDataFrame(spans, "run_id string, held_by long, start_n long, end_n long, priority long")
+    p = spark.createDataFrame(points, "run_id string, point_id long, t long")
+    most = I.postings(s, 10).groupBy("held_by", "start_n", "end_n").count().collect()
+    assert all(r["count"] <= 2 * np.log2((r.end_n - r.start_n) / 10 + 2) + 1 for r in most) and len(most) == 300
+    got = {r.point_id: r.held_by for r in I.stab_lookup(p, s, 10).collect()}
+    best = lambda run, t: min(((x[4], x[2], x[3], x[1]) for x in spans if x[0] == run and x[2] <= t < x[3]), default=(None,) * 4)
+    ties = collections.Counter((x[4], x[2], x[3]) for x in spans)
+    assert set(got) == {i for _, i, _ in points}
+    assert all(got[i] == best(run, t)[3] or ties[best(run, t)[:3]] > 1 for run, i, t in points) and sum(v is not None for v in got.values()) > 100
+    assert I.stab_lookup(p, s.limit(0), 10).filter("held_by is not null").count() == 0
+
+
+@pytest.mark.parametrize("fine", [4, 64])
+def test_peaks_of_stretches(spark, fine):
+    """Blocks smaller and larger than a stretch, and a remainder that is dropped."""
+    rng, data = random.Random(6), []
+    for run, n in (("a", 1), ("b", 37), ("c", 1000), ("d", 5003)):
+        data += [(run, i, rng.uniform(-1, 1)) for i in range(n)]
+    want = {}
+    for run in "abcd":
+        x = [abs(v) for r, _, v in data if r == run]
+        points = min(60_000, max(1, round(len(x) / 100 * 5)), len(x))
+        block = max(1, len(x) // points)
+        tops = [max(x[i * block : (i + 1) * block]) for i in range(len(x) // block)]
+        want |= {(run, i): round(t / max(tops), 3) for i, t in enumerate(tops)}
+    got = {(r.run_id, r.point_idx): r.peak for r in S.peak_envelope(spark.createDataFrame(data, "run_id string, idx long, x double").repartition(5), 100, fine=fine).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 0.0011 for k in want)
