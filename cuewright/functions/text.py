@@ -49,9 +49,10 @@ def track_key(title: Column, artist: Column) -> Column:
 
 def norm_title(c: Column) -> Column:
     """Comparison form of a title: no bracketed parts, guest credits or remaster notes; ASCII letters and digits only."""
-    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "\\([^)]*\\)|\\[[^\\]]*\\]", " ")
-    t = F.regexp_replace(t, "(?s)(^|[^a-z0-9_])feat(?![a-z0-9_]).*$", " ")
-    t = F.regexp_replace(t, "(?s)-\\s*remaster.*$", " ")
+    t = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "\\([^)]*\\)", " "), "\\[[^\\]]*\\]", " ")
+    # any word that begins with feat, as the original has it ("Feather" too); neither cut goes beyond the end of a line
+    t = F.regexp_replace(t, "(?<![\\p{L}\\p{N}_])feat[^\\n]*(?=\\n?\\z)", " ")
+    t = F.regexp_replace(t, "(?U)-\\s*remaster[^\\n]*(?=\\n?\\z)", " ")
     return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 

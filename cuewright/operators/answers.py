@@ -85,6 +85,40 @@ def breaker(answers: DataFrame, order_cols: list[str]) -> DataFrame:
     return answers.withColumn("skipped", F.col("skipped") | F.max("rate_limited").over(before))
 
 
+#: Outcomes of one source for a clip, the gravest first; those that answer are the last two.
+OUTCOMES = ("auth_error", "match", "no_match", "rate_limited", "error")
+
+
+def clip_outcomes(answers: DataFrame) -> DataFrame:
+    """run_id, clip_idx, outcome, asked, answered: the outcome of a clip from those of its sources (run_id, clip_idx, outcome).
+
+    A refused key is that of the whole clip, whatever the others say; else the clip is answered if any source answered,
+    with a match if any has one; nobody answering, it is rate-limited if any was, else an error. That is the first of
+    OUTCOMES that occurs, so a minimum by place folds it in the map-side part."""
+    place = F.array_position(F.array(*map(F.lit, OUTCOMES)), F.col("outcome"))
+    folded = answers.groupBy("run_id", "clip_idx").agg(F.min(F.when(place > 0, place)).alias("_p"), F.count(F.lit(1)).alias("asked"), F.count_if(F.col("outcome").isin("match", "no_match")).alias("answered"))
+    return folded.select("run_id", "clip_idx", F.get(F.array(*map(F.lit, OUTCOMES)), F.coalesce("_p", F.lit(len(OUTCOMES))).cast("int") - 1).alias("outcome"), "asked", "answered")
+
+
+def run_outcomes(clips: DataFrame) -> DataFrame:
+    """run_id, outcome, answered, pending, limited_at, failed_at: how a run ends, from its clips' outcomes in order.
+
+    Clips are asked in order of clip_idx. The first rate-limited one ends the asking: it and all after it are pending.
+    A refused key before that fails the run, which then has no results; an error leaves only its own clip pending.
+    outcome: failed, limited, partial (errors) or complete."""
+    at = lambda what: F.min(F.when(F.col("outcome") == what, F.col("clip_idx")))
+    # two folds that need no order in a task: the first limit and refusal, then what lies before the limit
+    stops = clips.groupBy("run_id").agg(at("rate_limited").alias("limited_at"), at("auth_error").alias("failed_at"))
+    fails = F.col("failed_at").isNotNull() & F.coalesce(F.col("failed_at") < F.col("limited_at"), F.lit(True))
+    stops = stops.withColumn("failed", fails)
+    asked = F.coalesce(F.col("clip_idx") < F.col("limited_at"), F.lit(True))
+    counts = clips.join(stops, "run_id").groupBy("run_id", "failed", "limited_at", "failed_at").agg(
+        F.count_if(asked & F.col("outcome").isin("match", "no_match")).alias("answered"), F.count_if(~asked | F.col("outcome").isin("rate_limited", "error")).alias("pending"))
+    outcome = F.when(F.col("failed"), "failed").when(F.col("limited_at").isNotNull(), "limited").when(F.col("pending") > 0, "partial").otherwise("complete")
+    none = lambda c: F.when(F.col("failed"), F.lit(0)).otherwise(F.col(c)).cast("long").alias(c)
+    return counts.select("run_id", outcome.alias("outcome"), none("answered"), none("pending"), F.when(~F.col("failed"), F.col("limited_at")).alias("limited_at"), F.when(F.col("failed"), F.col("failed_at")).alias("failed_at"))
+
+
 def progress_counts(answers: DataFrame) -> DataFrame:
     """answered, total and found per run."""
     return answers.groupBy("run_id").agg(F.count_if(~F.col("skipped")).alias("answered"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("title").isNotNull()).alias("found"))

@@ -54,13 +54,14 @@ def author_chain(cues: DataFrame, recordings: DataFrame, recording_works: DataFr
 def work_by_title(cues: DataFrame, works: DataFrame, authors: DataFrame, k: int = 4) -> DataFrame:
     """cue key, work_id, score: of the first k works of a title the one most of whose authors the artist names; at least one.
 
-    An author counts if the last token of the name, or any token of five letters or more, is among the artist's tokens."""
-    wanted = cues.filter("artist is not null").select("cue_id", norm_name(F.col("title")).alias("_t"), F.split(norm_name(F.col("artist")), " ").alias("_artist"))
+    An author counts if the last token of the name, or any token of five letters or more, is among the artist's tokens;
+    a name or an artist without a token in ASCII counts for nothing."""
+    tokens = lambda name: F.filter(F.split(norm_name(name), " "), lambda t: t != "")
+    wanted = cues.filter("artist is not null").select("cue_id", norm_name(F.col("title")).alias("_t"), tokens(F.col("artist")).alias("_artist"))
     listed = works.withColumn("_t", norm_name(F.col("title"))).withColumn("_r", F.row_number().over(Window.partitionBy("_t").orderBy("rank", "work_id"))).filter(F.col("_r") <= k).select("_t", "work_id", "_r")
-    tokens = lambda name: F.split(norm_name(name), " ")
     names = authors.select("work_id", F.transform("authors", lambda a: tokens(a["name"])).alias("_names"))
     met = wanted.join(listed, "_t").join(names, "work_id")
-    counts = lambda t: F.array_contains(F.col("_artist"), F.element_at(t, -1)) | F.exists(t, lambda w: (F.length(w) >= 5) & F.array_contains(F.col("_artist"), w))
+    counts = lambda t: F.array_contains(F.col("_artist"), F.try_element_at(t, F.lit(-1))) | F.exists(t, lambda w: (F.length(w) >= 5) & F.array_contains(F.col("_artist"), w))
     scored = met.withColumn("score", F.size(F.filter("_names", counts))).filter("score >= 1")
     return first_by(scored, ["cue_id"], [F.desc("score"), "_r"]).select("cue_id", "work_id", "score")
 
@@ -79,14 +80,20 @@ def original_year(cues: DataFrame, dates: DataFrame, max_names: int = 4) -> Data
     return asked.join(edges, ["title", "person"]).groupBy("cue_id").agg(F.min("year").alias("original_year"))
 
 
+def person_edges(composers: DataFrame, performers: DataFrame) -> DataFrame:
+    """title, person, published, inception: the works' dates by composer and by performer, each edge once."""
+    return composers.unionByName(performers).select("title", "person", "published", "inception").distinct()
+
+
 def enrich_once(cues: DataFrame, lookup: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Look every track up once, by its first cue, and give all its cues (with ISRC) the result.
+    """Look every track up once, by its first cue, and give all its cues (with ISRC) the result; those without a track_key are one track.
 
     cues: run_id, seq, track_key, isrc. lookup takes the first cues and returns run_id, track_key and its fields."""
-    asked = cues.filter(F.nullif(F.col("isrc"), F.lit("")).isNotNull() & F.col("track_key").isNotNull())
+    asked = cues.filter(F.nullif(F.col("isrc"), F.lit("")).isNotNull())
     found = lookup(first_by(asked, ["run_id", "track_key"], ["seq"]))
     fields = [c for c in found.columns if c not in ("run_id", "track_key")]
-    joined = cues.join(found, ["run_id", "track_key"], "left")
+    found = found.withColumnsRenamed({"run_id": "_run", "track_key": "_key"})
+    joined = cues.join(found, (F.col("run_id") == F.col("_run")) & F.col("track_key").eqNullSafe(F.col("_key")), "left")
     return joined.select(*cues.columns, *(F.when(F.nullif(F.col("isrc"), F.lit("")).isNotNull(), F.col(f)).alias(f) for f in fields))
 
 

@@ -53,10 +53,26 @@ def named_songs(answers: DataFrame) -> DataFrame:
     """Every song a clip names: run_id, segment_id, clip_idx, pos, provider and song fields, score.
 
     Needs votes ARRAY<STRUCT<provider,title,artist,isrc,album,release_year,score,matched,candidates>>; a vote stands
-    for its candidates if it has any, else for itself."""
-    song = lambda v, c: F.struct(v["provider"].alias("provider"), *(c[f].alias(f) for f in ("title", "artist", "isrc", "album", "release_year", "score")))
-    each = F.transform(F.filter("votes", lambda v: v["matched"]), lambda v: F.when(F.size(v["candidates"]) > 0, F.transform(v["candidates"], lambda c: song(v, c))).otherwise(F.array(song(v, v))))
-    return answers.select("run_id", "segment_id", "clip_idx", F.posexplode(F.flatten(each)).alias("pos", "s")).select("run_id", "segment_id", "clip_idx", "pos", "s.*")
+    for its candidates if it has any, else for itself. With a column candidates (and provider and the song fields of
+    the clip's own answer) a vote of acrcloud without candidates stands for the clip's, and a clip without votes
+    names its candidates, else its own answer if that has a title."""
+    fields = ("title", "artist", "isrc", "album", "release_year", "score")
+    song = lambda provider, c: F.struct(provider.alias("provider"), *(c[f].alias(f) for f in fields))
+    listed = lambda provider, found: F.transform(found, lambda c: song(provider, c))
+    general = "candidates" in answers.columns
+
+    def of_vote(v):
+        some = F.when(F.size(v["candidates"]) > 0, listed(v["provider"], v["candidates"]))
+        if general:
+            some = some.when((v["provider"] == "acrcloud") & (F.size("candidates") > 0), listed(v["provider"], F.col("candidates")))
+        return some.otherwise(F.array(song(v["provider"], v)))
+
+    each = F.transform(F.filter("votes", lambda v: v["matched"]), of_vote)
+    if general:
+        own = F.when(F.nullif("title", F.lit("")).isNotNull(), F.array(F.struct("provider", *fields)))
+        alone = F.when(F.size("candidates") > 0, listed(F.col("provider"), F.col("candidates"))).otherwise(own)
+        each = F.when(F.size("votes") > 0, each).otherwise(F.array(alone))
+    return answers.select("run_id", "segment_id", "clip_idx", F.posexplode(F.flatten(F.array_compact(each))).alias("pos", "s")).select("run_id", "segment_id", "clip_idx", "pos", "s.*")
 
 
 def alternatives(songs: DataFrame) -> DataFrame:

@@ -13,19 +13,40 @@ KEY = ["run_id", "segment_id"]
 def apply_edits(saved: DataFrame, edited: DataFrame, fields: tuple[str, ...] = ("title", "artist", "album")) -> tuple[DataFrame, DataFrame]:
     """(cues, rejects). An edited list replaces a run's cues: unlisted ones go, analysis columns stay as saved.
 
-    A run with an unknown or repeated segment is rejected whole and keeps its saved cues."""
-    counted = edited.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), *(F.min(f).alias(f"_{f}") for f in fields))
+    A run with an unknown or repeated segment is rejected whole and keeps its saved cues; likewise one with fields
+    of the wrong type, if edited has `wrong` (typed_edits), their names."""
+    wrong = F.max("wrong") if "wrong" in edited.columns else F.lit(None).cast("string")
+    counted = edited.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), wrong.alias("_wrong"), *(F.min(f).alias(f"_{f}") for f in fields))
     checked = counted.join(saved.select(*KEY, F.lit(True).alias("_known")), KEY, "left")
-    reason = F.when(F.col("_known").isNull(), "unknown segment").when(F.col("_n") > 1, "repeated segment")
+    reason = F.when(F.col("_known").isNull(), "unknown segment").when(F.col("_n") > 1, "repeated segment").when(F.col("_wrong").isNotNull(), F.concat("_wrong", F.lit(" of the wrong type")))
     rejects = checked.withColumn("reason", reason).filter("reason is not null").select(*KEY, "reason")
     bad = rejects.select("run_id").distinct()
-    good = checked.join(bad, "run_id", "left_anti").drop("_n", "_known")
+    good = checked.join(bad, "run_id", "left_anti").drop("_n", "_known", "_wrong")
     touched = edited.select("run_id").distinct().join(bad, "run_id", "left_anti")
     kept = saved.join(touched, "run_id", "left_anti").withColumn("edited", F.lit(False))
     new = saved.join(good, KEY).withColumn("edited", F.lit(True)).withColumns({f: F.col(f"_{f}") for f in fields}).drop(*(f"_{f}" for f in fields))
     return kept.unionByName(new), rejects
 
 
+#: What a hand edit may change, and the kind that each must be.
+EDITED_TYPES = {"title": "STRING", "artist": "STRING", "album": "STRING", "enrichment": "OBJECT"}
+
+
+def typed_edits(edits: DataFrame, types: dict[str, str] = EDITED_TYPES) -> DataFrame:
+    """run_id, segment_id, a text for each field that is one, new_composer, and wrong: the fields of another type, or null.
+
+    edits: run_id, edit (VARIANT, or JSON text): a cue as it was typed, with its segment_id. A field that is absent or
+    null is right; what cannot be read is a cue of an unknown segment. Nothing is cast that could fail: the kind of a
+    field is that of the value in the document, so "5" is a text and 5 is none."""
+    doc = F.try_parse_json("edit") if dict(edits.dtypes)["edit"] == "string" else F.col("edit")
+    read = edits.select("run_id", doc.alias("_d"))
+    kind = lambda f: F.regexp_extract(F.schema_of_variant(F.try_variant_get("_d", f"$.{f}", "variant")), "^[A-Z]+", 0)
+    text = lambda f, path: F.when(kind(f) == ("STRING" if path == f else "OBJECT"), F.try_variant_get("_d", f"$.{path}", "string"))
+    bad = F.array_compact(F.array(*(F.when(F.coalesce(~kind(f).isin(k, "VOID"), F.lit(False)), F.lit(f)) for f, k in types.items())))
+    texts = [text(f, f).alias(f) for f, k in types.items() if k == "STRING"]
+    return read.select("run_id", text("segment_id", "segment_id").alias("segment_id"), *texts, text("enrichment", "enrichment.composer").alias("new_composer"), F.when(F.size(bad) > 0, F.array_join(bad, ", ")).alias("wrong"))
+
+
 def replace_composer(cues: DataFrame) -> DataFrame:
     """A hand-typed composer (column new_composer) replaces the composer among authors, without dates; the set becomes partial."""
     new = missing(F.trim("new_composer"))
@@ -59,10 +80,14 @@ def choose_song(cues: DataFrame, choices: DataFrame, fields: tuple[str, ...] = (
 def resume_merge(saved: DataFrame, changes: DataFrame, fields: tuple[str, ...] = ("title", "artist")) -> DataFrame:
     """Answers of a resume into the cues as they are now. changes: key, outcome (answered, gone or failed), fields.
 
-    Only cues that were asked again and are still pending change: answered ones take the answer, a cue whose audio
-    is gone is no longer pending, a failed one stays pending. Applying the same changes twice changes nothing more."""
+    Only cues that were asked again and are still pending change: one answered with a title takes the answer; one
+    answered without, or whose audio is gone, is no longer pending and keeps what it has, a title typed meanwhile
+    too; a failed one stays pending. What is no longer pending has no audio_file (if there is such a column).
+    Applying the same changes twice changes nothing more."""
     told = saved.join(changes.select(*KEY, "outcome", *(F.col(f).alias(f"_{f}") for f in fields)), KEY, "left")
-    answered = F.coalesce(F.col("pending") & (F.col("outcome") == "answered"), F.lit(False))
-    done = F.coalesce(F.col("outcome").isin("answered", "gone"), F.lit(False))
-    cols = {f: F.when(answered, F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}
-    return told.withColumns(cols).withColumn("pending", F.col("pending") & ~done).drop("outcome", *(f"_{f}" for f in fields))
+    done = F.coalesce(F.col("pending") & F.col("outcome").isin("answered", "gone"), F.lit(False))
+    named = done & F.coalesce((F.col("outcome") == "answered") & missing("_title").isNotNull(), F.lit(False))
+    cols = {f: F.when(named, F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}
+    if "audio_file" in saved.columns:
+        cols["audio_file"] = F.when(~done, F.col("audio_file"))
+    return told.withColumns(cols | {"pending": F.col("pending") & ~done}).drop("outcome", *(f"_{f}" for f in fields))

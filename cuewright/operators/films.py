@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +63,90 @@ def film_merge(hints: DataFrame, sources: list[DataFrame], fields: list[str], ke
     return out.select(*hints.columns, *merged, used.alias("sources"))
 
 
+FILM = ("title", "year", "director", "director_death_year", "imdb_id", "tmdb_id", "media_type", "music_composer")
+_FILM_KINDS = {"year": "int", "director_death_year": "int", "tmdb_id": "bigint"}
+
+
+def cascade(asked: DataFrame, key: str, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """What the steps find for the asked rows, with found_by: each step sees only what the steps before left open."""
+    found, rest = [], asked
+    for name, step in steps:
+        hit = step(rest).withColumn("found_by", F.lit(name))
+        found.append(hit)
+        rest = rest.join(hit.select(key), key, "left_anti")
+    return reduce(DataFrame.unionByName, found)
+
+
+def primary_film(hints: DataFrame, films: DataFrame) -> DataFrame:
+    """hint_id, the film's fields and found_by (id, imdb or title): the first source's film of each hint that has one.
+
+    hints: hint_id, tmdb_id, imdb_id, title, year, media_type. films: media_type, id, imdb_id, title, year, rank and the
+    other fields. A given id is a film's unless the media type says series; the IMDb id and then the title (with the
+    year, if given) are looked for among films before series, or in the given kind alone. A wrong id finds nothing, and
+    the next is tried."""
+    turn = F.when(F.col("media_type") == "movie", 0).otherwise(1)
+    held = films.select(F.col("media_type").alias("_kind"), F.col("id").alias("_id"), "imdb_id", F.col("title").alias("_title"), F.col("year").alias("_year"), turn.alias("_turn"), F.col("rank").alias("_rank"))
+    open_kind = F.col("media_type").isNull() | (F.col("media_type") == F.col("_kind"))
+
+    def first(hits: DataFrame) -> DataFrame:
+        return hits.groupBy("hint_id").agg(F.min(F.struct("_turn", "_rank", "_id", "_kind")).alias("_f")).select("hint_id", F.col("_f._kind").alias("_kind"), F.col("_f._id").alias("_id"))
+
+    def by_id(rest: DataFrame) -> DataFrame:
+        asked = rest.filter("tmdb_id is not null").select("hint_id", F.col("tmdb_id").alias("_id"), F.coalesce("media_type", F.lit("movie")).alias("_kind"))
+        return first(asked.join(held, ["_id", "_kind"]))
+
+    def by_imdb(rest: DataFrame) -> DataFrame:
+        return first(rest.filter("imdb_id is not null").select("hint_id", "imdb_id", "media_type").join(held, "imdb_id").filter(open_kind))
+
+    def by_title(rest: DataFrame) -> DataFrame:
+        asked = rest.filter("title is not null").select("hint_id", F.col("title").alias("_title"), "year", "media_type")
+        return first(asked.join(held, "_title").filter(open_kind & (F.col("year").isNull() | (F.col("year") == F.col("_year")))))
+
+    found = cascade(hints, "hint_id", [("id", by_id), ("imdb", by_imdb), ("title", by_title)])
+    full = films.select(F.col("media_type").alias("_kind"), F.col("id").alias("_id"), *(F.col("id" if f == "tmdb_id" else f).alias(f) for f in FILM))
+    return found.join(full, ["_kind", "_id"]).select("hint_id", *FILM, "found_by")
+
+
+def film_complete() -> Column:
+    """A series is complete with title and year; a film has its director and the director's death year besides."""
+    basic = F.col("title").isNotNull() & F.col("year").isNotNull()
+    return basic & (F.coalesce(F.col("media_type") == "tv", F.lit(False)) | (F.col("director").isNotNull() & F.col("director_death_year").isNotNull()))
+
+
+def film_resolve(hints: DataFrame, films: DataFrame, second: DataFrame, third: DataFrame) -> DataFrame:
+    """hint_id, the film's fields, sources, found_by: what is known of each hint's film, first non-null wins.
+
+    The first source's film (primary_film), then for films that are still incomplete the second source, by IMDb id
+    (the film's own, else the given one) or, without one, by title and year, then for those still incomplete the third,
+    by IMDb id. Given ids come last, since they can be wrong. sources names those that added something.
+    second, third: imdb_id, title, year, director, director_death_year (second: rank as well)."""
+    none = lambda f: F.lit(None).cast(_FILM_KINDS.get(f, "string"))
+    given = hints.select("hint_id", *(F.col(c).alias(f"_g_{c}") for c in ("tmdb_id", "imdb_id", "title", "year", "media_type")))
+    told = given.join(primary_film(hints, films), "hint_id", "left").withColumn("sources", F.when(F.col("found_by").isNotNull(), F.array(F.lit("first"))).otherwise(F.array().cast("array<string>")))
+
+    def filled(told: DataFrame, hits: DataFrame, tag: str) -> DataFrame:
+        """hits: hint_id and some fields, at most a row for each hint."""
+        fields = [f for f in FILM if f in hits.columns]
+        more = told.join(hits.select("hint_id", *(F.col(f).alias(f"_n_{f}") for f in fields)), "hint_id", "left")
+        added = reduce(lambda a, b: a | b, (F.col(f).isNull() & F.col(f"_n_{f}").isNotNull() for f in fields))
+        more = more.withColumn("sources", F.when(added, F.array_append("sources", F.lit(tag))).otherwise(F.col("sources")))
+        return more.withColumns({f: F.coalesce(f, f"_n_{f}") for f in fields}).drop(*(f"_n_{f}" for f in fields))
+
+    key = F.coalesce("imdb_id", "_g_imdb_id")
+    rest = told.filter(~film_complete()).select("hint_id", key.alias("_k"), F.coalesce("title", "_g_title").alias("_t"), F.coalesce("year", "_g_year").alias("_y"))
+    ranked = second.withColumnRenamed("imdb_id", "_imdb").select(*(F.col(c).alias(f"_s{c}" if c != "_imdb" else c) for c in ("_imdb", "title", "year", "director", "director_death_year", "rank")))
+    by_id = rest.filter("_k is not null").join(ranked, F.col("_k") == F.col("_imdb"))
+    by_title = rest.filter("_k is null and _t is not null").join(ranked, F.col("_t") == F.col("_stitle")).filter("_y is null or _y = _syear")
+    hits = by_id.unionByName(by_title).groupBy("hint_id").agg(F.min(F.struct("_srank", "_imdb", "_stitle", "_syear", "_sdirector", "_sdirector_death_year")).alias("s"))
+    hits = hits.select("hint_id", F.col("s._imdb").alias("imdb_id"), *(F.col(f"s._s{c}").alias(c) for c in ("title", "year", "director", "director_death_year")))
+    told = filled(told, hits, "second")
+    rest = told.filter(~film_complete()).select("hint_id", F.coalesce("imdb_id", "_g_imdb_id").alias("_k")).filter("_k is not null")
+    fields = ("title", "year", "director", "director_death_year")
+    hits = rest.join(third, F.col("_k") == F.col("imdb_id")).groupBy("hint_id").agg(F.min(F.struct("imdb_id", *fields)).alias("s")).select("hint_id", "s.*")
+    told = filled(told, hits, "third")
+    return told.withColumns({c: F.coalesce(c, f"_g_{c}") for c in ("imdb_id", "tmdb_id", "media_type")}).select("hint_id", *(F.coalesce(f, none(f)).alias(f) for f in FILM), "sources", "found_by")
+
+
 def crew_rank(crew: DataFrame, job: str) -> DataFrame:
     """film_id, names: those with most episodes in the job first, ties in source order, joined by a comma."""
     per = crew.filter(F.col("job") == job).groupBy("film_id", "name").agg(F.sum("episode_count").alias("n"), F.min("rank").alias("at"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.functions.text import track_key
+
 from .rights import rights_verdict
 
 TOLERANCE, LEAST_SCORE = 3, 40.0
@@ -49,8 +51,21 @@ def hide_anachronistic(cues: DataFrame, count: bool = False) -> DataFrame | tupl
     return (shown, cues.filter("anachronistic").groupBy("run_id").agg(F.count(F.lit(1)).alias("hidden"))) if count else shown
 
 
-def refresh(cues: DataFrame, as_of_year: int) -> DataFrame:
-    """All derived columns, always computed: rights where authors are present, the anachronism flag, the track key."""
-    from cuewright.functions.text import track_key
+def flag_alternatives(cues: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """anachronistic in every entry of alternatives (structs with release_year and artist), by its own release and the film."""
+    none = F.lit(None).cast("int")
+    names = [f.name for f in cues.schema["alternatives"].dataType.elementType.fields if f.name != "anachronistic"]
+    late = lambda a: is_anachronistic(F.col("film_year"), none, a["release_year"], none, F.col("music_composer"), a["artist"], F.lit(None).cast("string"), tolerance)
+    return cues.withColumn("alternatives", F.transform("alternatives", lambda a: F.struct(*(a[n].alias(n) for n in names), late(a).alias("anachronistic"))))
 
-    return anachronistic(rights_verdict(cues, "authors", "authors_partial", as_of_year)).withColumn("track_key", track_key(F.col("title"), F.col("artist")))
+
+def refresh(cues: DataFrame, as_of_year: int) -> DataFrame:
+    """All derived columns, always computed: rights, the anachronism flag of the cue and of its alternatives, the track key.
+
+    Where authors is null, nothing can be assessed and a verdict that was saved stays."""
+    verdict = {"latest_author_death_year": "int", "authors_complete": "boolean", "public_domain": "boolean", "pd_presumption": "boolean"}
+    kept = cues.select("*", *((F.col(c) if c in cues.columns else F.lit(None).cast(t)).alias(f"_{c}") for c, t in verdict.items()))
+    told = rights_verdict(kept, "authors", "authors_partial", as_of_year)
+    told = told.withColumns({c: F.when(F.col("authors").isNull(), F.col(f"_{c}")).otherwise(F.col(c)) for c in verdict}).drop(*(f"_{c}" for c in verdict))
+    told = anachronistic(told).withColumn("track_key", track_key(F.col("title"), F.col("artist")))
+    return flag_alternatives(told) if "alternatives" in cues.columns else told

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue, signal
+from . import catalogue, records, signal
 
-_MODULES = (signal, catalogue)
+_MODULES = (signal, catalogue, records)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

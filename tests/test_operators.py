@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from cuewright.functions import text as T
 from cuewright.operators import answers as A
 from cuewright.operators import cues as C
+from cuewright.operators import catalog as K
 from cuewright.operators import edits as E
+from cuewright.operators import films as M
 from cuewright.operators import intervals as I  # noqa: E741
 from cuewright.operators import ranking as R
 from cuewright.operators import rights as L
@@ -240,3 +242,115 @@ def test_peaks_of_stretches(spark, fine):
         want |= {(run, i): round(t / max(tops), 3) for i, t in enumerate(tops)}
     got = {(r.run_id, r.point_idx): r.peak for r in S.peak_envelope(spark.createDataFrame(data, "run_id string, idx long, x double").repartition(5), 100, fine=fine).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 0.0011 for k in want)
+
+
+FILM_SOURCE = "media_type string, id long, rank long, imdb_id string, title string, year int, director string, director_death_year int, music_composer string"
+
+
+def test_film_cascade_asks_only_for_what_is_open(spark):
+    films = spark.createDataFrame([("movie", 1, 1, "tt1", "One", 1950, "D", 1980, None), ("tv", 1, 1, "tt9", "One", 1960, None, None, "M"), ("movie", 2, 2, "tt2", "Two", 1951, None, None, None), ("tv", 3, 3, "tt2", "Two", None, None, None, None)], FILM_SOURCE)
+    hints = spark.createDataFrame([(1, 1, "tt2", "Two", None, None), (2, 77, "tt2", "One", None, None), (3, 77, "tt77", "One", None, None), (4, None, None, "One", 1960, None), (5, 1, None, None, None, "tv"), (6, 2, "tt2", "Two", None, "tv"), (7, None, "tt77", "None", None, None)],
+                                  "hint_id long, tmdb_id long, imdb_id string, title string, year int, media_type string")
+    got = {r.hint_id: (r.found_by, r.media_type, r.tmdb_id) for r in M.primary_film(hints, films).collect()}
+    assert got == {1: ("id", "movie", 1), 2: ("imdb", "movie", 2), 3: ("title", "movie", 1), 4: ("title", "tv", 1), 5: ("id", "tv", 1), 6: ("imdb", "tv", 3)}
+    seen = {}
+    def step(name, ids):
+        def run(rest):
+            seen[name] = sorted(r.hint_id for r in rest.collect())
+            return rest.filter(F.col("hint_id").isin(ids)).select("hint_id")
+        return name, run
+    found = M.cascade(hints, "hint_id", [step("a", [1, 2]), step("b", [2, 3]), step("c", [7])])
+    assert seen == {"a": [1, 2, 3, 4, 5, 6, 7], "b": [3, 4, 5, 6, 7], "c": [4, 5, 6, 7]}
+    assert sorted((r.hint_id, r.found_by) for r in found.collect()) == [(1, "a"), (2, "a"), (3, "b"), (7, "c")]
+
+
+def test_film_resolve(spark):
+    films = spark.createDataFrame([("movie", 1, 1, "tt1", "One", 1950, "D", 1980, "M"), ("movie", 2, 2, "tt2", "Two", None, None, None, None), ("tv", 3, 3, "tt3", "Three", 1999, None, None, None)], FILM_SOURCE)
+    second = spark.createDataFrame([("tt1", "wrong", 1, "x", 1, 1), ("tt2", "wrong", 1951, "E", None, 2), ("tt3", "x", 1, "x", 1, 3), ("tt5", "Five", 1955, "F", 1990, 4)], "imdb_id string, title string, year int, director string, director_death_year int, rank long")
+    third = spark.createDataFrame([("tt2", "third", 1, "x", 1970), ("tt5", "third", 1, "x", 1), ("tt6", "Six", 1956, None, None)], "imdb_id string, title string, year int, director string, director_death_year int")
+    hints = spark.createDataFrame([(1, 1, None, None, None, None), (2, 2, None, None, None, None), (3, 3, None, None, None, "tv"), (5, None, None, "Five", None, None), (6, 66, "tt6", None, None, "movie"), (7, 8, "tt8", "Lost", None, None)], "hint_id long, tmdb_id long, imdb_id string, title string, year int, media_type string")
+    got = {r.hint_id: tuple(r)[1:-2] + (",".join(r.sources),) for r in M.film_resolve(hints, films, second, third).collect()}
+    assert got == {
+        1: ("One", 1950, "D", 1980, "tt1", 1, "movie", "M", "first"), 2: ("Two", 1951, "E", 1970, "tt2", 2, "movie", None, "first,second,third"), 3: ("Three", 1999, None, None, "tt3", 3, "tv", None, "first"),
+        5: ("Five", 1955, "F", 1990, "tt5", None, None, None, "second"), 6: ("Six", 1956, None, None, "tt6", 66, "movie", None, "third"), 7: (None, None, None, None, "tt8", 8, None, None, "")}
+
+
+@pytest.mark.parametrize("said,want", [(["match", "auth_error"], "auth_error"), (["no_match", "match", "error"], "match"), (["no_match", "rate_limited"], "no_match"), (["error", "rate_limited"], "rate_limited"), (["error", "error"], "error"), ([None], "error")])
+def test_clip_outcomes(spark, said, want):
+    r = A.clip_outcomes(spark.createDataFrame([("r", 0, o) for o in said], "run_id string, clip_idx long, outcome string")).first()
+    assert (r.outcome, r.asked, r.answered) == (want, len(said), sum(o in ("match", "no_match") for o in said))
+
+
+@pytest.mark.parametrize("clips,want", [
+    (["match", "no_match"], ("complete", 2, 0, None, None)), (["match", "error", "match"], ("partial", 2, 1, None, None)), (["match", "rate_limited", "match", "auth_error"], ("limited", 1, 3, 1, None)),
+    (["match", "auth_error", "rate_limited"], ("failed", 0, 0, None, 1)), (["rate_limited"], ("limited", 0, 1, 0, None))])
+def test_run_outcomes(spark, clips, want):
+    df = spark.createDataFrame([("r", i, o) for i, o in enumerate(clips)], "run_id string, clip_idx long, outcome string")
+    assert tuple(A.run_outcomes(df).first())[1:] == want
+
+
+def test_typed_edits(spark):
+    docs = ['{"segment_id": "s1", "title": "x", "artist": null}', '{"segment_id": "s2", "title": 5, "album": [1]}', '{"segment_id": "s3", "enrichment": {"composer": "N"}}', '{"segment_id": "s4", "enrichment": "n"}', "[1]", "broken {", '{"segment_id": 7}']
+    got = [tuple(r) for r in E.typed_edits(spark.createDataFrame([("r", d) for d in docs], "run_id string, edit string")).collect()]
+    assert got == [("r", "s1", "x", None, None, None, None), ("r", "s2", None, None, None, None, "title, album"), ("r", "s3", None, None, None, "N", None), ("r", "s4", None, None, None, None, "enrichment"), *[("r", None, None, None, None, None, None)] * 3]
+    saved = spark.createDataFrame([("r", "s2", "old", None, None), ("q", "s1", "old", None, None)], "run_id string, segment_id string, title string, artist string, album string")
+    edits = E.typed_edits(spark.createDataFrame([("r", docs[1]), ("q", docs[0])], "run_id string, edit string").select("run_id", F.parse_json("edit").alias("edit")))
+    cues, rejects = E.apply_edits(saved, edits)
+    assert rows(cues, "run_id", "segment_id", "title") == [("q", "s1", "x"), ("r", "s2", "old")]
+    assert rows(rejects, "run_id", "segment_id", "reason") == [("r", "s2", "title, album of the wrong type")]
+
+
+def test_resume_keeps_what_was_typed_meanwhile(spark):
+    saved = spark.createDataFrame([("r", s, "typed by hand", "me", True, "f.wav") for s in ("answered", "empty", "gone", "failed", "other")], "run_id string, segment_id string, title string, artist string, pending boolean, audio_file string")
+    changes = spark.createDataFrame([("r", "answered", "answered", "T", None), ("r", "empty", "answered", None, None), ("r", "gone", "gone", None, None), ("r", "failed", "failed", "x", "x")], "run_id string, segment_id string, outcome string, title string, artist string")
+    once = E.resume_merge(saved, changes)
+    want = {"answered": ("T", None, False, None), "empty": ("typed by hand", "me", False, None), "gone": ("typed by hand", "me", False, None), "failed": ("typed by hand", "me", True, "f.wav"), "other": ("typed by hand", "me", True, "f.wav")}
+    for merged in (once, E.resume_merge(once, changes)):
+        assert {r.segment_id: (r.title, r.artist, r.pending, r.audio_file) for r in merged.collect()} == want
+
+
+def test_names_without_letters_count_for_nothing(spark):
+    works = spark.createDataFrame([(1, "W", 1), (2, "W", 2)], "work_id long, title string, rank long")
+    authors = spark.createDataFrame([(1, [("Дмитрий",)]), (2, [("Ann Bo",)])], "work_id long, authors array<struct<name:string>>")
+    cues = spark.createDataFrame([(1, "W", "Ann & Bob"), (2, "W", "Bo, Ann"), (3, "W", "&"), (4, "W", "Дмитрий")], "cue_id long, title string, artist string")
+    assert rows(K.work_by_title(cues, works, authors), "cue_id", "work_id", "score") == [(2, 2, 1)]
+
+
+@pytest.mark.parametrize("title,want", [("A feat. B", "a"), ("A Feather Song", "a"), ("defeat", "defeat"), ("a_feat b", "a feat b"), ("A feat\nb", "a feat b"), ("A\nfeat b", "a"), ("a feat b\n", "a"), ("A - Remastered 2011", "a"), ("[a (b] c)", "a"), ("été feat x", "t"), (None, "")])
+def test_norm_title(spark, title, want):
+    assert spark.createDataFrame([(title,)], "t string").select(T.norm_title(F.col("t"))).first()[0] == want
+
+
+def test_look_up_of_cues_without_a_track(spark):
+    cues = spark.createDataFrame([("r", 1, None, "i1"), ("r", 2, None, "i2"), ("r", 3, "k", None), ("r", 4, "k", "i4"), ("q", 5, None, None)], "run_id string, seq long, track_key string, isrc string")
+    asked = []
+    def lookup(first):
+        asked.extend(sorted(r.seq for r in first.collect()))
+        return first.select("run_id", "track_key", F.col("isrc").alias("found"))
+    got = {r.seq: r.found for r in K.enrich_once(cues, lookup).collect()}
+    assert asked == [1, 4] and got == {1: "i1", 2: "i1", 3: None, 4: "i4", 5: None}
+
+
+def test_a_scorer_is_loaded_once_a_worker(spark, tmp_path):
+    """Sixty tasks, at most one load for each Python worker with a name; without one, one for each task."""
+    folder = str(tmp_path)
+    def load():
+        import os
+        import uuid
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4()}", "w").close()
+        return lambda b: pd.DataFrame({"score": b["start_n"] * 1.0, "probs": [[1.0]] * len(b)})
+    df = spark.range(0, 600, 1, 60).select(F.lit("r").alias("run_id"), F.col("id").alias("start_n"))
+    assert score_with(df, load, "model 1").agg(F.sum("score")).first()[0] == 600 * 599 / 2
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert 1 <= len(loads) == len(set(loads)) <= 24
+    score_with(df, load).count()
+    score_with(df, load).agg(F.sum("score")).first()
+    assert len(list(tmp_path.iterdir())) >= len(loads) + 60
+
+
+def test_songs_of_clips_without_votes(spark):
+    song = "struct<title:string,artist:string,isrc:string,album:string,release_year:int,score:double>"
+    data = [("r", "s", 0, "own", "t", None, None, None, None, None, [], [("c", None, None, None, None, 1.0)]), ("r", "s", 1, "own", "t", None, None, None, None, None, None, None), ("r", "s", 2, "own", None, None, None, None, None, None, [], [])]
+    vote = f"array<struct<provider:string,matched:boolean,title:string,artist:string,isrc:string,album:string,release_year:int,score:double,candidates:array<{song}>>>"
+    df = spark.createDataFrame(data, f"run_id string, segment_id string, clip_idx long, provider string, title string, artist string, isrc string, album string, release_year int, score double, votes {vote}, candidates array<{song}>")
+    assert rows(C.named_songs(df), "clip_idx", "provider", "title", "score") == [(0, "own", "c", 1.0), (1, "own", "t", None)]
