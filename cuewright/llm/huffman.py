@@ -1,7 +1,8 @@
 """Operator 4, token-id files: canonical length-limited Huffman coding with table-driven decoding.
 
 The code comes from the id counts of the whole corpus (package-merge, at most `limit` bits), and only its
-lengths are stored: the codes are canonical. A file is a sequence of independent blocks of whole documents;
+lengths are stored, in the file set's head: the codes are canonical. So a set (a folder with `head` and `blocks`)
+is decoded from itself alone. A file is a sequence of independent blocks of whole documents;
 a block holds its documents' ids and sizes, the coded ids, and the number of bits of every `step` ids, so
 that decoding can start at any of these checkpoints. The decoder walks all stretches between checkpoints of
 a block at once, one table look-up per id. Blocks are in ascending doc_id order (null ids last, equal ids in
@@ -20,6 +21,7 @@ of its own. Other columns are ignored.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -28,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_or_join, stage
+from .common import shared_dir, small_or_join, stage
 from .tokens import encoder, token_table
 
 LIMIT, STEP, BLOCK_IDS = 18, 64, 1 << 16
 _HEAD = struct.Struct("<4sIQQ")  # magic, documents, ids, bytes of coded ids
+_BLOCKS = "part int, seq long, low long, n_docs long, n_ids long, blob binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -165,8 +168,21 @@ def id_counts(tokens: DataFrame, size: int, wide) -> np.ndarray:
     return out
 
 
-def encode_blocks(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, np.ndarray]:
-    """Writes the file set; (part, seq, low, n_docs, n_ids, blob) of its blocks as read back, and the code lengths."""
+def write_head(spark, folder: str, lengths: np.ndarray) -> None:
+    """The head of a file set: one row with the checkpoint step and each symbol's code length, a byte each, with their checksum."""
+    raw = lengths.astype(np.uint8).tobytes()
+    spark.createDataFrame([("HUF1", STEP, bytearray(raw), zlib.crc32(raw))], "magic string, step int, lengths binary, crc long").coalesce(1).write.parquet(f"{folder}/head")
+
+
+def read_head(spark, folder: str) -> np.ndarray:
+    head = spark.read.parquet(f"{folder}/head").first()
+    if head is None or (head["magic"], head["step"], head["crc"]) != ("HUF1", STEP, zlib.crc32(bytes(head["lengths"]))):
+        raise ValueError(f"{folder} has no head of this format")
+    return np.frombuffer(bytes(head["lengths"]), np.uint8)
+
+
+def encode_files(docs: DataFrame, vocabulary: str) -> str:
+    """Writes the file set, its head and its blocks (part, seq, low, n_docs, n_ids, blob); returns its folder."""
     size = encoder(vocabulary).size
     wide = np.uint16 if size <= 1 << 16 else np.uint32
     tokens = stage(token_table(docs, vocabulary).drop("queue", "before"), "huffman-tokens")
@@ -204,13 +220,17 @@ def encode_blocks(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, np.ndarr
         if names:
             yield done()
 
-    return stage(rows.mapInArrow(build, "part int, seq long, low long, n_docs long, n_ids long, blob binary"), "huffman-blocks", "uncompressed"), lengths
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/stage/huffman-{uuid.uuid4().hex}"
+    write_head(spark, folder, lengths)
+    rows.mapInArrow(build, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    return folder
 
 
-def decode_blocks(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the file set."""
-    spark = blocks.sparkSession
-    shared = spark.sparkContext.broadcast(lengths)
+def decode_files(spark, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document in the file set, from its folder alone."""
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{folder}/blocks")
+    shared = spark.sparkContext.broadcast(read_head(spark, folder))
     # one row per part of the file set; parts with equal or no ids come in the order of their numbers
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min("low").alias("low")).orderBy(F.asc_nulls_last("low"), "part").collect()
     first, run = [], 0
@@ -238,4 +258,4 @@ def op4_huffman_files(spark, sf_dir: str) -> DataFrame:
     """All documents written as block files in doc_id order and read back."""
     import public_tokenizers
 
-    return decode_blocks(*encode_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")))
+    return decode_files(spark, encode_files(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")))

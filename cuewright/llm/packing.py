@@ -11,8 +11,10 @@ of all queues.
 Sources with at least one id a window (there can be no more than `window` of them, so the plan that tasks
 hold is bounded) and those with a target have a queue each. Of smaller sources a window's share is less than
 one id. They share one more queue, in which each is served a document at a time, when its deficit has come to
-the middle of it: in order of (ids before it in its source + half its own) / (ids of its source). So the small
-sources, too, run side by side from the first window to the last, however many they are.
+the middle of it: in order of (ids before it in its source + half its own) / (ids of its source), after a first
+deficit that a hash of the source's name gives it (its queue goes round from there). So the small sources, too,
+run side by side from the first window to the last, however many they are, and sources of a document or two do
+not all come due at once.
 
 With the targets equal to the corpus' own proportions all queues end together and there is one stretch of
 rounds. With other `targets` the stretch ends when the first queue with a target runs dry; the others go on in
@@ -41,6 +43,8 @@ WINDOW = 4096
 PLACES = 1_000_000
 #: Stretches of the small sources' common queue that are summed apart.
 LANES = 65_536
+#: Cells of the table of queues and rounds that a task works on at once.
+CELLS = 1 << 20
 
 
 def stretches(totals: list[int], targets: list[float] | None, window: int) -> list[dict]:
@@ -70,15 +74,19 @@ def pieces_of(slot: int, a: int, b: int, plan: list[dict], window: int) -> list[
         if x >= y:
             continue
         kind = object if max(s["ids"]) * (rounds + 1) >= 1 << 62 else np.int64
-        r = np.arange(((x + 1) * rounds - 1) // n, (y * rounds - 1) // n + 1).astype(kind)
         each = np.array(s["ids"], kind)
-        now, then = each[:, None] * r // rounds, each[:, None] * (r + 1) // rounds
-        shift = s["start"] + then[:slot].sum(axis=0) + now[slot + 1 :].sum(axis=0)  # output position minus queue position
-        for c, d, off in zip(np.maximum(now[slot], x).tolist(), np.minimum(then[slot], y).tolist(), shift.tolist(), strict=True):
-            while c < d:
-                e = min(d, c + window - (c + off) % window)
-                out.append((lo + c, e - c, c + off))
-                c = e
+        first, last = ((x + 1) * rounds - 1) // n, (y * rounds - 1) // n + 1
+        many = max(1, CELLS // len(each))  # a long text goes through many rounds of all queues: some at a time
+        for low in range(first, last, many):
+            r = np.arange(low, min(last, low + many) + 1).astype(kind)
+            reached = each[:, None] * r // rounds  # ids of every queue before each round
+            now, then = reached[:, :-1], reached[:, 1:]
+            shift = s["start"] + then[:slot].sum(axis=0) + now[slot + 1 :].sum(axis=0)  # output position minus queue position
+            for c, d, off in zip(np.maximum(now[slot], x).tolist(), np.minimum(then[slot], y).tolist(), shift.tolist(), strict=True):
+                while c < d:
+                    e = min(d, c + window - (c + off) % window)
+                    out.append((lo + c, e - c, c + off))
+                    c = e
     return out
 
 
@@ -137,7 +145,9 @@ def pack(docs: DataFrame, vocabulary: str, source: str = "source", window: int =
     if rest:
         few = tokens.join(slots, "queue", "left_anti")
         shares = few.select("part", "seq", "queue", "n", "before").join(places, ["part", "queue"])
-        shared = small_places(shares.select("part", "seq", "queue", "n", ((F.col("base") + F.col("before") + F.col("n") / 2) / F.col("total")).alias("time")))
+        owed = F.pmod(F.xxhash64("queue"), F.lit(1 << 32)) / float(1 << 32)  # the source's first deficit
+        due = (F.col("base") + F.col("before") + F.col("n") / 2) / F.col("total") + owed
+        shared = small_places(shares.select("part", "seq", "queue", "n", (due - F.floor(due)).alias("time")))
         placed = placed.unionByName(few.select("doc_id", "n", "part", "seq", "ids").join(shared, ["part", "seq"]).select("doc_id", "n", "place", F.lit(len(named)).alias("slot"), "ids"))
     return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 

@@ -1,10 +1,10 @@
 """Operator 5, toxicity by a classifier chain.
 
 The chain predicts the labelled categories one after the other ("low_quality", then "toxic"). Each link is a
-logistic regression over the presence of selected words plus the logits of all earlier links; while a link
-is trained, those logits come from out-of-fold predictions (folds by a hash of the document), so no later
-link sees a prediction that was fitted on its own row. When documents are scored, the earlier links' own
-logits are fed forward.
+logistic regression over the presence of selected words plus the probabilities of all earlier links; while a link
+is trained, those come from out-of-fold predictions (folds by a hash of the document), so no later link sees a
+prediction that was fitted on its own row. When documents are scored, the earlier links' own probabilities are
+fed forward.
 
 The models are fitted on at most `max_labelled` labelled documents (those with the smallest hash of doc_id):
 the only bounded sample here. Every one of them takes part with its own labels; rows that share three MinHashes
@@ -86,7 +86,7 @@ def fit_fold(data: dict, c: int, earlier: np.ndarray, fold: int) -> tuple[np.nda
 
 
 def in_tasks(spark: SparkSession, shared):
-    """A function (category, earlier logits) -> the FOLDS + 1 models, each fitted by a Spark task. shared: the broadcast data of fit_chain."""
+    """A function (category, earlier probabilities) -> the FOLDS + 1 models, each fitted by a Spark task. shared: the broadcast data of fit_chain."""
 
     def fits(c: int, earlier: np.ndarray) -> list:
         before = spark.sparkContext.broadcast(earlier)
@@ -115,7 +115,7 @@ def fit_chain(data: dict, fits) -> list[dict]:
             held[data["folds"] == f] = margin[data["folds"] == f]
         w, e, b = models[-1]
         out.append({"words": w, "earlier": e, "bias": b, "cut": best_cut(held[known], y[known], data["weight"][known])})
-        earlier = np.column_stack([earlier, held])
+        earlier = np.column_stack([earlier, 1 / (1 + np.exp(-held))])
     return out
 
 
@@ -180,12 +180,12 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_l
 
 
 def score_texts(texts, model: dict) -> np.ndarray:
-    """Logits (texts, categories), each link fed the logits of those before it."""
+    """Logits (texts, categories), each link fed the probabilities of those before it."""
     names, out = model["words"], np.zeros((len(texts), len(model["links"])))
     for r, text in enumerate(texts):
         found = [names[w] for w in words_of(text) if w in names]
         for c, link in enumerate(model["links"]):
-            out[r, c] = np.clip(link["words"][found].sum() + link["earlier"] @ out[r, :c] + link["bias"], -12, 12)
+            out[r, c] = np.clip(link["words"][found].sum() + link["earlier"] @ (1 / (1 + np.exp(-out[r, :c]))) + link["bias"], -12, 12)
     return out
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_limits, shared_dir, small_or_join, stage
 
-LEAST_REVISIT, SEGMENT, CHUNK, FILE_BYTES = 100, 32_768, 4_096, 32 << 20
+LEAST_REVISIT, SEGMENT, CHUNK, FILE_BYTES = 100, 32_768, 4_096, 16 << 20
 _END = "\r\n\r\n"
 
 
@@ -118,7 +118,7 @@ _FOUND = "page_id long, payload_bytes long, payload_digest string, record_type s
 _PARSED = _FOUND + ", origin string, number int, total long, fields map<string,string>, block binary"
 
 
-def write_archives(pages: DataFrame, segment: int = SEGMENT) -> str:
+def write_archives(pages: DataFrame, segment: int = SEGMENT, file_bytes: int = FILE_BYTES) -> str:
     """Write all pages as WARC archives in the shared folder; returns their folder."""
     spark = pages.sparkSession
     arrow_limits(spark)
@@ -130,15 +130,21 @@ def write_archives(pages: DataFrame, segment: int = SEGMENT) -> str:
     told = told.select("page_id", "url", "html", F.when((F.col("original") != F.col("page_id")) | (F.col("page_id").isNull() & F.col("original").isNotNull()), F.col("original")).alias("refers_to"), "target")
 
     def make(batches):
-        part, seq = TaskContext.get().partitionId(), itertools.count()
+        """An archive's records as one row: as many as come to file_bytes, so that none is longer than that and one record."""
+        part, seq, held, size = TaskContext.get().partitionId(), itertools.count(), [], 0
         for batch in batches:
-            out = [r for page in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in records_of(*page, segment, f"{part}.{next(seq)}")]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            for page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for made in records_of(*page, segment, f"{part}.{next(seq)}"):
+                    held.append(made)
+                    size += len(made.encode("utf-8", "surrogatepass")) + len(_END)
+                    if size >= file_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([_END.join(held)], pa.string())], names=["value"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([_END.join(held)], pa.string())], names=["value"])
 
-    # archives of about FILE_BYTES: so many records as have that size on average
-    mean = rows.agg(F.avg(F.least(F.octet_length("html"), F.lit(segment)))).first()[0] or 0.0
     folder = f"{shared_dir(spark)}/stage/warc-{uuid.uuid4().hex}"
-    told.mapInArrow(make, "value string").write.option("lineSep", _END).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1024)))).text(folder)
+    told.mapInArrow(make, "value string").write.option("lineSep", _END).option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 
@@ -171,7 +177,7 @@ def read_archives(spark, folder: str) -> DataFrame:
                 out.append({"page_id": int(fields["X-Page-ID"]) if fields.get("X-Page-ID") else None, "payload_bytes": len(payload_of(block, fields)), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"), "record_type": "response", "refers_to": None})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
-    # an archive holds about FILE_BYTES, and no record is longer than a segment
+    # an archive holds FILE_BYTES and a record at most, and no record is longer than a segment and its header
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
     records = stage(files.mapInArrow(parse_files, _PARSED), "warc-records", "lz4")
     whole = records.filter("origin is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -5,7 +5,11 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -146,7 +150,7 @@ def test_packing_and_files_of_null_and_repeated_ids(spark):
     got = packing.pack(df, WORD, window=4).collect()
     assert sum(r.length for r in got) == sum(n for _, n in want) and sorted({(r.doc_id if r.doc_id is not None else -1, r.doc_tokens) for r in got}) == sorted(set(want))
     t = tokens.Encoder(BYTE)
-    files = sorted(huffman.decode_blocks(*huffman.encode_blocks(df, BYTE)).collect(), key=lambda r: r.start)
+    files = sorted(huffman.decode_files(spark, huffman.encode_files(df, BYTE)).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in files] == [3, 7, 7, None, None]
     at = 0
     for r in files:
@@ -167,6 +171,44 @@ def test_packing_keeps_the_proportions(docs):
         assert abs(per[w] - share * 256) <= 16
 
 
+def test_small_sources_are_spread_over_lanes(spark):
+    """Three thousand sources of one document each do not come due together, and every id is packed once."""
+    df = spark.createDataFrame([(i, f"word {i}", f"site{i}") for i in range(3000)] + [(9999, prose(40_000), "hot")], "doc_id long, text string, source string")
+    rows = packing.pack(df, WORD, window=4096).collect()
+    windows = collections.Counter(r.sequence_id for r in rows if r.doc_id < 9999)
+    assert len(windows) == max(r.sequence_id for r in rows) + 1 and max(windows.values()) < 2.5 * 3000 / len(windows)
+    assert len({r.doc_id for r in rows}) == 3001 and sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+
+
+def test_long_text_with_many_queues_in_bounded_memory(monkeypatch):
+    """A million ids among four thousand queues, in slices of rounds; slices change nothing."""
+    import tracemalloc
+
+    totals = [1_000_000, *(5000 + i % 7 for i in range(4000))]
+    plan = packing.stretches(totals, None, 4096)
+    tracemalloc.start()
+    got = packing.pieces_of(0, 0, 1_000_000, plan, 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and sum(n for _, n, _ in got) == 1_000_000 and all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:], strict=False))
+    part = packing.pieces_of(7, 100, 4000, plan, 4096)
+    monkeypatch.setattr(packing, "CELLS", 1)
+    assert packing.pieces_of(7, 100, 4000, plan, 4096) == part
+
+
+def test_a_file_set_is_decoded_from_its_folder(spark, docs):
+    folder = huffman.encode_files(docs, BYTE)
+    assert huffman.read_head(spark, folder).max() <= huffman.LIMIT
+    want = sorted(tuple(r) for r in huffman.decode_files(spark, folder).collect())
+    code = "import sys; from pyspark.sql import SparkSession; from cuewright.llm import huffman; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); print('CRC', sorted((r.doc_id, r.ids_crc32) for r in huffman.decode_files(s, sys.argv[1]).collect()))"
+    told = subprocess.run([sys.executable, "-c", code, folder], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=300, check=True).stdout
+    assert told.split("CRC ")[1].strip() == str([(d, c) for d, _, _, c in want])
+    with pytest.raises(ValueError):
+        bad = f"{folder}-bad"
+        spark.read.parquet(f"{folder}/head").withColumn("crc", huffman.F.lit(1).cast("long")).write.parquet(f"{bad}/head")
+        huffman.read_head(spark, bad)
+
+
 def test_huffman_lengths_and_round_trip():
     rng = np.random.default_rng(1)
     for n, limit in ((1, 4), (2, 4), (300, 9), (300, 18), (5000, 13)):
@@ -187,13 +229,13 @@ def test_huffman_lengths_and_round_trip():
 def test_huffman_files(spark, docs, empty, ordered):
     t = tokens.Encoder(BYTE)
     df = spark.createDataFrame(corpus(), SCHEMA).coalesce(1) if ordered else docs
-    got = sorted(huffman.decode_blocks(*huffman.encode_blocks(df, BYTE)).collect(), key=lambda r: r.doc_id)
+    got = sorted(huffman.decode_files(spark, huffman.encode_files(df, BYTE)).collect(), key=lambda r: r.doc_id)
     at = 0
     for (i, text, *_), r in zip(corpus(), got, strict=True):
         ids = np.append(t.encode(text or ""), np.uint32(2)).astype("<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    assert huffman.decode_blocks(*huffman.encode_blocks(empty, BYTE)).count() == 0
+    assert huffman.decode_files(spark, huffman.encode_files(empty, BYTE)).count() == 0
 
 
 def test_toxicity(spark, empty):
@@ -257,11 +299,11 @@ def test_toxicity_equals_a_plain_chain(spark):
             w = plain_logistic(full[use], y[use, c], weight[use])
             held[folds == f] = np.clip(full @ w[:-1] + w[-1], -12, 12)[folds == f]
         links.append(plain_logistic(full[known], y[known, c], weight[known]))
-        earlier = np.column_stack([earlier, held])
+        earlier = np.column_stack([earlier, 1 / (1 + np.exp(-held))])
     every = ones([t for _, t in rows])
     for c, link in enumerate(links):
-        every = np.column_stack([every, np.clip(every @ link[:-1] + link[-1], -12, 12)])
-    want = sorted(zip((d if d is not None else -1 for d, _ in rows), 1 / (1 + np.exp(-every[:, -2])), 1 / (1 + np.exp(-every[:, -1])), strict=True))
+        every = np.column_stack([every, 1 / (1 + np.exp(-np.clip(every @ link[:-1] + link[-1], -12, 12)))])
+    want = sorted(zip((d if d is not None else -1 for d, _ in rows), every[:, -2], every[:, -1], strict=True))
     have = sorted((r.doc_id if r.doc_id is not None else -1, r.p_low_quality, r.p_toxic) for r in got)
     assert len(have) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 0.02 and abs(a[2] - b[2]) < 0.02 for a, b in zip(have, want, strict=True))
 
@@ -361,6 +403,15 @@ def test_warc(spark):
     assert warc.read_archives(spark, warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark):
+    """A tenth of the pages are long, and stand together; no archive is longer than its bound and a record."""
+    pages = spark.createDataFrame([(i, "u", f"{i} " + "x" * (400_000 if i < 40 else 2_000)) for i in range(400)], "page_id long, url string, html string").coalesce(2)
+    folder = warc.write_archives(pages, file_bytes=1 << 20)
+    sizes = [r.length for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("length").collect()]
+    assert max(sizes) <= (1 << 20) + 2 * warc.SEGMENT and len(sizes) > 10
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.read_archives(spark, folder).collect()) == sorted((i, len(f"{i} ") + (400_000 if i < 40 else 2_000)) for i in range(400))
+
+
 def test_warc_rejects_broken_segments():
     data = "".join(r + "\r\n\r\n" for r in warc.records_of(1, "u", "q" * 500, None, None, 100, "0.0")).encode()
     parts = list(warc.parse(data))
@@ -581,14 +632,28 @@ def test_model_spans_against_a_plain_viterbi(spark):
                 j += 1
             if tags[i]:
                 last = found[j][0].rstrip(".,;:)")
-                spans.append((found[i].start(), found[j].start() + max(1, len(last)), pii.TAGS[tags[i]]))
+                spans.append((found[i].start(), found[j].start() + max(1, len(last)), tags[i]))
             i = j + 1
         base = pii.base_spans(text)
-        want.append((-1 if d is None else d, ",".join([f"{k}:{s}:{e}" for k, s, e in base] + [f"model_{k}:{s}:{e}" for s, e, k in spans if not any(s < y and e > x for _, x, y in base)])))
+        want.append((-1 if d is None else d, ",".join([f"{k}:{s}:{e}" for k, s, e in base] + [f"model_{pii.TAGS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[2], x[0])) if not any(s < y and e > x for _, x, y in base)])))
     got = pii.scan_pii(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_email int")).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.spans) for r in got) == sorted(want) and sum("model_" in s for _, s in want) > 20
 
 
+def test_dense_texts_take_linear_time(spark):
+    """Hundreds of thousands of matches and of model spans in one text of ten megabytes."""
+    rng = random.Random(5)
+    base = sorted((k, a, a + rng.randint(1, 40)) for k, a in ((rng.choice(pii.KINDS), rng.randrange(100_000)) for _ in range(3000)))
+    more = [(rng.choice(pii.TAGS[1:]), a, a + rng.randint(1, 9)) for a in (rng.randrange(100_000) for _ in range(3000))]
+    plain = sorted((x for x in more if not any(x[1] < e and x[2] > s for _, s, e in base)), key=lambda x: (pii.TAGS.index(x[0]), x[1]))
+    assert pii.apart(more, base) == plain and 0 < len(plain) < 3000 and pii.apart(more, []) and not pii.apart([], base)
+    dense = "mail a@b.co or 10.1.2.3 now " * 160_000 + "please ring 030-555-0199 or see chapter 12 of it. " * 120_000
+    start = time.time()
+    got = pii.scan_pii(spark.createDataFrame([(1, dense)], "doc_id long, text string")).first()
+    assert (got.n_email, got.n_ip) == (160_000, 160_000) and got.n_model >= 100_000 and len(dense) > 9_000_000
+    assert time.time() - start < 150
+
+
 def test_crf_reads_every_word():
     """Entities without a digit or an at sign are found, in short texts and deep in long ones; plain prose has none."""
     said = ["anna at example dot com", "bob dot smith at mail dot example dot org"]
