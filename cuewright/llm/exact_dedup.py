@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, small_or_join, stage
+from .common import arrow_limits, small_or_join, stage, tidy
 
 _RECIPE = "doc_id long, row_no long, text_sha256 string, recipe array<struct<id: long, digest: binary, size: int>>"
 #: A random but fixed value for each byte, from which the rolling hash is made.
@@ -87,7 +87,7 @@ def recipes(docs: DataFrame, mask_bits: int = 11, id_bits: int = 64) -> DataFram
 
     arrow_limits(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row_no"))
-    return rows.mapInArrow(make, _RECIPE)
+    return rows.mapInArrow(tidy(make), _RECIPE)
 
 
 def verified_identifiers(staged: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, small_or_join, stage, unstage
+from .common import arrow_limits, small_or_join, stage, tidy, unstage
 
 COORDINATES, GROUP, LEAST, SHORT, ROUNDS, COUNTERS = 48, 3, 11, 24, 2, 1 << 20
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -85,7 +85,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             sign = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, COORDINATES), pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(names, pa.binary()), sign], names=["key", "doc_id", "n_shingles", "set_hash", "sign"])
 
-    return keyed(docs).mapInArrow(run, "key long, doc_id long, n_shingles long, set_hash binary, sign array<int>")
+    return keyed(docs).mapInArrow(tidy(run), "key long, doc_id long, n_shingles long, set_hash binary, sign array<int>")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
-    return two.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "of_a", "of_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def rare_pairs(members: DataFrame, outside: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:

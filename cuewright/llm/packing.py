@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_or_join, stage
+from .common import small_or_join, stage, tidy
 from .tokens import encoder, token_table
 
 WINDOW = 4096
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, vocabulary: str, source: str = "source", window: int =
         due = (F.col("base") + F.col("before") + F.col("n") / 2) / F.col("total") + owed
         shared = small_places(shares.select("part", "seq", "queue", "n", (due - F.floor(due)).alias("time")))
         placed = placed.unionByName(few.select("doc_id", "n", "part", "seq", "ids").join(shared, ["part", "seq"]).select("doc_id", "n", "place", F.lit(len(named)).alias("slot"), "ids"))
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return placed.mapInArrow(tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op3_mixture_packing(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits
+from .common import arrow_limits, give_back, tidy
 
 #: Distinct parts remembered per Python worker, in each of two generations.
 REMEMBERED = 250_000
@@ -151,7 +151,7 @@ def token_table(docs: DataFrame, vocabulary: str, queue: str | None = None) -> D
         e = encoder(vocabulary)
         kind = np.uint16 if e.size <= 1 << 16 else np.uint32
         part, seq, last, seen = TaskContext.get().partitionId(), 0, None, {}
-        pa.default_memory_pool().release_unused()  # of earlier tasks of this worker
+        give_back()  # of earlier tasks of this worker
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for doc, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), e.encode_column(batch.column(2)), strict=True):
@@ -166,7 +166,7 @@ def token_table(docs: DataFrame, vocabulary: str, queue: str | None = None) -> D
 
     name = F.when(F.col(queue).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(queue).cast("string"))) if queue else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name.alias("queue"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, queue string, part int, seq long, before long, in_order boolean, n long, ids binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, queue string, part int, seq long, before long, in_order boolean, n long, ids binary")
 
 
 def id_type(vocabulary: str):

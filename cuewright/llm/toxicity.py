@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, read, small_or_join, stage
+from .common import arrow_limits, read, small_or_join, stage, tidy
 
 #: (category, Column of the labels table that says whether a document belongs to it)
 CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
@@ -96,7 +96,7 @@ def in_tasks(spark: SparkSession, shared):
                 folds = batch.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pickle.dumps(fit_fold(shared.value, c, before.value, f)) for f in folds], pa.binary())], names=["id", "model"])
 
-        models = [pickle.loads(r["model"]) for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "id long, model binary").orderBy("id").collect()]
+        models = [pickle.loads(r["model"]) for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(tidy(run), "id long, model binary").orderBy("id").collect()]
         before.destroy()
         return models
 
@@ -149,7 +149,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_l
 
     ys = [f"y{i}" for i in range(len(categories))]
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", *ys, "text")
-    bags = rows.mapInArrow(tokens, "doc_id long, " + ", ".join(f"{y} double" for y in ys) + ", words array<string>")
+    bags = rows.mapInArrow(tidy(tokens), "doc_id long, " + ", ".join(f"{y} double" for y in ys) + ", words array<string>")
     key = F.xxhash64(*(F.coalesce(F.array_min(F.transform("words", lambda w, seed=seed: F.xxhash64(w, F.lit(seed)))), F.lit(0).cast("long")) for seed in range(3)))
     bags = stage(bags.select("doc_id", *ys, "words", key.alias("group"), F.monotonically_increasing_id().alias("row_no")), "toxicity-rows")
     alike = bags.groupBy("group").agg((1 / F.count(F.lit(1))).alias("weight"))
@@ -203,7 +203,7 @@ def score_chain(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, c]) for c in range(p.shape[1])), pa.array(toxic), pa.array(~toxic)], names=["doc_id", *(f"p_{c}" for c in m["names"]), "toxic", "kept"])
 
     kind = "doc_id long, " + ", ".join(f"p_{c} double" for c in model["names"]) + ", toxic boolean, kept boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), kind)
 
 
 def op5_toxicity_chain(spark, sf_dir: str) -> DataFrame:
