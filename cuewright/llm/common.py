@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def arrow_limits(spark: SparkSession) -> None:
     """Bound an Arrow batch by bytes as well as rows, so long texts cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(3 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
 
