@@ -438,7 +438,7 @@ def test_long_items_and_repeated_words_take_linear_time(spark):
     w = rows[0][1].split()
     a, b = bag(w[5000:25_000]), bag(words)
     assert got[1, 1].similarity >= round(sum((a & b).values()) / sum((a | b).values()), 6) - 1e-6 and abs(got[1, 1].start_word - 5000) < 100
-    assert (got[2, 2].similarity, got[2, 2].start_word) == (1.0, 0) and got[2, 2].n_windows >= 200_000 - 60 and got[2, 3].similarity == round(55 / 57, 6)
+    assert (got[2, 2].similarity, got[2, 2].start_word) == (1.0, 0) and got[2, 2].n_windows >= 200_000 - 60 and got[2, 3].similarity == round(55 / 56, 6)  # the best window hangs over the edge by a word
 
 
 def test_weighted_similarity_of_repeated_shingles(spark):
