@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_or_join, stage, tidy
-from .tokens import encoder, token_table
+from .tokens import REMEMBERED, encoder, token_table
 
 WINDOW = 4096
 #: Rows of (part, queue) up to which the queues' places are broadcast; beyond, they are joined by shuffle.
@@ -113,10 +113,10 @@ def small_places(small: DataFrame) -> DataFrame:
     return stage(within.join(F.broadcast(spark.createDataFrame(first, "lane int, first long")), "lane").select("part", "seq", (F.col("run") + F.col("first")).alias("place")), "packing-small-places")
 
 
-def pack(docs: DataFrame, vocabulary: str, source: str = "source", window: int = WINDOW, targets: dict[str, float] | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
+def pack(docs: DataFrame, vocabulary: str, source: str = "source", window: int = WINDOW, targets: dict[str, float] | None = None, remembered: int = REMEMBERED) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids. remembered: parts of text that a worker remembers, a matter of its memory alone."""
     spark = docs.sparkSession
-    tokens = stage(token_table(docs, vocabulary, source), "packing-tokens")
+    tokens = stage(token_table(docs, vocabulary, source, remembered), "packing-tokens")
     places = queue_places(tokens)
     totals = stage(places.select("queue", "total").distinct(), "packing-totals")  # a row per source
     total = totals.agg(F.sum("total")).first()[0] or 0
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, vocabulary: str, source: str = "source", window: int =
     plan = spark.sparkContext.broadcast(stretches([*(r["total"] for r in named), rest], [*(aimed.get(r["queue"], 0.0) for r in named), 0.0] if targets else None, window))
 
     def cut(batches):
-        wide = np.uint16 if encoder(vocabulary).size <= 1 << 16 else np.uint32
+        wide = np.uint16 if encoder(vocabulary, remembered).size <= 1 << 16 else np.uint32
         for batch in batches:
             rows: list[list] = [[] for _ in range(8)]
             for doc, n, place, slot, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -57,9 +57,9 @@ def ends_of(lists: pa.Array, ends: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """The ids of texts, for one vocabulary file."""
+    """The ids of texts, for one vocabulary file. What it remembers saves time and changes no id."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,12 +69,13 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.spaced, self.folds = one(" a") != one("a"), one("AB") == one("ab")
+        self.remembered = remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def ids_of(self, parts: list[str]) -> list[bytes]:
         """The ids of each of the distinct parts."""
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
         young, rest = self.young, []
         for part in parts:
@@ -134,12 +135,12 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder per Python worker and vocabulary."""
-    return Encoder(path)
+    return Encoder(path, remembered)
 
 
-def token_table(docs: DataFrame, vocabulary: str, queue: str | None = None) -> DataFrame:
+def token_table(docs: DataFrame, vocabulary: str, queue: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, queue, part, seq, before, in_order, n, ids: each text's ids (with END_ID) as little-endian binary.
 
     part and seq number the rows as they come; before is the number of ids earlier in the same part and queue;
@@ -148,7 +149,7 @@ def token_table(docs: DataFrame, vocabulary: str, queue: str | None = None) -> D
     arrow_limits(docs.sparkSession)
 
     def run(batches):
-        e = encoder(vocabulary)
+        e = encoder(vocabulary, remembered)
         kind = np.uint16 if e.size <= 1 << 16 else np.uint32
         part, seq, last, seen = TaskContext.get().partitionId(), 0, None, {}
         give_back()  # of earlier tasks of this worker
