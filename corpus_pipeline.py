@@ -18,6 +18,8 @@ from cuewright.llm.minhash import near_dedup
 from cuewright.llm.packing import pack
 from cuewright.llm.toxicity import score_chain, train_chain
 
+#: Parts of text that a worker remembers while packing; after four stages an executor has less memory to spare than at first.
+REMEMBERED = 60_000
 #: Ids up to which the list of documents to drop is broadcast; beyond, the texts are joined by shuffle.
 DROP_ROWS = 1_000_000
 
@@ -58,7 +60,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: what is left, packed into sequences in the proportions of the sources."""
-    return pack(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return pack(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED).drop("ids")
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("decontamination", decontamination), ("packing", packing)]
