@@ -7,12 +7,23 @@ is inferred (digits, hex, base32, base36, base62, base64, and mixed for what fit
 run is left untested) and three tests of "drawn at random" give p-values: chi-squared
 uniformity over the alphabet (exact mean and variance of the multinomial, Wilson-Hilferty), runs above and
 below the alphabet's middle, and serial correlation at lag 1; Fisher's method joins them. False discoveries
-(runs wrongly called structured) are held at level FDR by Benjamini-Hochberg within each length class, so a
-short run, where the tests are weak, is not judged by the long ones' p-values. Runs that stay unrejected are
-reported, if they are long enough for their alphabet that plain words of that length would be rejected (words
-of one letter case only, or of letters without digits, are none: keys of that kind carry too little to tell).
-
-The Benjamini-Hochberg thresholds come from a histogram of p-values (1/20 of a decade) per length class, a
+are held at level FDR on both sides, by Benjamini-Hochberg within each length class, so a short run, where
+tests are weak, is not judged by the long ones' p-values:
+
+* runs wrongly called structured, by the battery's joint p-value; runs called so are not reported;
+* runs wrongly reported, that is names, paths and other written text, by a p-value under the text model below.
+  A run that the battery rejects, that touches a base span, is too short for its alphabet, or is of letters
+  alone or of one letter case only counts there with p = 1, so the level holds for what is reported.
+
+The text model is a Markov chain of letters within words, counted over all documents (words of the runs
+themselves left out, so a key repeated in a third of all rows does not teach the model; pairs are smoothed by
+PAIR_PRIOR and EVEN). A run is read as pieces: lower-case, capitalised and upper-case words, numbers and separators, each kind
+equally likely; a number goes on with probability 1/2. With P the run's probability as text and Q as independent
+draws from its alphabet (all ALPHABETS equally likely), P(Q/P >= s) <= 1/s for text, so P/Q is a p-value; it needs
+no approximation and holds for repeated and dependent runs too. Text that the chain fits badly, such as names without
+vowels, lies outside that promise.
+
+The Benjamini-Hochberg thresholds come from a histogram of p-values (1/20 of a decade, up to 1e-95) per length class, a
 table of bounded size, so nothing is ranked or gathered; a threshold is a whole histogram step.
 
 Positions are code points, end exclusive: each match is kept with the length of the gap before it, and a
@@ -26,6 +37,8 @@ an empty table gives an empty result. Other columns are ignored, whatever their
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +65,14 @@ ENCODINGS = (
 
 
 KINDS = ("assign", "access", "hex", "random")
+#: Alphabets a key may be drawn from: the encodings', hex in two cases.
+ALPHABETS = len(ENCODINGS) + 1
+#: Added to each pair's count: this much, and this share of the mean count after the same letter.
+PAIR_PRIOR, EVEN = 0.5, 0.25
+LAST_STEP = 1900
+_WORD = "[A-Z][a-z]+|[a-z]+|[A-Z]+(?![a-z])"
+#: Symbols of the text model: a border of words, the letters, a digit, a separator.
+_SYMBOLS = "^" + _UPPER.lower() + "0-"
 
 
 def found(text: Column, pattern: str, rank: int) -> Column:
@@ -113,8 +134,48 @@ def battery(runs: DataFrame) -> DataFrame:
     return told.select("*", ((F.log(1 + half + half * half / 2) - half) / F.log(F.lit(10.0))).alias("log_p")).drop("x", "pairs", "mean", "alphabet", "core")
 
 
+def word_pairs(docs: DataFrame) -> DataFrame:
+    """pair, n: two neighbouring letters, or a letter and a word's border (^), over all words of all texts outside the runs.
+
+    A word weighs as many as its count has binary digits, so that the commonest words and copied texts don't rule.
+    At most 728 rows. Outside the runs a word has 23 letters at most."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.regexp_replace(F.coalesce("text", F.lit("")), _RUN, " "), F.lit(f"({_WORD})"), F.lit(1))).alias("word"))
+    counted = words.groupBy(F.lower("word").alias("word")).agg(F.length(F.bin(F.count(F.lit(1)))).alias("n"))
+    framed = counted.select(F.concat(F.lit("^"), "word", F.lit("^")).alias("word"), "n")
+    pairs = framed.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", i, F.lit(2)))).alias("pair"), "n")
+    return pairs.groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def text_costs(pairs: dict[str, int]) -> list[float]:
+    """ln of the text model's probability of each symbol after each, row by row over _SYMBOLS; 0 for what cannot follow."""
+    letters, size = _SYMBOLS[:27], len(_SYMBOLS)
+    table = [0.0] * size * size
+    for i, a in enumerate(letters):
+        seen = [(j, pairs.get(a + b, 0)) for j, b in enumerate(letters) if (a, b) != ("^", "^")]
+        even = PAIR_PRIOR + EVEN * sum(n for _, n in seen) / len(seen)
+        follow = [(j, n + even) for j, n in seen]
+        whole = sum(n for _, n in follow)
+        for j, n in follow:
+            table[i * size + j] = math.log(n / whole) - (math.log(5) if i == 0 else 0)  # five kinds of pieces
+    table[27] = -math.log(5 * 10)
+    table[28] = -math.log(5 * 4)
+    table[27 * size + 27] = -math.log(2 * 10)
+    table[27 * size] = -math.log(2)
+    return table
+
+
+def log_text(core: Column, costs: list[float]) -> Column:
+    """ln of the probability of a run's characters under the text model."""
+    marked = F.lower(F.regexp_replace(core, f"({_WORD}|[0-9]+|[+/_-])", "^$1"))
+    plain = F.translate(marked, "123456789+/_", "000000000---")
+    x = F.transform(F.split(plain, ""), lambda c: F.instr(F.lit(_SYMBOLS), c) - 1)
+    x = F.filter(x, lambda v: v >= 0)
+    steps = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.get(F.lit(costs), a * len(_SYMBOLS) + b))
+    return F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)
+
+
 def thresholds(tested: DataFrame, level: float = FDR) -> DataFrame:
-    """length_class, step: runs whose p-value lies in this histogram step or below are called structured."""
+    """length_class, cut: the null hypothesis is rejected for runs whose p-value lies in this histogram step or below."""
     # at most 64 length classes of at most 1,900 steps
     steps = tested.groupBy("length_class", "step").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("length_class")
@@ -134,11 +195,17 @@ def scan_secrets(docs: DataFrame, level: float = FDR) -> DataFrame:
     ended = F.max(F.when(base, F.col("end"))).over(text_of.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
     begun = F.min(F.when(base, F.col("start"))).over(text_of.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
     spans = stage(spans.select("*", (F.coalesce(ended <= F.col("start"), F.lit(True)) & F.coalesce(begun >= F.col("end"), F.lit(True))).alias("clear")), "secret-spans")
-    tested = battery(spans.filter(~base)).withColumn("length_class", F.floor(2 * F.log2("n")).cast("int")).withColumn("step", F.floor(-20 * F.col("log_p")).cast("int"))
-    tested = stage(tested.select("row_no", "start", "end", "value", "clear", "encoding", "least", "n", "length_class", "step"), "secret-tested")
-    cuts = stage(thresholds(tested, level), "secret-cuts")  # at most 64 rows
-    mixed = F.col("value").rlike("[0-9]") & (F.col("value").rlike("[A-Za-z]") | (F.col("encoding") == "digits"))
-    random = tested.join(F.broadcast(cuts), "length_class", "left").filter((F.col("step") < F.coalesce("cut", F.lit(1 << 30))) & (F.col("n") >= F.col("least")) & mixed & F.col("clear"))
+    costs = text_costs({r.pair: r.n for r in word_pairs(docs.select("text")).collect()})  # at most 728 rows
+    runs = stage(battery(spans.filter(~base)).withColumn("log_text", log_text(F.regexp_replace("value", "=+$", ""), costs)).select(
+        "row_no", "start", "end", F.floor(2 * F.log2("n")).cast("int").alias("length_class"), F.floor(-20 * F.col("log_p")).cast("int").alias("step"),
+        ((F.col("n") * F.log("k") + F.log(F.lit(ALPHABETS)) + F.col("log_text")) / F.log(F.lit(10.0))).alias("log_q"),
+        (F.col("clear") & (F.col("n") >= F.col("least")) & F.col("value").rlike("[0-9]") & (F.col("value").rlike("[A-Za-z]") | (F.col("encoding") == "digits"))).alias("eligible")), "secret-runs")
+    structured = stage(thresholds(runs, level), "secret-structured")  # at most 64 rows, as the next
+    drawn = F.col("eligible") & (F.col("step") < F.coalesce("cut", F.lit(1 << 30)))
+    text_step = F.when(drawn, F.greatest(F.lit(0.0), F.least(F.floor(-20 * F.col("log_q")).cast("double"), F.lit(float(LAST_STEP))))).otherwise(0).cast("int")
+    judged = stage(runs.join(F.broadcast(structured), "length_class", "left").select("row_no", "start", "end", "length_class", text_step.alias("step")), "secret-judged")
+    unwritten = stage(thresholds(judged, level), "secret-unwritten")
+    random = judged.join(F.broadcast(unwritten), "length_class").filter(F.col("step") >= F.col("cut"))
     kept = spans.filter(base).select("row_no", "rank", "start", "end").unionByName(random.select("row_no", F.lit(3).alias("rank"), "start", "end"))
     listed = kept.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("all"), *(F.count_if(F.col("rank") == r).alias(f"n_{k}") for r, k in enumerate(KINDS)))  # a text's own spans
     names = F.array(*map(F.lit, KINDS))
