@@ -8,9 +8,10 @@ suffix's (STRENGTH pseudo-counts). A position is scored by the longest retained
 times the byte's share within its class; the sum over all bytes and the end is the text's log10 probability.
 
 The contexts seen and retained grow with the corpus (of SYMBOLS^DEPTH, 8 * 10^9, possible ones). Contexts of up to
-three symbols are a dense table of SYMBOLS^4 numbers. Deeper ones are counted by a shuffle and tested in groups that
-share their last three symbols, at most SYMBOLS^4 rows each. Tasks hold the at most CONTEXTS most frequent retained
-ones; positions under which rarer ones are retained are summed per (document, context, next) and joined with those by shuffle.
+two symbols are tested at the driver, over at most SYMBOLS^3 counts. Deeper ones are counted by a shuffle and tested in
+groups that share their last three symbols, at most SYMBOLS^4 rows each. Tasks hold all retained ones of three symbols
+and the at most CONTEXTS most frequent deeper ones; positions under which rarer ones are retained are summed per
+(document, context, next) and joined with those by shuffle.
 
 The base score needs the count of every word in the training texts, a table that grows with the corpus. Only
 at most HOT words, the most frequent ones by a histogram of counts, are held by the tasks; tokens of other words are summed per (document, word) and
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, stage
+from .common import arrow_limits, give_back, stage
 
 HOT, CONTEXTS, DEPTH, DIVERGENCE, STRENGTH, ALPHA = 1_000_000, 200_000, 6, 40.0, 8.0, 0.1
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -161,15 +162,20 @@ def training_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def depth_of(rows: int) -> int:
+    """Number of symbols of which there are so many runs."""
+    return round(np.log(rows) / np.log(SYMBOLS))
+
+
 def build_tree(grams: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """P(next | longest retained suffix) for every context of three symbols, a row each; log10 share of each byte in its class; contexts retained."""
-    S = SYMBOLS
-    full = grams.reshape(S, S, S, S).astype(np.float64)
-    one = full.sum(axis=(0, 1, 2))
+    """P(next | longest retained suffix) for every context, a row each, of as many symbols as the counted `grams` have before the next one; log10 share of each byte in its class; contexts retained."""
+    S, longest = SYMBOLS, depth_of(len(grams)) - 1
+    full = grams.reshape((S,) * (longest + 1)).astype(np.float64)
+    one = full.sum(axis=tuple(range(longest)))
     dist = (one + 1) / (one.sum() + S)  # the root: add-one
     used, total = dist[None, :], 0
-    for depth in (1, 2, 3):
-        counts = full.sum(axis=tuple(range(3 - depth))).reshape(-1, S)
+    for depth in range(1, longest + 1):
+        counts = full.sum(axis=tuple(range(longest - depth))).reshape(-1, S)
         n = counts.sum(axis=1, keepdims=True)
         parent = np.tile(used, (S, 1)) if depth > 1 else np.repeat(used, S, axis=0)  # the suffix: the context without its oldest symbol
         smooth = (counts + STRENGTH * parent) / (n + STRENGTH)
@@ -179,7 +185,7 @@ def build_tree(grams: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.nd
         total += int(kept.sum())
         used = np.where(kept[:, None], smooth, parent)
     share = (single + ALPHA) / np.bincount(CLASS, weights=single + ALPHA, minlength=_N)[CLASS]
-    return used.astype(np.float32), np.log10(share), total
+    return used, np.log10(share), total
 
 
 def places_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,23 +197,23 @@ def places_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def deep_contexts(codes: np.ndarray, n: np.ndarray, short: np.ndarray) -> list[tuple]:
-    """(depth, contexts, their counts, their distributions) of the retained contexts of four to DEPTH symbols.
+    """(depth, contexts, their counts, their distributions) of the retained contexts of more symbols than those of `short`, up to DEPTH.
 
     `codes`, `n`: all counted (context, next) with the same last three symbols of context, for one or more such
-    endings; `short`: the rows of distributions of `build_tree`.
+    endings; `short`: the rows of distributions of `build_tree`, over contexts of two or three symbols.
     """
-    S, found = SYMBOLS, []
+    S, found, known = SYMBOLS, [], depth_of(len(short))
     grams, used = np.zeros(0, np.int64), np.zeros(0)
-    for depth in range(4, DEPTH + 1):
+    for depth in range(known + 1, DEPTH + 1):
         own, counts = merged([(codes % S ** (depth + 1), n)])
-        parent = short[own // S % S**3, own % S].astype(np.float64) if depth == 4 else used[np.searchsorted(grams, own % S**depth)]
+        parent = short[own // S % S**known, own % S] if depth == known + 1 else used[np.searchsorted(grams, own % S**depth)]
         contexts, which = np.unique(own // S, return_inverse=True)
         total = np.bincount(which, counts)
         gain = np.bincount(which, counts * np.log(counts / total[which] / parent))
         kept = gain > DIVERGENCE
         grams, used = own, np.where(kept[which], (counts + STRENGTH * parent) / (total[which] + STRENGTH), parent)
         names = contexts[kept]
-        spread = short[names % S**3].astype(np.float64)
+        spread = short[names % S**known]
         for d, keys, _, rows in found:
             at, hit = places_in(keys, names % S**d)
             spread[hit] = rows[at[hit]]
@@ -220,7 +226,7 @@ def deep_contexts(codes: np.ndarray, n: np.ndarray, short: np.ndarray) -> list[t
 
 
 def retained(grams: DataFrame, short) -> DataFrame:
-    """depth, context, n, spread: every retained context of more than three symbols. `short` is a broadcast of `build_tree`'s rows."""
+    """depth, context, n, spread (log10): every retained context of more than two symbols. `short` is a broadcast of `build_tree`'s rows over two."""
 
     def test(batches):
         waiting, held = [], 0
@@ -251,11 +257,16 @@ def retained(grams: DataFrame, short) -> DataFrame:
 class Tree:
     """The held contexts of a task as a trie: gathers lead from symbols to the row of the longest one."""
 
-    def __init__(self, short: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]], rare: np.ndarray):
-        """short: `build_tree`'s rows; held: sorted contexts and log10 rows of each depth from four on; rare: endings of four symbols under which contexts are retained that are not held."""
-        self.rows = np.concatenate([np.log10(short), *(rows for _, rows in held)]).astype(np.float32).reshape(-1)
+    def __init__(self, short: np.ndarray, three: tuple[np.ndarray, np.ndarray], held: list[tuple[np.ndarray, np.ndarray]], rare: np.ndarray):
+        """short: `build_tree`'s rows over two symbols; three: the contexts and log10 rows of depth three; held: the same, sorted, of each depth from four on; rare: endings of four symbols under which contexts are retained that are not held."""
+        S = SYMBOLS
+        first = S**3
+        self.rows = np.empty((first + sum(len(keys) for keys, _ in held), S), np.float32)
+        self.rows[:first].reshape(S, S * S, S)[:] = np.log10(short)  # the suffix: the context without its oldest symbol
+        self.rows[three[0]] = three[1]
+        np.concatenate([rows for _, rows in held], out=self.rows[first:])
+        self.rows = self.rows.reshape(-1)
         self.steps = []  # by depth: (next place by place and symbol, row of the place)
-        S, first = SYMBOLS, len(short)
         before = np.arange(S**3)
         for depth, (keys, rows) in enumerate(held, 4):
             deeper = [k % S**depth for k, _ in held[depth - 3 :]]
@@ -302,6 +313,28 @@ def hot_cut(words: DataFrame, hot: int) -> int:
     return cut
 
 
+def dense(counts: DataFrame, size: int) -> np.ndarray:
+    """n of (key, n) by key: at most `size` rows."""
+    out, got = np.zeros(size, np.int64), counts.toArrow()
+    out[got["key"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def sorted_rows(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The two columns of df by the first."""
+    got = df.toArrow()
+    order = np.argsort(keys := got.column(0).to_numpy(), kind="stable")
+    return keys[order], got.column(1).to_numpy()[order]
+
+
+def context_rows(tree: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of one depth in order, and their distributions."""
+    got = tree.select("context", "spread").toArrow().combine_chunks()
+    order = np.argsort(keys := got["context"].to_numpy(), kind="stable")
+    rows = got["spread"].combine_chunks().flatten().to_numpy().reshape(-1, SYMBOLS) if len(keys) else np.zeros((0, SYMBOLS), np.float32)
+    return keys[order], rows[order]
+
+
 def score_documents(docs: DataFrame, hot: int = HOT, contexts: int = CONTEXTS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     spark = docs.sparkSession
@@ -317,35 +350,29 @@ def score_documents(docs: DataFrame, hot: int = HOT, contexts: int = CONTEXTS) -
 
     ends = texts.mapInArrow(trained, "n long").agg(F.sum("n")).first()[0] or 0
     total, distinct = (facts["n"] or 0) + ends, facts["v"] + (1 if ends else 0)
-    grams, single = np.zeros(SYMBOLS**4, np.int64), np.zeros(256, np.int64)
-    # bounded by SYMBOLS^4 and 256 rows
     deep = counts.filter(F.col("kind") == _GRAM).select("key", "n")
-    for table, rows in ((grams, deep.groupBy((F.col("key") % SYMBOLS**4).alias("key")).agg(F.sum("n").alias("n"))), (single, counts.filter(F.col("kind") == _BYTE).select("key", "n"))):
-        got = rows.toArrow()
-        table[got["key"].to_numpy()] = got["n"].to_numpy()
-    short, share, _ = build_tree(grams, single)
+    pairs = dense(deep.groupBy((F.col("key") % SYMBOLS**3).alias("key")).agg(F.sum("n").alias("n")), SYMBOLS**3)
+    short, share, _ = build_tree(pairs, dense(counts.filter(F.col("kind") == _BYTE).select("key", "n"), 256))
     sent = spark.sparkContext.broadcast(short)
     tree = stage(retained(deep, sent), "suffix-contexts")
-    held_from = hot_cut(tree, contexts)
-    held = []
-    for depth in range(4, DEPTH + 1):  # at most `contexts` rows in all
-        got = tree.filter((F.col("depth") == depth) & (size_class(F.col("n")) >= held_from)).select("context", "spread").toArrow().combine_chunks()
-        keys = got["context"].to_numpy()
-        spread = got["spread"].combine_chunks().flatten().to_numpy().reshape(-1, SYMBOLS) if len(keys) else np.zeros((0, SYMBOLS), np.float32)
-        order = np.argsort(keys, kind="stable")
-        held.append((keys[order], spread[order]))
-    cold = tree.filter(size_class(F.col("n")) < held_from).select("depth", "context", "spread")
+    sent.destroy()
+    longer = tree.filter(F.col("depth") > 3)
+    held_from = hot_cut(longer, contexts)
+    cold = longer.filter(size_class(F.col("n")) < held_from).select("depth", "context", "spread")
     rare_endings = cold.select((F.col("context") % SYMBOLS**4).alias("e")).distinct().toArrow()["e"].to_numpy()  # at most SYMBOLS^4
-    often = words.filter(size_class(F.col("n")) >= hot_cut(words, hot)).select("key", "n").toArrow()  # at most `hot` rows
-    order = np.argsort(often["key"].to_numpy(), kind="stable")
-    model = spark.sparkContext.broadcast({"short": short, "held": held, "endings": rare_endings, "share": share, "keys": often["key"].to_numpy()[order], "n": often["n"].to_numpy()[order]})
+    model = spark.sparkContext.broadcast({
+        "short": short, "share": share, "endings": rare_endings, "three": context_rows(tree.filter(F.col("depth") == 3)),  # at most SYMBOLS^3 rows
+        "held": [context_rows(longer.filter((F.col("depth") == d) & (size_class(F.col("n")) >= held_from))) for d in range(4, DEPTH + 1)],  # at most `contexts` rows in all
+        "words": sorted_rows(words.filter(size_class(F.col("n")) >= hot_cut(words, hot)).select("key", "n")),  # at most `hot` rows
+    })
+    give_back()
     bottom = np.log10(total + ALPHA * (distinct + 1))
     end_score = float(np.log10(ends + ALPHA) - bottom)
 
     def score(batches):
         m = model.value
-        tree = Tree(m["short"], m["held"], m["endings"])
-        keys, n = m["keys"], m["n"]
+        tree = Tree(m["short"], m["three"], m["held"], m["endings"])
+        keys, n = m["words"]
         logs = np.log10(n + ALPHA)
         seq, part = 0, TaskContext.get().partitionId()
         for batch in batches:
@@ -380,6 +407,7 @@ def score_documents(docs: DataFrame, hot: int = HOT, contexts: int = CONTEXTS) -
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = stage(rows.mapInArrow(score, "row_no long, doc_id long, n_tokens long, n_hot long, hot_sum double, score double, rare array<struct<key:long,times:long>>, deeper array<struct<gram:long,times:long,was:double>>"), "suffix-scored")
+    model.destroy()
     # words beyond the hot ones: exact counts by a shuffle join, summed back per row
     rare = scored.select("row_no", F.explode("rare").alias("r")).select("row_no", "r.key", "r.times")
     if (facts["v"] or 0) > hot:

@@ -8,6 +8,7 @@ import re
 import subprocess
 import sys
 import time
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -902,3 +903,13 @@ def test_suffix_tree_is_a_distribution():
     assert [d for d, *_ in deep] == list(range(4, suffix_tree.DEPTH + 1)) and all(len(names) and np.allclose(rows.sum(axis=1), 1, atol=1e-3) for _, names, _, rows in deep)
     each = [suffix_tree.grams_of([t]) for t in texts]
     assert (np.concatenate(each) == codes).all()
+
+
+def test_suffix_tree_keeps_the_driver_small(docs):
+    """No table over contexts of three symbols (33 MB of counts, and several of 33 MB while it was tested) is made at the driver."""
+    tracemalloc.start()
+    try:
+        assert suffix_tree.score_documents(docs).count() == len(corpus())
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+    finally:
+        tracemalloc.stop()
