@@ -20,6 +20,10 @@ def _ascii_forms() -> tuple[dict[str, str], dict[str, str]]:
 
 
 _SINGLE, _SEVERAL = _ascii_forms()
+#: What each character of a name becomes in one pass: letters and digits in lower case, every other ASCII mark a space.
+_NAME = {c: p.lower() if p.isalnum() else " " for c, p in {**{c: c for c in map(chr, range(128))}, **_SINGLE}.items()}
+#: A ligature. The range comes first: most characters are not in it and skip the slow look through the list.
+_LIGATURE = f"[{min(_SEVERAL)}-{max(_SEVERAL)}&&[{''.join(_SEVERAL)}]]"
 
 
 def missing(c: Column | str) -> Column:
@@ -66,12 +70,13 @@ def norm_artist(c: Column) -> Column:
 
 def norm_name(c: Column) -> Column:
     """Accents and compatibility forms folded to ASCII, lower case, every other mark a space; what has no ASCII form is dropped."""
-    folded = F.translate(F.coalesce(c, F.lit("")), "".join(_SINGLE), "".join(_SINGLE.values()))
-    spelled = folded
+    c = F.coalesce(c, F.lit(""))
+    spelled = c
     for ligature, letters in _SEVERAL.items():
         spelled = F.replace(spelled, F.lit(ligature), F.lit(letters))
-    ascii_only = F.regexp_replace(F.when(folded.rlike("[" + "".join(_SEVERAL) + "]"), spelled).otherwise(folded), "[^\\x00-\\x7F]+", "")
-    return F.trim(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9 ]", " "))
+    plain = lambda x: F.translate(x, "".join(_NAME), "".join(_NAME.values()))
+    folded = F.regexp_replace(plain(F.when(c.rlike(_LIGATURE), spelled).otherwise(c)), "[^\\x00-\\x7F]+", "")
+    return F.trim(F.when(c.rlike("[^\\x00-\\x7F]"), folded).otherwise(plain(c)))
 
 
 def isrc_key(c: Column) -> Column:
