@@ -10,8 +10,9 @@ times the byte's share within its class; the sum over all bytes and the end is t
 The contexts seen and retained grow with the corpus (of SYMBOLS^DEPTH, 8 * 10^9, possible ones). Contexts of up to
 two symbols are tested at the driver, over at most SYMBOLS^3 counts. Deeper ones are counted by a shuffle and tested in
 groups that share their last three symbols, at most SYMBOLS^4 rows each. Tasks hold all retained ones of three symbols
-and the at most CONTEXTS most frequent deeper ones; positions under which rarer ones are retained are summed per
-(document, context, next) and joined with those by shuffle.
+and the at most CONTEXTS most frequent deeper ones. Of the rarer ones they hold a filter of FILTER bits: only positions
+that it lets through (those under a rarer context, and a few more) are written, as packed columns of (document, run of
+symbols) pairs. These are brought together with the rarer contexts in groups of about GROUP contexts or PAIRS pairs.
 
 The base score needs the count of every word in the training texts, a table that grows with the corpus. Only
 at most HOT words, the most frequent ones by a histogram of counts, are held by the tasks; tokens of other words are summed per (document, word) and
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, give_back, stage
 
 HOT, CONTEXTS, DEPTH, DIVERGENCE, STRENGTH, ALPHA = 1_000_000, 200_000, 6, 40.0, 8.0, 0.1
+#: Bits of the filter; contexts and pairs of a group; pairs that a task gathers before it writes them.
+FILTER, GROUP, PAIRS, GATHERED = 1 << 27, 5_000, 2_000_000, 500_000
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -79,6 +82,14 @@ def code_at(s: np.ndarray, first: int, last: int) -> np.ndarray:
     return code
 
 
+def codes_of(s: np.ndarray, at: np.ndarray, last: int) -> np.ndarray:
+    """`code_at` of the symbols DEPTH to `last` places before, at some places only."""
+    code = np.zeros(len(at), np.int64)
+    for k in range(DEPTH, last - 1, -1):
+        code = code * SYMBOLS + s[DEPTH - k + at]
+    return code
+
+
 def grams_of(texts: list[bytes]) -> np.ndarray:
     """Codes of (DEPTH symbols of context, next) at every predicted position."""
     s, _, predicted = symbols_of(texts)
@@ -221,7 +232,8 @@ def deep_contexts(codes: np.ndarray, n: np.ndarray, short: np.ndarray) -> list[t
         place = np.cumsum(kept) - 1
         of = kept[which]
         spread[place[which[of]], own[of] % S] += counts[of]
-        found.append((depth, names, total[kept].astype(np.int64), (spread / (total[kept] + STRENGTH)[:, None]).astype(np.float32)))
+        # not as float32: a symbol never seen after a frequent context would have probability 0
+        found.append((depth, names, total[kept].astype(np.int64), spread / (total[kept] + STRENGTH)[:, None]))
     return found
 
 
@@ -254,11 +266,95 @@ def retained(grams: DataFrame, short) -> DataFrame:
     return grams.repartition(ending).sortWithinPartitions(ending).mapInArrow(test, "depth tinyint, context long, n long, spread array<float>")
 
 
+def slot_of(depth, contexts: np.ndarray) -> np.ndarray:
+    """Bit of the filter for each context of `depth` symbols (one depth or one each)."""
+    mixed = (contexts.astype(np.uint64) * np.uint64(8) + np.asarray(depth, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(65 - FILTER.bit_length())).astype(np.int64)
+
+
+def filter_of(cold: DataFrame) -> np.ndarray:
+    """The filter's bytes, with the bit of each context set; other contexts may share it. At most FILTER / 64 rows come to the driver."""
+
+    def mark(batches):
+        for batch in batches:
+            slots = np.unique(slot_of(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            words, first = np.unique(slots >> 6, return_index=True)
+            bits = np.uint64(1) << (slots & 63).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array((np.bitwise_or.reduceat(bits, first) if len(first) else bits).view(np.int64))], names=["key", "n"])
+
+    words = cold.select("depth", "context").mapInArrow(mark, "key long, n long").groupBy("key").agg(F.bit_or("n").alias("n"))
+    return dense(words, FILTER // 64).view(np.uint8)
+
+
+def group_of(ending: str, groups: int) -> str:
+    """SQL for the group of contexts and positions with an ending of four symbols; `grouped` does the same for arrays."""
+    return f"cast({ending} % {SYMBOLS**4}L * 2654435761L div 65536L % {groups}L as int)"
+
+
+def grouped(endings: np.ndarray, groups: int) -> np.ndarray:
+    return endings % SYMBOLS**4 * 2654435761 // 65536 % groups
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, compressed byte plane by byte plane; the first, in order, by its differences."""
+    first, *others = columns
+    return pa.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in (np.diff(first, prepend=0), *others)), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kinds: list) -> list[np.ndarray]:
+    """The columns of `packed`, of n values of these kinds."""
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    planes, at, out = np.frombuffer(pa.decompress(data, n * sum(sizes), "zstd", asbytes=True), np.uint8).reshape(-1, n), 0, []
+    for kind, size in zip(kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(planes[at : at + size].T).view(kind).reshape(n))
+        at += size
+    return [np.cumsum(out[0]), *out[1:]]
+
+
+#: kinds of the columns of pairs: run of symbols, row within its task, times, log10 probability by the held contexts
+_PAIR = [np.int64, np.int64, np.int32, np.float32]
+
+
+def deeper_changes(batches):
+    """row_no, change of the score, from rows sorted by group: first the group's contexts, then its packed pairs."""
+    group, contexts, tables = None, [], {}
+    for batch in batches:
+        groups, of_pairs = batch.column("group").to_numpy(), batch.column("pairs").is_valid().to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.r_[True, (groups[1:] != groups[:-1]) | (of_pairs[1:] != of_pairs[:-1]), True]) if len(groups) else np.zeros(0, np.int64)
+        rows, changes = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            part = batch.slice(a, b - a)
+            if groups[a] != group:
+                group, contexts, tables = groups[a], [], {}
+            if not of_pairs[a]:
+                spread = part.column("spread").flatten().to_numpy().reshape(-1, SYMBOLS)
+                contexts.append((part.column("depth").to_numpy(), part.column("context").to_numpy(), spread))
+                continue
+            if contexts:
+                depths, names, spread = (np.concatenate(x) for x in zip(*contexts, strict=True))
+                for depth in range(4, DEPTH + 1):
+                    own = np.flatnonzero(depths == depth)
+                    own = own[np.argsort(names[own], kind="stable")]
+                    tables[depth] = names[own], spread[own]
+                contexts = []
+            for base, n, data in zip(part.column("row_no").to_pylist(), part.column("pairs").to_pylist(), part.column("packed").to_pylist(), strict=True):
+                grams, row, times, was = unpacked(data, n, _PAIR)
+                now, met = was.copy(), np.zeros(n, bool)
+                for depth, (names, spread) in tables.items():  # the deepest comes last
+                    at, hit = places_in(names, grams // SYMBOLS % SYMBOLS**depth)
+                    now[hit] = spread[at[hit], grams[hit] % SYMBOLS]
+                    met |= hit
+                own, which = np.unique(row[met], return_inverse=True)
+                rows.append(own + base)
+                changes.append(np.bincount(which, times[met] * (now[met].astype(np.float64) - was[met]), len(own)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(changes))], names=["row_no", "change"])
+
+
 class Tree:
     """The held contexts of a task as a trie: gathers lead from symbols to the row of the longest one."""
 
-    def __init__(self, short: np.ndarray, three: tuple[np.ndarray, np.ndarray], held: list[tuple[np.ndarray, np.ndarray]], rare: np.ndarray):
-        """short: `build_tree`'s rows over two symbols; three: the contexts and log10 rows of depth three; held: the same, sorted, of each depth from four on; rare: endings of four symbols under which contexts are retained that are not held."""
+    def __init__(self, short: np.ndarray, three: tuple[np.ndarray, np.ndarray], held: list[tuple[np.ndarray, np.ndarray]], rarer: np.ndarray | None):
+        """short: `build_tree`'s rows over two symbols; three: the contexts and log10 rows of depth three; held: the same, sorted, of each depth from four on; rarer: the filter of the contexts that are not held, if there are any."""
         S = SYMBOLS
         first = S**3
         self.rows = np.empty((first + sum(len(keys) for keys, _ in held), S), np.float32)
@@ -266,7 +362,7 @@ class Tree:
         self.rows[three[0]] = three[1]
         np.concatenate([rows for _, rows in held], out=self.rows[first:])
         self.rows = self.rows.reshape(-1)
-        self.steps = []  # by depth: (next place by place and symbol, row of the place)
+        self.steps, self.starts = [], []  # by depth: (next place by place and symbol, row of the place); the first row
         before = np.arange(S**3)
         for depth, (keys, rows) in enumerate(held, 4):
             deeper = [k % S**depth for k, _ in held[depth - 3 :]]
@@ -276,10 +372,23 @@ class Tree:
             own = np.zeros(len(places) + 1, np.int32)
             own[1 + np.searchsorted(places, keys)] = first + np.arange(len(keys))
             self.steps.append((step, own))
+            self.starts.append(first)
             before, first = places, first + len(keys)
-        self.rare = np.zeros(S**4, bool)
-        self.rare[rare] = True
-        self.any_rare = bool(len(rare))
+        self.rarer = rarer
+
+    def open_places(self, s: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Places under which the filter has a context deeper than the held one of that row. (A held context's suffixes occur at least as often, so none of them is missing.)"""
+        out = [np.zeros(0, np.int64)]
+        for i in range(0, len(row), 1 << 18):  # by blocks, so that arrays of codes stay small
+            own = row[i : i + (1 << 18)]
+            at = np.flatnonzero(own < self.starts[-1])
+            own, codes = own[at], codes_of(s, at + i, 1)
+            found = np.zeros(len(at), bool)
+            for depth, first in enumerate(self.starts, 4):
+                slot = slot_of(depth, codes % SYMBOLS**depth)
+                found |= (own < first) & (self.rarer[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+            out.append(at[found] + i)
+        return np.concatenate(out)
 
     def score(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of every symbol from place DEPTH on; places among them under which a rarer context may be retained."""
@@ -291,9 +400,9 @@ class Tree:
             place = step[place * SYMBOLS + s[DEPTH - depth : DEPTH - depth + n]].astype(np.int64)
             deeper = own[place]
             np.copyto(row, deeper, where=deeper > 0)
+        open_ = np.zeros(0, np.int64) if self.rarer is None else self.open_places(s, row)
         row *= SYMBOLS
         row += s[DEPTH:]
-        open_ = np.flatnonzero(self.rare[code_at(s, 4, 1)]) if self.any_rare else np.zeros(0, np.int64)
         return self.rows[row], open_
 
 
@@ -358,10 +467,11 @@ def score_documents(docs: DataFrame, hot: int = HOT, contexts: int = CONTEXTS) -
     sent.destroy()
     longer = tree.filter(F.col("depth") > 3)
     held_from = hot_cut(longer, contexts)
-    cold = longer.filter(size_class(F.col("n")) < held_from).select("depth", "context", "spread")
-    rare_endings = cold.select((F.col("context") % SYMBOLS**4).alias("e")).distinct().toArrow()["e"].to_numpy()  # at most SYMBOLS^4
+    cold = longer.filter(size_class(F.col("n")) < held_from)
+    left = cold.agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("pairs")).first()
+    groups = 1 + max(left["contexts"] // GROUP, (left["pairs"] or 0) // PAIRS)
     model = spark.sparkContext.broadcast({
-        "short": short, "share": share, "endings": rare_endings, "three": context_rows(tree.filter(F.col("depth") == 3)),  # at most SYMBOLS^3 rows
+        "short": short, "share": share, "rarer": filter_of(cold) if left["contexts"] else None, "three": context_rows(tree.filter(F.col("depth") == 3)),  # at most SYMBOLS^3 rows
         "held": [context_rows(longer.filter((F.col("depth") == d) & (size_class(F.col("n")) >= held_from))) for d in range(4, DEPTH + 1)],  # at most `contexts` rows in all
         "words": sorted_rows(words.filter(size_class(F.col("n")) >= hot_cut(words, hot)).select("key", "n")),  # at most `hot` rows
     })
@@ -369,12 +479,28 @@ def score_documents(docs: DataFrame, hot: int = HOT, contexts: int = CONTEXTS) -
     bottom = np.log10(total + ALPHA * (distinct + 1))
     end_score = float(np.log10(ends + ALPHA) - bottom)
 
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("key", pa.int64()), ("times", pa.int64())]))]
+    names = ["row_no", "doc_id", "n_tokens", "n_hot", "hot_sum", "score", "rare", "group", "pairs", "packed"]
+
     def score(batches):
         m = model.value
-        tree = Tree(m["short"], m["three"], m["held"], m["endings"])
+        tree = Tree(m["short"], m["three"], m["held"], m["rarer"])
         keys, n = m["words"]
         logs = np.log10(n + ALPHA)
         seq, part = 0, TaskContext.get().partitionId()
+        pairs, gathered = [], 0
+
+        def written():
+            """The gathered pairs, a row for each group."""
+            grams, row, times, was = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            group = grouped(grams // SYMBOLS, groups)
+            order = np.lexsort((row, grams, group))
+            group = group[order]
+            edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+            data = [packed(*(x[order[a:b]].astype(k) for x, k in zip((grams, row, times, was), _PAIR, strict=True))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            rest = [pa.nulls(len(data), k) for k in kinds[1:]]
+            return pa.RecordBatch.from_arrays([pa.array([part << 40] * len(data), pa.int64()), *rest, pa.array(group[edges[:-1]], pa.int32()), pa.array(np.diff(edges), pa.int32()), pa.array(data, pa.binary())], names=names)
+
         for batch in batches:
             ids, values = batch.column(0).to_pylist(), [raw(t) for t in batch.column(1).to_pylist()]
             for a, b in slices(values):
@@ -384,9 +510,12 @@ def score_documents(docs: DataFrame, hot: int = HOT, contexts: int = CONTEXTS) -
                 p = np.where(predicted[DEPTH:], p, 0)
                 sums = np.add.reduceat(p, starts - DEPTH, dtype=np.float64)
                 open_at = open_at[predicted[DEPTH:][open_at]]
-                deep_codes = code_at(s, DEPTH, 0)[open_at] if len(open_at) else open_at
-                bounds = np.searchsorted(open_at, np.append(starts - DEPTH, len(p)))
-                out: list[list] = [[] for _ in range(8)]
+                if len(open_at):
+                    row, step = np.searchsorted(starts - DEPTH, open_at, "right") - 1, len(part_texts)  # runs of symbols times rows stay below 2^63
+                    both, where, times = np.unique(codes_of(s, open_at, 0) * step + row, return_index=True, return_counts=True)
+                    pairs.append((both // step, both % step + seq, times, p[open_at[where]]))
+                    gathered += len(both)
+                out: list[list] = [[] for _ in range(7)]
                 for i, text in enumerate(part_texts):
                     h = word_hashes(text)
                     inside = float(m["share"] @ np.bincount(np.frombuffer(text, np.uint8), minlength=256))
@@ -394,20 +523,21 @@ def score_documents(docs: DataFrame, hot: int = HOT, contexts: int = CONTEXTS) -
                     hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                     rare, times = np.unique(h[~hit], return_counts=True)
                     base = float(logs[at[hit]].sum()) if hit.any() else 0.0
-                    lo, hi = bounds[i], bounds[i + 1]
-                    names, where, often_ = np.unique(deep_codes[lo:hi], return_index=True, return_counts=True)
-                    under = list(zip(names.tolist(), often_.tolist(), p[open_at[lo:hi]][where].tolist(), strict=True))
-                    for column, x in zip(out, ((part << 40) + seq, ids[a + i], len(h) + 1, int(hit.sum()), base, float(sums[i]) + inside, list(zip(rare.tolist(), times.tolist(), strict=True)), under), strict=True):
+                    for column, x in zip(out, ((part << 40) + seq, ids[a + i], len(h) + 1, int(hit.sum()), base, float(sums[i]) + inside, list(zip(rare.tolist(), times.tolist(), strict=True))), strict=True):
                         column.append(x)
                     seq += 1
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                rare = pa.array([[{"key": k, "times": t} for k, t in r] for r in out[6]], pa.list_(pa.struct([("key", pa.int64()), ("times", pa.int64())])))
-                deeper = pa.array([[{"gram": g, "times": t, "was": w} for g, t, w in r] for r in out[7]], pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64()), ("was", pa.float64())])))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds, strict=False)), rare, deeper], names=["row_no", "doc_id", "n_tokens", "n_hot", "hot_sum", "score", "rare", "deeper"])
+                rare = [[{"key": k, "times": t} for k, t in r] for r in out.pop()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip([*out, rare], kinds, strict=True)), *(pa.nulls(len(rare), k) for k in (pa.int32(), pa.int32(), pa.binary()))], names=names)
+                if gathered > GATHERED:
+                    yield written()
+                    pairs, gathered = [], 0
+        if pairs:
+            yield written()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = stage(rows.mapInArrow(score, "row_no long, doc_id long, n_tokens long, n_hot long, hot_sum double, score double, rare array<struct<key:long,times:long>>, deeper array<struct<gram:long,times:long,was:double>>"), "suffix-scored")
+    scored = stage(rows.mapInArrow(score, "row_no long, doc_id long, n_tokens long, n_hot long, hot_sum double, score double, rare array<struct<key:long,times:long>>, group int, pairs int, packed binary"), "suffix-scored")
     model.destroy()
+    written_pairs, scored = scored.filter("group IS NOT NULL").select("group", "row_no", "pairs", "packed"), scored.filter("group IS NULL").drop("group", "pairs", "packed")
     # words beyond the hot ones: exact counts by a shuffle join, summed back per row
     rare = scored.select("row_no", F.explode("rare").alias("r")).select("row_no", "r.key", "r.times")
     if (facts["v"] or 0) > hot:
@@ -416,13 +546,10 @@ def score_documents(docs: DataFrame, hot: int = HOT, contexts: int = CONTEXTS) -
         joined = rare.withColumn("n", F.lit(None).cast("long"))
     seen = F.coalesce("n", F.lit(0))
     rest = stage(joined.groupBy("row_no").agg(F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("n_rare"), F.sum(F.col("times") * F.log10(seen + F.lit(ALPHA))).alias("rare_sum")), "suffix-rare")
-    # contexts that the tasks do not hold: the deepest one of each position, by a shuffle join
-    if len(rare_endings):
-        open_rows = scored.select("row_no", F.explode("deeper").alias("r")).select("row_no", "r.*")
-        every = F.array(*(F.struct(F.lit(d).cast("tinyint").alias("depth"), F.expr(f"gram div {SYMBOLS} % {SYMBOLS**d}L").alias("context")) for d in range(4, DEPTH + 1)))
-        met = open_rows.withColumn("c", F.explode(every)).select("row_no", "gram", "times", "was", "c.*").join(cold, ["depth", "context"])
-        best = met.groupBy("row_no", "gram", "times", "was").agg(F.max_by(F.expr(f"element_at(spread, cast(gram % {SYMBOLS} as int) + 1)"), "depth").alias("now"))
-        change = best.groupBy("row_no").agg(F.sum(F.col("times") * (F.col("now") - F.col("was"))).alias("change"))
+    # contexts that the tasks do not hold: the deepest one of each position, in groups that hold contexts and pairs
+    if left["contexts"]:
+        sides = cold.select(F.expr(group_of("context", groups)).alias("group"), "depth", "context", "spread").unionByName(written_pairs, allowMissingColumns=True)
+        change = sides.repartition("group").sortWithinPartitions("group", F.col("pairs").isNotNull()).mapInArrow(deeper_changes, "row_no long, change double").groupBy("row_no").agg(F.sum("change").alias("change"))
         scored = scored.join(stage(change, "suffix-deeper"), "row_no", "left").withColumn("score", F.col("score") + F.coalesce("change", F.lit(0.0))).drop("change")
     end_known = 1 if ends else 0
 
@@ -430,7 +557,7 @@ def score_documents(docs: DataFrame, hot: int = HOT, contexts: int = CONTEXTS) -
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([is_held_out(d) for d in batch.column(0).to_pylist()], pa.bool_()), *batch.columns[1:]], names=["doc_id", "held_out", *batch.schema.names[1:]])
 
-    out = scored.drop("rare", "deeper").join(rest, "row_no", "left").select(
+    out = scored.drop("rare").join(rest, "row_no", "left").select(
         "doc_id", "n_tokens", (F.col("n_hot") + F.coalesce("n_rare", F.lit(0)) + end_known).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("hot_sum") + F.coalesce("rare_sum", F.lit(0.0)) - (F.col("n_tokens") - 1) * float(bottom) + end_score).alias("base_score"), "score")
     return out.mapInArrow(last, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

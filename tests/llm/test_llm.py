@@ -905,6 +905,51 @@ def test_suffix_tree_is_a_distribution():
     assert (np.concatenate(each) == codes).all()
 
 
+def test_suffix_tree_writes_only_places_under_rarer_contexts(spark, monkeypatch):
+    """Rarer contexts have the endings of frequent ones, yet little is written for their sake; in many groups and turns, scores are those with all contexts held."""
+    rng, odds, texts = random.Random(43), {}, []
+    for _ in range(500):  # each run of six letters has its own odds of the next one, so runs differ much in number
+        text = "".join(rng.choice("abcd") for _ in range(6))
+        while len(text) < 2000:
+            text += rng.choices("abcd", odds.setdefault(text[-6:], [rng.random() ** 3 for _ in "abcd"]))[0]
+        texts.append(text)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    letters, sizes, plain = sum(map(len, texts)), {}, suffix_tree.stage
+
+    def measured(frame, name):
+        out = plain(frame, name)
+        sizes[name] = sum(Path(f.removeprefix("file://")).stat().st_size for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(suffix_tree, "stage", measured)
+    want = {r.doc_id: r.score for r in suffix_tree.score_documents(df).collect()}
+    whole = sizes["suffix-scored"]
+    monkeypatch.setattr(suffix_tree, "GROUP", 100, raising=False)
+    monkeypatch.setattr(suffix_tree, "GATHERED", 5000, raising=False)
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(df, contexts=3000).collect()}
+    assert 0 < sizes["suffix-deeper"]
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+    assert sizes["suffix-scored"] - whole < letters / 4
+
+
+def test_suffix_tree_gives_no_symbol_probability_0():
+    """Contexts of very many places: what never followed them keeps a probability, though less than the smallest float32."""
+    S = suffix_tree.SYMBOLS
+    short = np.full((S * S, S), 1e-40)
+    short[:, 5:7] = 0.5
+    found = suffix_tree.deep_contexts(np.array([S**2 + 2 * S + 5]), np.array([10**9]), short)
+    rows = [r for _, names, _, spread in found for r in spread]
+    assert rows and all(0 < r.min() < 1e-45 and math.isclose(r.sum(), 1, rel_tol=1e-6) for r in rows)
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(6)
+    columns = [np.sort(rng.integers(0, 45**7, 999)), rng.integers(0, 9000, 999), rng.integers(1, 9, 999).astype(np.int32), rng.normal(size=999).astype(np.float32)]
+    for n in (1, 999):
+        back = suffix_tree.unpacked(suffix_tree.packed(*(c[:n] for c in columns)), n, [c.dtype for c in columns])
+        assert all((a[:n] == b).all() and a.dtype == b.dtype for a, b in zip(columns, back, strict=True))
+
+
 def test_suffix_tree_keeps_the_driver_small(docs):
     """No table over contexts of three symbols (33 MB of counts, and several of 33 MB while it was tested) is made at the driver."""
     tracemalloc.start()
